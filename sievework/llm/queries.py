@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievework.llm import dart_minhash
+from sievework.llm import dart_minhash, repeats
 from sievework.llm.common import table
 
 
@@ -14,8 +14,13 @@ def op1_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dart_minhash.near_duplicates(table(spark, sf_dir, "documents")).drop("rid")
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.strip_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_dart_minhash": op1_dart_minhash}
+    return {f.__name__: f for f in (op1_dart_minhash, op6_suffix_array_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
