@@ -29,6 +29,8 @@ BANDS = 32  # at similarity 0.8, a pair shares no band with probability (1 - 0.8
 #: Signatures of k coordinates estimate a similarity of 0.8 with a deviation of 0.029; pairs this far below the threshold go unverified.
 MARGIN = 0.14
 CHUNK = 1_500_000
+DENSE = 12  # a bucket of more members is compared in place, from exact sets
+CELL = 2048  # members of a part of such a bucket; larger ones are compared part by part
 BROADCAST_ROWS = 500_000  # digests of 16 bytes
 GOLDEN = U64(0x9E3779B97F4A7C15)
 
@@ -114,16 +116,19 @@ def dart_signatures(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n_
             width = 1.0 if strip < 2 else float(1 << (strip - 1))
             d, w, phi, rank = d0, w0, reach[d0], np.zeros(len(d0))
             seed = mix(e0 + U64(strip * 0xA0761D6478BD642F % (1 << 64)))
-            j = 0
-            while len(d):
-                j += 1
-                dart = mix(seed + U64(j * int(GOLDEN) % (1 << 64)))
-                rank = rank - np.log(_unit(dart)) / width
-                inside = rank < phi
-                d, w, phi, rank, seed, dart = (x[inside] for x in (d, w, phi, rank, seed, dart))
-                ident = mix(dart ^ U64(0x8EBC6AF09C88C6E3))
-                hit = low + _unit(mix(ident + GOLDEN)) * width < w
-                found.append((d[hit], rank[hit] / phi[hit], ident[hit]))
+            j, size = 0, 1
+            while len(d):  # darts are looked at in blocks of 1, 1, 2, 4, ... an element
+                steps = np.array([n * int(GOLDEN) % (1 << 64) for n in range(j + 1, j + size + 1)], U64)
+                dart = mix(seed[:, None] + steps)
+                ranks = rank[:, None] + np.cumsum(-np.log(_unit(dart)) / width, axis=1)
+                row, column = np.nonzero(ranks < phi[:, None])
+                ident = mix(dart[row, column] ^ U64(0x8EBC6AF09C88C6E3))
+                hit = low + _unit(mix(ident + GOLDEN)) * width < w[row]
+                row, column, ident = row[hit], column[hit], ident[hit]
+                found.append((d[row], ranks[row, column] / phi[row], ident))
+                on = ranks[:, -1] < phi
+                d, w, phi, rank, seed = d[on], w[on], phi[on], ranks[on, -1], seed[on]
+                size, j = min(64, max(1, j + size)), j + size
             low += width
             strip += 1
             more = w0 > low
@@ -200,25 +205,26 @@ def _pairs(rows: int, bands: int, floor: float):
 SETS = pa.schema([("digest", pa.binary()), ("bag", pa.binary())])
 
 
+def bag(h: np.ndarray) -> np.ndarray:
+    """A multiset of hashes as a sorted set: the n-th occurrence of a hash has a hash of its own."""
+    h = np.sort(h)
+    at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+    turn = np.arange(len(h)) - np.repeat(at, np.diff(np.append(at, len(h))))
+    return np.sort(np.where(turn > 0, mix(h + turn.astype(U64)), h))
+
+
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each text's shingles, sorted, repeated as often as they occur."""
     for batch in batches:
         for at, texts in chunks_by_bytes(batch.column("norm").to_pylist(), CHUNK):
             doc, h = shingles(texts)
-            order = np.lexsort((h, doc))
-            h, ends = h[order], np.cumsum(np.bincount(doc, minlength=len(texts)))
-            yield arrow(SETS, digest=batch.column("digest").slice(at, len(texts)), bag=[h[lo:hi].tobytes() for lo, hi in zip([0, *ends[:-1]], ends, strict=True)])
+            ends = np.cumsum(np.bincount(doc, minlength=len(texts)))
+            yield arrow(SETS, digest=batch.column("digest").slice(at, len(texts)), bag=[bag(h[lo:hi]).tobytes() for lo, hi in zip([0, *ends[:-1]], ends, strict=True)])
 
 
 def weighted_jaccard(x: np.ndarray, y: np.ndarray) -> float:
-    """Of two sorted bags of hashes."""
-    if not len(x) or not len(y):
-        return 0.0
-    u, n = np.unique(x, return_counts=True)
-    v, m = np.unique(y, return_counts=True)
-    _, i, j = np.intersect1d(u, v, assume_unique=True, return_indices=True)
-    common = int(np.minimum(n[i], m[j]).sum())
-    return common / (len(x) + len(y) - common)
+    """Of two bags."""
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return common / max(1, len(x) + len(y) - common)
 
 
 LINKED = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("similarity", pa.float64())])
@@ -235,6 +241,41 @@ def _verify(threshold: float):
     return verify
 
 
+def _spanning(threshold: float):
+    def spanning(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Links of each cell by exact comparison, without pairs that are joined by others of the cell already."""
+        for t in grouped(batches, ["band", "bucket", "i", "j"], 1024):
+            key = list(zip(*(t.column(c).to_pylist() for c in ("band", "bucket", "i", "j")), strict=True))
+            digest, bags = t.column("digest").to_pylist(), [np.frombuffer(x, U64) for x in t.column("bag").to_pylist()]
+            a, b, score = [], [], []
+            starts = [i for i in range(len(key)) if not i or key[i] != key[i - 1]]
+            for lo, hi in zip(starts, [*starts[1:], len(key)], strict=True):
+                size = np.array([len(x) for x in bags[lo:hi]])
+                every, ends = np.concatenate(bags[lo:hi]), np.cumsum(size)
+                owner = np.repeat(np.arange(hi - lo), size)
+                group = np.arange(hi - lo)
+                for i in range(hi - lo - 1):
+                    # later ones of other groups, and of a size that can reach the threshold
+                    ask = (group != group[i]) & (size >= threshold * size[i]) & (size * threshold <= size[i])
+                    ask[: i + 1] = False
+                    if not ask.any():
+                        continue
+                    own = bags[lo + i]
+                    rest = every[ends[i] :]
+                    place = np.minimum(np.searchsorted(own, rest), len(own) - 1)
+                    common = np.bincount(owner[ends[i] :][own[place] == rest], minlength=hi - lo)
+                    similar = common / (size + size[i] - common)
+                    for j in np.flatnonzero(ask & (similar >= threshold)):
+                        if group[j] != group[i]:
+                            group[group == group[j]] = group[i]
+                            a.append(min(digest[lo + i], digest[lo + j]))
+                            b.append(max(digest[lo + i], digest[lo + j]))
+                            score.append(float(similar[j]))
+            yield arrow(LINKED, a=a, b=b, similarity=score)
+
+    return spanning
+
+
 def signatures(docs: DataFrame, rows: int = ROWS, bands: int = BANDS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(rid, doc_id, digest, sig): sig is null for a text without words. rid numbers the rows of docs as they are scanned."""
     base = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).cast("long").alias("doc_id"), normal_text(F.col(text)).alias("norm"))
@@ -242,44 +283,50 @@ def signatures(docs: DataFrame, rows: int = ROWS, bands: int = BANDS, text: str
     return base.mapInArrow(_sign(rows * bands), "rid long, doc_id long, digest binary, sig binary")
 
 
-def links(docs: DataFrame, signed: DataFrame, threshold: float = THRESHOLD, rows: int = ROWS, bands: int = BANDS, text: str = "text") -> DataFrame:
-    """(a, b, similarity) for pairs of different normal texts that share a band and reach the threshold; a and b are digests.
+def links(docs: DataFrame, signed: DataFrame, threshold: float = THRESHOLD, rows: int = ROWS, bands: int = BANDS, text: str = "text", dense: int = DENSE) -> DataFrame:
+    """(a, b, similarity): links between different normal texts that reach the threshold; a and b are digests.
 
-    signed is read several times: a checkpoint of signatures(docs).
+    Of the pairs that share a band, all that reach the threshold are in one component of the links; links that join
+    what is joined already may be absent. signed is read several times: a checkpoint of signatures(docs).
     """
     classes = signed.where("sig is not null").groupBy("digest").agg(F.min("sig").alias("sig"))
     light = classes.select("digest", F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("band"), "sig")
     light = light.select("digest", "band", F.expr(f"substring(sig, band * {rows} + 1, {rows})").alias("bucket"))
-    shared = light.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("band", "bucket"))).where("n > 1").drop("n")
-    full = shared.join(classes, "digest").repartition("band", "bucket").sortWithinPartitions("band", "bucket", "digest")
+    shared = cut(light.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("band", "bucket"))).where("n > 1"))
+    few, many = shared.where(F.col("n") <= dense).drop("n"), shared.where(F.col("n") > dense)
+    full = few.join(classes, "digest").repartition("band", "bucket").sortWithinPartitions("band", "bucket", "digest")
     pairs = cut(full.mapInArrow(_pairs(rows, bands, threshold - MARGIN), "a binary, b binary").distinct())
-    needed = cut(pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct())
+    needed = cut(pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).union(many.select("digest")).distinct())
     texts = docs.select(normal_text(F.col(text)).alias("norm")).select(F.unhex(F.md5("norm")).alias("digest"), "norm")
     texts = join_bounded(texts, needed, ["digest"], "left_semi", BROADCAST_ROWS).groupBy("digest").agg(F.min("norm").alias("norm"))
-    bags = texts.mapInArrow(_bags, "digest binary, bag binary")
+    bags = cut(texts.mapInArrow(_bags, "digest binary, bag binary"))
     both = pairs.join(bags.select(F.col("digest").alias("a"), F.col("bag").alias("bag_a")), "a").join(bags.select(F.col("digest").alias("b"), F.col("bag").alias("bag_b")), "b")
-    return both.select("a", "b", "bag_a", "bag_b").mapInArrow(_verify(threshold), "a binary, b binary, similarity double")
+    thin = both.select("a", "b", "bag_a", "bag_b").mapInArrow(_verify(threshold), "a binary, b binary, similarity double")
+    parts = many.withColumn("parts", F.ceil(F.col("n") / CELL).cast("int"))
+    parts = parts.withColumn("part", F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cells = parts.select("band", "bucket", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "digest")
+    keys = ["band", "bucket", "i", "j"]
+    thick = cells.join(bags, "digest").repartition(*keys).sortWithinPartitions(*keys, "digest").mapInArrow(_spanning(threshold), "a binary, b binary, similarity double")
+    return thin.union(thick)
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, rows: int = ROWS, bands: int = BANDS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row for each row of docs: rid, doc_id, class_id, class_size, n_links, keep.
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, rows: int = ROWS, bands: int = BANDS, text: str = "text", doc_id: str = "doc_id", dense: int = DENSE) -> DataFrame:
+    """One row for each row of docs: rid, doc_id, class_id, class_size, keep.
 
-    class_id is the smallest doc_id of the class (null only if all are null); class_size counts its rows, n_links the different texts
-    that reach the threshold with this one. keep marks one row of each class: one with the smallest doc_id, of those the
+    class_id is the smallest doc_id of the class (null only if all are null); class_size counts its rows. keep marks one row of each class: one with the smallest doc_id, of those the
     first scanned. Texts that are equal but for case and white space are of one class. Null and empty texts, and texts
     without words, are alike nothing: each is a class of its own. Repeated rows are copies. Other columns are ignored.
     """
     signed = cut(signatures(docs, rows, bands, text, doc_id))
-    found = cut(links(docs, signed, threshold, rows, bands, text))
-    degree = found.select(F.col("a").alias("digest")).union(found.select("b")).groupBy("digest").agg(F.count(F.lit(1)).alias("n_links"))
+    found = cut(links(docs, signed, threshold, rows, bands, text, dense))
     roots = connected_components(found).withColumnRenamed("node", "digest")
-    alone = signed.where("sig is null").select("rid", "doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("keep"))
+    alone = signed.where("sig is null").select("rid", "doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("keep"))
     texts = signed.where("sig is not null").groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid")).alias("best"), F.count(F.lit(1)).alias("n"))
-    texts = texts.join(roots, "digest", "left").join(degree, "digest", "left").select("digest", F.coalesce("root", "digest").alias("root"), "best", "n", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    texts = texts.join(roots, "digest", "left").select("digest", F.coalesce("root", "digest").alias("root"), "best", "n")
     groups = texts.groupBy("root").agg(F.min("best").alias("first"), F.sum("n").alias("class_size"))
-    of_text = texts.join(groups, "root").select("digest", F.col("first.doc_id").alias("class_id"), F.col("first.rid").alias("kept"), "class_size", "n_links")
+    of_text = texts.join(groups, "root").select("digest", F.col("first.doc_id").alias("class_id"), F.col("first.rid").alias("kept"), "class_size")
     member = signed.where("sig is not null").select("rid", "doc_id", "digest").join(of_text, "digest")
-    return member.select("rid", "doc_id", "class_id", "class_size", "n_links", (F.col("rid") == F.col("kept")).alias("keep")).union(alone)
+    return member.select("rid", "doc_id", "class_id", "class_size", (F.col("rid") == F.col("kept")).alias("keep")).union(alone)
 
 
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
