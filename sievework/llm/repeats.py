@@ -11,7 +11,8 @@ interval says which of its windows occur elsewhere. All occurrences of an interv
 An anchor with more than HOT different runs is not gathered in one task: its runs are cut into blocks of windows that
 are counted by hash, and blocks whose middle repeats into single windows, counted likewise.
 
-Texts are exchanged once; equal texts are one text with a count.
+Texts are not exchanged while what has to be looked up in them is small enough to broadcast (counted first), and by
+row number beyond that.
 """
 
 from __future__ import annotations
@@ -24,8 +25,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sievework.llm.common import U64, arrow, grouped, mix
+from sievework.llm.common import U64, arrow, cut, grouped, mix
 
 LENGTH = 400
 GRAM = 64  # bytes of an anchor; a power of two below LENGTH
@@ -33,9 +35,10 @@ HOT = 256
 BLOCK = 32
 CHUNK = 1_200_000
 SEGMENT = 4_000_000
+BROADCAST_RUNS = 1_000_000  # of some 60 bytes each
 
-RUN = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("anchor", pa.int64()), ("ctx", pa.int64()), ("p", pa.int64()), ("nwin", pa.int32()), ("back", pa.int32()), ("copies", pa.int64())])
-RUN_SQL = "k1 long, k2 long, anchor long, ctx long, p long, nwin int, back int, copies long"
+RUN = pa.schema([("rid", pa.int64()), ("anchor", pa.int64()), ("ctx", pa.int64()), ("p", pa.int64()), ("nwin", pa.int32()), ("back", pa.int32())])
+RUN_SQL = "rid long, anchor long, ctx long, p long, nwin int, back int"
 
 
 def _signed(x: int) -> int:
@@ -100,8 +103,8 @@ def _pieces(texts: list[bytes], length: int) -> Iterator[tuple[list[int], list[i
 def _runs(length: int, gram: int):
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t.encode("utf-8") for t in batch.column("text").to_pylist()]
-            k1, k2, copies = (batch.column(c).to_numpy() for c in ("k1", "k2", "copies"))
+            texts = [t.encode("utf-8") for t in batch.column("_text").to_pylist()]
+            rid = batch.column("rid").to_numpy()
             for where, offset, parts in _pieces(texts, length):
                 data, ends = b"".join(parts), np.cumsum([len(x) for x in parts])
                 start, windows, place, anchor = find_runs(data, ends, length, gram)
@@ -109,13 +112,13 @@ def _runs(length: int, gram: int):
                 row = np.array(where)[part]
                 first = np.concatenate([[0], ends[:-1]])[part]
                 ctx = np.fromiter((xxhash.xxh3_64_intdigest(data[s : s + w + length - 1]) for s, w in zip(start.tolist(), windows.tolist(), strict=True)), U64, len(start))
-                yield arrow(RUN, k1=k1[row], k2=k2[row], anchor=anchor.view(np.int64), ctx=ctx.view(np.int64), p=start - first + np.array(offset)[part], nwin=windows.astype(np.int32), back=(place - start).astype(np.int32), copies=copies[row])
+                yield arrow(RUN, rid=rid[row], anchor=anchor.view(np.int64), ctx=ctx.view(np.int64), p=start - first + np.array(offset)[part], nwin=windows.astype(np.int32), back=(place - start).astype(np.int32))
 
     return runs
 
 
-CONTEXT = pa.schema([("anchor", pa.int64()), ("ctx", pa.int64()), ("kinds", pa.int64()), ("back", pa.int32()), ("nwin", pa.int32()), ("right", pa.binary()), ("left", pa.binary())])
-CONTEXT_SQL = "anchor long, ctx long, kinds long, back int, nwin int, right binary, left binary"
+CONTEXT = pa.schema([("anchor", pa.int64()), ("ctx", pa.int64()), ("back", pa.int32()), ("nwin", pa.int32()), ("right", pa.binary()), ("left", pa.binary())])
+CONTEXT_SQL = "anchor long, ctx long, back int, nwin int, right binary, left binary"
 
 
 def _contexts(length: int):
@@ -129,7 +132,7 @@ def _contexts(length: int):
                     run = data[x["p"] : x["p"] + x["nwin"] + length - 1]
                     if _signed(xxhash.xxh3_64_intdigest(run)) != x["ctx"]:
                         raise ValueError("a run was asked for in a text that does not have it")
-                    for f in ("anchor", "ctx", "kinds", "back", "nwin"):
+                    for f in ("anchor", "ctx", "back", "nwin"):
                         rows[f].append(x[f])
                     rows["right"].append(run[x["back"] :])
                     rows["left"].append(run[: x["back"]][::-1])
@@ -272,61 +275,69 @@ def _singles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield arrow(WINDOW, **rows)
 
 
-def _strip(length: int, with_kept: bool):
-    schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
+ADDED = pa.schema([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
 
+
+def _strip(length: int, columns: list[str], with_kept: bool):
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: dict[str, list] = {f.name: [] for f in schema}
-            for k1, k2, text, spans in zip(*(batch.column(c) for c in ("k1", "k2", "text", "spans")), strict=True):
+            rows: dict[str, list] = {f.name: [] for f in ADDED}
+            for text, spans in zip(batch.column("_text"), batch.column("_spans"), strict=True):
                 data = text.as_py().encode("utf-8")
                 kept, at, removed, count = [], 0, 0, 0
                 if spans.is_valid:
-                    flat = spans.values.flatten()
-                    lo, hi = flat[0].to_numpy(zero_copy_only=False), flat[1].to_numpy(zero_copy_only=False) + length
+                    lo, hi = (x.to_numpy(zero_copy_only=False) for x in spans.values.flatten())
                     order = np.argsort(lo, kind="stable")
-                    lo, hi = lo[order], np.maximum.accumulate(hi[order])
+                    lo, hi = lo[order], np.maximum.accumulate(hi[order] + length)
                     cut = np.flatnonzero(lo[1:] > hi[:-1]) + 1
                     for a, b in zip(lo[np.concatenate([[0], cut])].tolist(), hi[np.concatenate([cut - 1, [len(hi) - 1]])].tolist(), strict=True):
                         kept.append(data[at:a])
                         at, removed, count = b, removed + b - a, count + 1
                 kept.append(data[at:])
                 rest = b"".join(kept)
-                for c, v in zip(rows, (k1.as_py(), k2.as_py(), len(data), removed, count, hashlib.sha256(rest).hexdigest(), rest if with_kept else None), strict=True):
+                for c, v in zip(rows, (len(data), removed, count, hashlib.sha256(rest).hexdigest(), rest if with_kept else None), strict=True):
                     rows[c].append(v)
-            yield arrow(schema, **rows)
+            new = arrow(ADDED, **rows)
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in columns] + new.columns, names=columns + ADDED.names)
 
     return strip
 
 
-def distinct_texts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(k1, k2, text, copies): null texts are empty; k1 and k2 are two hashes of the text."""
-    plain = F.coalesce(F.col(text), F.lit(""))
-    return docs.select(F.xxhash64(plain).alias("k1"), F.xxhash64(F.lit(1), plain).alias("k2"), plain.alias("text")).groupBy("k1", "k2").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
-
-
 def repeated_windows(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """(k1, k2, first, last): ranges of places in texts at which a string of length bytes starts that starts elsewhere too."""
-    runs = texts.where(F.octet_length("text") >= length).mapInArrow(_runs(length, gram), RUN_SQL)
-    kinds = runs.groupBy("anchor", "ctx").agg(F.sum("copies").alias("times"))
+    """(rid, spans): ranges of places in a text at which a string of length bytes starts that starts elsewhere too.
+
+    texts has rid and _text; it is scanned several times and must number its rows alike each time.
+    """
+    runs = texts.where(F.octet_length("_text") >= length).mapInArrow(_runs(length, gram), RUN_SQL)
+    kinds = runs.groupBy("anchor", "ctx").agg(F.count(F.lit(1)).alias("times"))
     anchors = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.max("times").alias("most")).where("kinds > 1 or most > 1").drop("most")
     kinds = kinds.join(anchors, "anchor").where("kinds > 1 or times > 1")
-    places = runs.join(kinds, ["anchor", "ctx"])
+    places = cut(runs.join(kinds, ["anchor", "ctx"]))
     # one place of each run that has to be compared
-    asked = places.where("kinds > 1").groupBy("anchor", "ctx").agg(*(F.first(c).alias(c) for c in ("k1", "k2", "p", "nwin", "back", "kinds")))
-    asked = asked.groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "ctx", "kinds", "p", "nwin", "back")).alias("asked"))
-    contexts = texts.join(asked, ["k1", "k2"]).select("text", "asked").mapInArrow(_contexts(length), CONTEXT_SQL)
-    cold = contexts.where(F.col("kinds") <= hot).repartition("anchor").sortWithinPartitions("anchor", "right", "ctx").mapInArrow(_compare(length), SPAN_SQL)
-    blocks = contexts.where(F.col("kinds") > hot).mapInArrow(_blocks(length), PART_SQL)
-    wholes = blocks.groupBy("core", "whole").agg(F.count(F.lit(1)).alias("times"))
-    cores = wholes.groupBy("core").agg(F.count(F.lit(1)).alias("wholes"))
-    blocks = blocks.join(wholes, ["core", "whole"]).join(cores, "core")
-    singles = blocks.where("wholes > 1").select("anchor", "ctx", "w0", "w1", "core", "left", "right").mapInArrow(_singles, WINDOW_SQL)
-    twice = singles.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("times")).where("times > 1").drop("times")
-    warm = singles.join(twice, ["h1", "h2"]).select("anchor", "ctx", "w0", F.col("w0").alias("w1"))
-    spans = cold.union(blocks.where("times > 1").select("anchor", "ctx", "w0", "w1")).union(warm)
-    compared = places.where("kinds > 1 and times = 1").select("k1", "k2", "p", "anchor", "ctx").join(spans, ["anchor", "ctx"])
-    return places.where("times > 1").select("k1", "k2", F.col("p").alias("first"), (F.col("p") + F.col("nwin") - 1).alias("last")).union(compared.select("k1", "k2", F.col("p") + F.col("w0"), F.col("p") + F.col("w1")))
+    asked = places.where("kinds > 1").groupBy("anchor", "ctx").agg(F.min(F.struct("rid", "p", "nwin", "back", "kinds")).alias("x"))
+    asked = cut(asked.select("anchor", "ctx", "x.*"))
+
+    def contexts(of: DataFrame) -> DataFrame:
+        few = of.limit(BROADCAST_RUNS + 1).count() <= BROADCAST_RUNS
+        lists = of.groupBy("rid").agg(F.collect_list(F.struct("anchor", "ctx", "p", "nwin", "back")).alias("asked"))
+        return texts.join(F.broadcast(lists) if few else lists, "rid").select(F.col("_text").alias("text"), "asked").mapInArrow(_contexts(length), CONTEXT_SQL)
+
+    cold = contexts(asked.where(F.col("kinds") <= hot)).repartition("anchor").sortWithinPartitions("anchor", "right", "ctx").mapInArrow(_compare(length), SPAN_SQL)
+    spans = cold
+    crowded = asked.where(F.col("kinds") > hot)
+    if crowded.limit(1).count():
+        blocks = cut(contexts(crowded).mapInArrow(_blocks(length), PART_SQL))
+        wholes = blocks.groupBy("core", "whole").agg(F.count(F.lit(1)).alias("times"))
+        cores = wholes.groupBy("core").agg(F.count(F.lit(1)).alias("wholes"))
+        blocks = blocks.join(wholes, ["core", "whole"]).join(cores, "core")
+        singles = blocks.where("wholes > 1").select("anchor", "ctx", "w0", "w1", "core", "left", "right").mapInArrow(_singles, WINDOW_SQL)
+        twice = singles.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("times")).where("times > 1").drop("times")
+        warm = singles.join(twice, ["h1", "h2"]).select("anchor", "ctx", "w0", F.col("w0").alias("w1"))
+        spans = cold.union(blocks.where("times > 1").select("anchor", "ctx", "w0", "w1")).union(warm)
+    compared = places.where("kinds > 1 and times = 1").select("rid", "p", "anchor", "ctx").join(spans, ["anchor", "ctx"])
+    whole = places.where("times > 1").select("rid", F.col("p").alias("first"), (F.col("p") + F.col("nwin") - 1).alias("last"))
+    every = whole.union(compared.select("rid", F.col("p") + F.col("w0"), F.col("p") + F.col("w1")))
+    return every.groupBy("rid").agg(F.collect_list(F.struct("first", "last")).alias("_spans"))
 
 
 def strip_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", with_kept: bool = False, gram: int = GRAM, hot: int = HOT) -> DataFrame:
@@ -335,13 +346,13 @@ def strip_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", wit
     A byte goes if a string of length bytes that covers it starts anywhere else as well, in this text or in another;
     strings are judged on the texts as they came. Null texts are empty; texts under length bytes are left as they are;
     rows with equal texts of length bytes or more lose all of it. Columns of docs that have names of the result's are
-    dropped. An empty table gives an empty table.
+    dropped. An empty table gives an empty table. docs is scanned several times, so it should be read from files.
     """
-    texts = distinct_texts(docs, text)
-    found = repeated_windows(texts, length, gram, hot).groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
-    out = texts.join(found, ["k1", "k2"], "left").select("k1", "k2", "text", "spans").mapInArrow(_strip(length, with_kept), "k1 long, k2 long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-    names = {"k1", "k2", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"}
-    plain = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in names and c != text), F.xxhash64(plain).alias("k1"), F.xxhash64(F.lit(1), plain).alias("k2"))
-    joined = rows.join(out, ["k1", "k2"]).drop("k1", "k2")
-    return joined if with_kept else joined.drop("kept")
+    rest = [c for c in docs.columns if c not in {*ADDED.names, text, "rid", "_text", "_spans"}]
+    base = docs.select(F.monotonically_increasing_id().alias("rid"), F.coalesce(F.col(text), F.lit("")).alias("_text"), *(F.col(f"`{c}`") for c in rest))
+    found = cut(repeated_windows(base.select("rid", "_text"), length, gram, hot))
+    held = found.select(F.sum(F.size("_spans"))).first()[0] or 0
+    joined = base.join(F.broadcast(found) if held <= BROADCAST_RUNS else found, "rid", "left").drop("rid")
+    schema = T.StructType([docs.schema[c] for c in rest] + T._parse_datatype_string("n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary").fields)
+    out = joined.mapInArrow(_strip(length, rest, with_kept), schema)
+    return out if with_kept else out.drop("kept")

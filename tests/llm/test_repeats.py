@@ -21,7 +21,7 @@ def brute(texts, length):
 
 
 def got(spark, texts, length, **options):
-    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, k1 string").repartition(3)
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, kept string")
     rows = {r["doc_id"]: r for r in repeats.strip_repeats(df, length, **options).collect()}
     return [(rows[i]["n_bytes"], rows[i]["n_removed"], rows[i]["n_spans"], rows[i]["kept_sha256"]) for i in range(len(texts))]
 
@@ -78,3 +78,9 @@ def test_intervals_and_repeats():
     found, groups = repeats.repeated_offsets(s, [b"x", b"xy", b"xy", b"q"], 4)
     assert found[1] == [(1, 2), (2, 2)]
     assert (2, 3, [1, 2]) in groups
+
+
+def test_without_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "BROADCAST_RUNS", 0)
+    texts = planted(4, 40, 60)
+    assert got(spark, texts, 60, gram=16, hot=4) == brute(texts, 60)
