@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievework.llm import dart_minhash, repeats
+from sievework.llm import dart_minhash, packing, repeats, token_counts, token_output
 from sievework.llm.common import table
 
 
@@ -14,13 +14,25 @@ def op1_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dart_minhash.near_duplicates(table(spark, sf_dir, "documents")).drop("rid")
 
 
+def op4_packed_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.write_and_read(table(spark, sf_dir, "documents"), "op4")
+
+
+def op5_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeats.strip_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op7_unigram_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_dart_minhash, op6_suffix_array_dedup)}
+    return {f.__name__: f for f in (op1_dart_minhash, op4_packed_matrices, op5_sum_of_squares_packing, op6_suffix_array_dedup, op7_unigram_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
