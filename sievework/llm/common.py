@@ -73,6 +73,17 @@ def chunks_by_bytes(texts: Iterable[str | None], limit: int) -> Iterator[tuple[i
         yield start, held
 
 
+def utf8(column: pa.Array) -> list[memoryview]:
+    """The UTF-8 bytes of each string, without copying; nulls are empty."""
+    n = len(column)
+    if not n:
+        return []
+    wide = pa.types.is_large_string(column.type)
+    ends = np.frombuffer(column.buffers()[1], np.int64 if wide else np.int32)[column.offset : column.offset + n + 1].tolist()
+    data = memoryview(column.buffers()[2] or b"")
+    return [data[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+
+
 def arrow(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
 

@@ -27,13 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sievework.llm.common import U64, arrow, cut, grouped, mix
+from sievework.llm.common import U64, arrow, cut, grouped, mix, utf8
 
 LENGTH = 400
 GRAM = 64  # bytes of an anchor; a power of two below LENGTH
 HOT = 256
 BLOCK = 32
-CHUNK = 1_200_000
+CHUNK = 600_000
 SEGMENT = 4_000_000
 BROADCAST_RUNS = 1_000_000  # of some 60 bytes each
 
@@ -83,7 +83,7 @@ def find_runs(data: bytes, ends: np.ndarray, length: int, gram: int) -> tuple[np
     return start, windows, place[start], h[place[start]]
 
 
-def _pieces(texts: list[bytes], length: int) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
+def _pieces(texts: list[memoryview], length: int) -> Iterator[tuple[list[int], list[int], list[memoryview]]]:
     """Deals texts into chunks of (text's position, offset there, bytes). Very long texts come in segments that overlap by length - 1."""
     where, offset, held, size = [], [], [], 0
     for i, t in enumerate(texts):
@@ -103,7 +103,7 @@ def _pieces(texts: list[bytes], length: int) -> Iterator[tuple[list[int], list[i
 def _runs(length: int, gram: int):
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t.encode("utf-8") for t in batch.column("_text").to_pylist()]
+            texts = utf8(batch.column("_text"))
             rid = batch.column("rid").to_numpy()
             for where, offset, parts in _pieces(texts, length):
                 data, ends = b"".join(parts), np.cumsum([len(x) for x in parts])
@@ -126,10 +126,9 @@ def _contexts(length: int):
         """The bytes of the runs asked for: from the anchor on, and backwards before it."""
         for batch in batches:
             rows: dict[str, list] = {f.name: [] for f in CONTEXT}
-            for text, asked in zip(batch.column("text"), batch.column("asked"), strict=True):
-                data = text.as_py().encode("utf-8")
+            for data, asked in zip(utf8(batch.column("text")), batch.column("asked"), strict=True):
                 for x in asked.as_py():
-                    run = data[x["p"] : x["p"] + x["nwin"] + length - 1]
+                    run = bytes(data[x["p"] : x["p"] + x["nwin"] + length - 1])
                     if _signed(xxhash.xxh3_64_intdigest(run)) != x["ctx"]:
                         raise ValueError("a run was asked for in a text that does not have it")
                     for f in ("anchor", "ctx", "back", "nwin"):
@@ -282,8 +281,7 @@ def _strip(length: int, columns: list[str], with_kept: bool):
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: dict[str, list] = {f.name: [] for f in ADDED}
-            for text, spans in zip(batch.column("_text"), batch.column("_spans"), strict=True):
-                data = text.as_py().encode("utf-8")
+            for data, spans in zip(utf8(batch.column("_text")), batch.column("_spans"), strict=True):
                 kept, at, removed, count = [], 0, 0, 0
                 if spans.is_valid:
                     lo, hi = (x.to_numpy(zero_copy_only=False) for x in spans.values.flatten())
