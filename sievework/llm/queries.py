@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sievework.llm import dart_minhash, packing, repeats, token_counts, token_output
+from sievework.llm import dart_minhash, fingerprints, mixing, packing, quality, repeats, token_counts, token_output, topk_search
 from sievework.llm.common import table
 
 
@@ -14,6 +15,20 @@ def op1_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dart_minhash.near_duplicates(table(spark, sf_dir, "documents")).drop("rid")
 
 
+def op2_one_permutation_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+#: The tables have no domain: sources are grouped by their names' last digit.
+DOMAIN_SQL = "case when right(source, 1) in ('0', '1', '2') then 'web' when right(source, 1) in ('3', '4', '5', '6') then 'books' else 'forums' end"
+MIX_WEIGHTS = {"domain": {"web": 5, "books": 3, "forums": 2}, "lang": {"en": 40, "fr": 20, "de": 20, "es": 20}}
+MIX_BUDGET, MIX_EPOCHS, MIX_SEED = 0.9, 3, 7
+
+
+def op3_hierarchical_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), F.expr(DOMAIN_SQL), MIX_WEIGHTS, MIX_BUDGET, MIX_EPOCHS, MIX_SEED)
+
+
 def op4_packed_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.write_and_read(table(spark, sf_dir, "documents"), "op4")
 
@@ -31,9 +46,68 @@ def op7_unigram_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op9_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_segment_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def _weight_sql(level: str) -> str:
+    return f"case {level} " + " ".join(f"when '{name}' then {w}" for name, w in MIX_WEIGHTS.get(level, {}).items()) + " else 1 end" if level in MIX_WEIGHTS else "1"
+
+
+def _divide_sql(name: str, nodes: str, parent: str, level: str) -> str:
+    """The water level among the children of each parent: nodes has parent, level, cap, w and target."""
+    by = f"partition by {parent}" if parent else ""
+    return f"""{name}_a as (
+  select *, coalesce(sum(cap) over (o rows between unbounded preceding and 1 preceding), 0) as used, sum(w) over (o rows between current row and unbounded following) as l
+  from {nodes} window o as ({by} order by cap::decimal(38,0) / w::decimal(38,0), {level})
+), {name}_b as (
+  select *, min((cap::hugeint * l::hugeint <= w::hugeint * (target - used)::hugeint)::int) over ({by} order by cap::decimal(38,0) / w::decimal(38,0), {level}) as filled from {name}_a
+), {name}_c as (
+  select *, target - coalesce(sum(case when filled = 1 then cap end) over p, 0) as rest, sum(case when filled = 0 then w end) over p as open from {name}_b window p as ({by})
+), {name} as (select * exclude (target), case when filled = 1 then cap else w::hugeint * rest::hugeint // open::hugeint end::bigint as given from {name}_c)"""
+
+
+OP3_SQL = f"""
+with r as (
+  select doc_id, {DOMAIN_SQL} as domain, coalesce(lang, '') as lang, coalesce(source, '') as source, len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\r]+'))::bigint as n_tokens from documents
+), leaves as (select domain, lang, source, sum(n_tokens)::bigint as tokens, sum(n_tokens)::bigint * {MIX_EPOCHS} as cap from r group by all having sum(n_tokens) > 0),
+goal as (select least(floor(sum(tokens) * {MIX_BUDGET}::double)::bigint, sum(cap)::bigint) as target from leaves),
+n1 as (select domain, sum(cap)::bigint as cap, {_weight_sql("domain")} as w, any_value(target) as target from leaves, goal group by domain),
+{_divide_sql("d1", "n1", "", "domain")},
+n2 as (select domain, lang, sum(leaves.cap)::bigint as cap, {_weight_sql("lang")} as w, any_value(given) as target from leaves join d1 using (domain) group by domain, lang),
+{_divide_sql("d2", "n2", "domain", "lang")},
+n3 as (select domain, lang, source, sum(leaves.cap)::bigint as cap, 1 as w, any_value(given) as target from leaves join d2 using (domain, lang) group by domain, lang, source),
+{_divide_sql("d3", "n3", "domain, lang", "source")},
+plan as (select domain, lang, source, given // tokens as epochs, given % tokens as part from d3 join leaves using (domain, lang, source) where given > 0),
+e as (
+  select r.*, epochs, part, epoch, ('0x' || substr(md5('{MIX_SEED}|' || epoch || '|' || coalesce(doc_id::varchar, '')), 1, 15))::bigint as "order"
+  from r join plan using (domain, lang, source), unnest(range(0, epochs + 1)) as t(epoch)
+), c as (
+  select *, coalesce(sum(n_tokens) over (partition by domain, lang, source, epoch order by "order", doc_id, n_tokens rows between unbounded preceding and 1 preceding), 0)::bigint as before from e
+)
+select doc_id, domain, lang, source, epoch, "order", n_tokens, (case when epoch < epochs then n_tokens else least(n_tokens, part - before) end)::bigint as taken
+from c where epoch < epochs or (part > 0 and before < part)
+"""
+
+OP10_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) as x from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (
+  select q.vec_id as query_id, c.vec_id, list_dot_product(q.x, c.x)::bigint as score
+  from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 100 = 0
+), r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s)
+select query_id, rank, vec_id, score from r where rank <= 10
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_dart_minhash, op4_packed_matrices, op5_sum_of_squares_packing, op6_suffix_array_dedup, op7_unigram_token_counts)}
+    return {f.__name__: f for f in (op1_dart_minhash, op2_one_permutation_fingerprints, op3_hierarchical_mixing, op4_packed_matrices, op5_sum_of_squares_packing, op6_suffix_array_dedup, op7_unigram_token_counts, op9_compression_quality, op10_segment_topk)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_hierarchical_mixing": OP3_SQL, "op10_segment_topk": OP10_SQL}

@@ -98,9 +98,9 @@ def top_k(vectors: DataFrame, every: int = EVERY, k: int = K, vector: str = "emb
     base = usable(vectors, vector, vec_id)
     asked = cut(base.where(F.col("vec_id") % every == 0).distinct())
     blocks, cells = -(-asked.count() // QUERY_BLOCK), -(-base.count() // CELL)
-    whole = lambda n: F.sequence(F.lit(0), F.lit(max(n, 1) - 1))
-    queries = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(max(blocks, 1)))).withColumn("cell", F.explode(whole(cells)))
-    candidates = base.withColumn("cell", F.pmod(F.xxhash64("vec_id", F.col("x")), F.lit(max(cells, 1)))).withColumn("cell", F.col("cell").cast("int")).withColumn("block", F.explode(whole(blocks)).cast("long"))
+    whole = lambda n: F.sequence(F.lit(0).cast("long"), F.lit(max(n, 1) - 1).cast("long"))
+    queries = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(max(blocks, 1)).cast("long"))).withColumn("cell", F.explode(whole(cells)))
+    candidates = base.withColumn("cell", F.pmod(F.xxhash64("vec_id", F.col("x")), F.lit(max(cells, 1)).cast("long"))).withColumn("block", F.explode(whole(blocks)))
     found = queries.groupBy("block", "cell").cogroup(candidates.groupBy("block", "cell")).applyInArrow(_cell(k), "query_id long, vec_id long, score long")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
