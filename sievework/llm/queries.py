@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import dart_minhash, fingerprints, mixing, packing, quality, repeats, token_counts, token_output, topk_search
+from sievework.llm import dart_minhash, fingerprints, mixing, packing, quality, repeats, token_counts, token_output, topk_search, warc_bundles
 from sievework.llm.common import table
 
 
@@ -46,6 +46,20 @@ def op7_unigram_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op8_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_bundles.write_and_read(table(spark, sf_dir, "pages"), "op8")
+
+
+OP8_SQL = """
+with p as (select page_id, encode(coalesce(html, '')) as payload from pages),
+d as (select page_id, octet_length(payload) as payload_bytes, sha1(payload) as payload_digest from p),
+m as (select payload_digest, max(page_id) as response from d where payload_bytes >= 1000 group by payload_digest)
+select page_id, payload_bytes, payload_digest, case when page_id < response then 'revisit' else 'response' end as record_type,
+  case when page_id < response then response end as refers_to
+from d left join m using (payload_digest)
+"""
+
+
 def op9_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -106,8 +120,8 @@ select query_id, rank, vec_id, score from r where rank <= 10
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_dart_minhash, op2_one_permutation_fingerprints, op3_hierarchical_mixing, op4_packed_matrices, op5_sum_of_squares_packing, op6_suffix_array_dedup, op7_unigram_token_counts, op9_compression_quality, op10_segment_topk)}
+    return {f.__name__: f for f in (op1_dart_minhash, op2_one_permutation_fingerprints, op3_hierarchical_mixing, op4_packed_matrices, op5_sum_of_squares_packing, op6_suffix_array_dedup, op7_unigram_token_counts, op8_warc_bundles, op9_compression_quality, op10_segment_topk)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_hierarchical_mixing": OP3_SQL, "op10_segment_topk": OP10_SQL}
+    return {"op3_hierarchical_mixing": OP3_SQL, "op8_warc_bundles": OP8_SQL, "op10_segment_topk": OP10_SQL}
