@@ -274,7 +274,7 @@ def _singles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield arrow(WINDOW, **rows)
 
 
-ADDED = pa.schema([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
+ADDED = pa.schema([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())])
 
 
 def _strip(length: int, columns: list[str], with_kept: bool):
@@ -293,7 +293,7 @@ def _strip(length: int, columns: list[str], with_kept: bool):
                         at, removed, count = b, removed + b - a, count + 1
                 kept.append(data[at:])
                 rest = b"".join(kept)
-                for c, v in zip(rows, (len(data), removed, count, hashlib.sha256(rest).hexdigest(), rest if with_kept else None), strict=True):
+                for c, v in zip(rows, (len(data), removed, count, hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore") if with_kept else None), strict=True):
                     rows[c].append(v)
             new = arrow(ADDED, **rows)
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in columns] + new.columns, names=columns + ADDED.names)
@@ -339,7 +339,8 @@ def repeated_windows(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, h
 
 
 def strip_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", with_kept: bool = False, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """docs without the text, and n_bytes, n_removed, n_spans, kept_sha256 (and kept: the bytes left) of each row's text.
+    """docs without the text, and n_bytes, n_removed, n_spans, kept_sha256 (and kept: the text left, without characters that were cut
+    through) of each row's text.
 
     A byte goes if a string of length bytes that covers it starts anywhere else as well, in this text or in another;
     strings are judged on the texts as they came. Null texts are empty; texts under length bytes are left as they are;
@@ -351,6 +352,16 @@ def strip_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", wit
     found = cut(repeated_windows(base.select("rid", "_text"), length, gram, hot))
     held = found.select(F.sum(F.size("_spans"))).first()[0] or 0
     joined = base.join(F.broadcast(found) if held <= BROADCAST_RUNS else found, "rid", "left").drop("rid")
-    schema = T.StructType([docs.schema[c] for c in rest] + T._parse_datatype_string("n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary").fields)
+    schema = T.StructType([docs.schema[c] for c in rest] + T._parse_datatype_string("n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string").fields)
     out = joined.mapInArrow(_strip(length, rest, with_kept), schema)
     return out if with_kept else out.drop("kept")
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", n_chars: str | None = "n_chars") -> DataFrame:
+    """docs with each text's repeated passages taken out, and its characters counted anew; columns and rows as before."""
+    names = {c: f"_{i}" for i, c in enumerate(docs.columns)}
+    out = strip_repeats(docs.select(*(F.col(f"`{c}`").alias("text" if c == text else n) for c, n in names.items())), length, with_kept=True)
+    new = {text: F.when(F.col("n_bytes") > 0, F.col("kept"))}
+    if n_chars in names:
+        new[n_chars] = F.length("kept").cast(docs.schema[n_chars].dataType)
+    return out.select(*(new.get(c, F.col(n)).alias(c) for c, n in names.items()))
