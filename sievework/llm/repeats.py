@@ -11,8 +11,7 @@ interval says which of its windows occur elsewhere. All occurrences of an interv
 An anchor with more than HOT different runs is not gathered in one task: its runs are cut into blocks of windows that
 are counted by hash, and blocks whose middle repeats into single windows, counted likewise.
 
-Texts are not exchanged while what has to be looked up in them is small enough to broadcast (counted first), and by
-row number beyond that.
+Texts are exchanged twice, by row number: to look up the runs that are compared, and to take out what was found.
 """
 
 from __future__ import annotations
@@ -32,10 +31,9 @@ from sievework.llm.common import U64, arrow, cut, grouped, mix, utf8
 LENGTH = 400
 GRAM = 64  # bytes of an anchor; a power of two below LENGTH
 HOT = 256
-BLOCK = 32
+BLOCK = 8
 CHUNK = 600_000
 SEGMENT = 4_000_000
-BROADCAST_RUNS = 1_000_000  # of some 60 bytes each
 
 RUN = pa.schema([("rid", pa.int64()), ("anchor", pa.int64()), ("ctx", pa.int64()), ("p", pa.int64()), ("nwin", pa.int32()), ("back", pa.int32())])
 RUN_SQL = "rid long, anchor long, ctx long, p long, nwin int, back int"
@@ -316,9 +314,8 @@ def repeated_windows(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, h
     asked = cut(asked.select("anchor", "ctx", "x.*"))
 
     def contexts(of: DataFrame) -> DataFrame:
-        few = of.limit(BROADCAST_RUNS + 1).count() <= BROADCAST_RUNS
         lists = of.groupBy("rid").agg(F.collect_list(F.struct("anchor", "ctx", "p", "nwin", "back")).alias("asked"))
-        return texts.join(F.broadcast(lists) if few else lists, "rid").select(F.col("_text").alias("text"), "asked").mapInArrow(_contexts(length), CONTEXT_SQL)
+        return texts.join(lists, "rid").select(F.col("_text").alias("text"), "asked").mapInArrow(_contexts(length), CONTEXT_SQL)
 
     cold = contexts(asked.where(F.col("kinds") <= hot)).repartition("anchor").sortWithinPartitions("anchor", "right", "ctx").mapInArrow(_compare(length), SPAN_SQL)
     spans = cold
@@ -349,9 +346,8 @@ def strip_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", wit
     """
     rest = [c for c in docs.columns if c not in {*ADDED.names, text, "rid", "_text", "_spans"}]
     base = docs.select(F.monotonically_increasing_id().alias("rid"), F.coalesce(F.col(text), F.lit("")).alias("_text"), *(F.col(f"`{c}`") for c in rest))
-    found = cut(repeated_windows(base.select("rid", "_text"), length, gram, hot))
-    held = found.select(F.sum(F.size("_spans"))).first()[0] or 0
-    joined = base.join(F.broadcast(found) if held <= BROADCAST_RUNS else found, "rid", "left").drop("rid")
+    found = repeated_windows(base.select("rid", "_text"), length, gram, hot)
+    joined = base.join(found, "rid", "left").drop("rid")
     schema = T.StructType([docs.schema[c] for c in rest] + T._parse_datatype_string("n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string").fields)
     out = joined.mapInArrow(_strip(length, rest, with_kept), schema)
     return out if with_kept else out.drop("kept")

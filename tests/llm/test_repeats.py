@@ -78,9 +78,3 @@ def test_intervals_and_repeats():
     found, groups = repeats.repeated_offsets(s, [b"x", b"xy", b"xy", b"q"], 4)
     assert found[1] == [(1, 2), (2, 2)]
     assert (2, 3, [1, 2]) in groups
-
-
-def test_without_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(repeats, "BROADCAST_RUNS", 0)
-    texts = planted(4, 40, 60)
-    assert got(spark, texts, 60, gram=16, hot=4) == brute(texts, 60)
