@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievework.llm.common import U64, arrow, chunks_by_bytes, connected_components, cut, grouped, join_bounded, mix
+from sievework.llm.common import U64, arrow, arrow_map, chunks_by_bytes, connected_components, cut, grouped, join_bounded, mix
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -28,7 +28,7 @@ ROWS = 6  # coordinates of a band
 BANDS = 32  # at similarity 0.8, a pair shares no band with probability (1 - 0.8**6)**32 = 6e-5
 #: Signatures of k coordinates estimate a similarity of 0.8 with a deviation of 0.029; pairs this far below the threshold go unverified.
 MARGIN = 0.14
-CHUNK = 1_500_000
+CHUNK = 600_000
 DENSE = 12  # a bucket of more members is compared in place, from exact sets
 CELL = 2048  # members of a part of such a bucket; larger ones are compared part by part
 BROADCAST_ROWS = 500_000  # digests of 16 bytes
@@ -44,7 +44,7 @@ class _WordHashes(dict):
     """Hashes of words, kept while they are fewer than a bound."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         self[word] = value = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
         return value
@@ -280,7 +280,7 @@ def signatures(docs: DataFrame, rows: int = ROWS, bands: int = BANDS, text: str
     """(rid, doc_id, digest, sig): sig is null for a text without words. rid numbers the rows of docs as they are scanned."""
     base = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).cast("long").alias("doc_id"), normal_text(F.col(text)).alias("norm"))
     base = base.select("rid", "doc_id", "norm", F.unhex(F.md5("norm")).alias("digest"))
-    return base.mapInArrow(_sign(rows * bands), "rid long, doc_id long, digest binary, sig binary")
+    return base.transform(arrow_map(_sign(rows * bands), "rid long, doc_id long, digest binary, sig binary"))
 
 
 def links(docs: DataFrame, signed: DataFrame, threshold: float = THRESHOLD, rows: int = ROWS, bands: int = BANDS, text: str = "text", dense: int = DENSE) -> DataFrame:
@@ -295,18 +295,18 @@ def links(docs: DataFrame, signed: DataFrame, threshold: float = THRESHOLD, rows
     shared = cut(light.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("band", "bucket"))).where("n > 1"))
     few, many = shared.where(F.col("n") <= dense).drop("n"), shared.where(F.col("n") > dense)
     full = few.join(classes, "digest").repartition("band", "bucket").sortWithinPartitions("band", "bucket", "digest")
-    pairs = cut(full.mapInArrow(_pairs(rows, bands, threshold - MARGIN), "a binary, b binary").distinct())
+    pairs = cut(full.transform(arrow_map(_pairs(rows, bands, threshold - MARGIN), "a binary, b binary")).distinct())
     needed = cut(pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).union(many.select("digest")).distinct())
     texts = docs.select(normal_text(F.col(text)).alias("norm")).select(F.unhex(F.md5("norm")).alias("digest"), "norm")
     texts = join_bounded(texts, needed, ["digest"], "left_semi", BROADCAST_ROWS).groupBy("digest").agg(F.min("norm").alias("norm"))
-    bags = cut(texts.mapInArrow(_bags, "digest binary, bag binary"))
+    bags = cut(texts.transform(arrow_map(_bags, "digest binary, bag binary")))
     both = pairs.join(bags.select(F.col("digest").alias("a"), F.col("bag").alias("bag_a")), "a").join(bags.select(F.col("digest").alias("b"), F.col("bag").alias("bag_b")), "b")
-    thin = both.select("a", "b", "bag_a", "bag_b").mapInArrow(_verify(threshold), "a binary, b binary, similarity double")
+    thin = both.select("a", "b", "bag_a", "bag_b").transform(arrow_map(_verify(threshold), "a binary, b binary, similarity double"))
     parts = many.withColumn("parts", F.ceil(F.col("n") / CELL).cast("int"))
     parts = parts.withColumn("part", F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     cells = parts.select("band", "bucket", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "digest")
     keys = ["band", "bucket", "i", "j"]
-    thick = cells.join(bags, "digest").repartition(*keys).sortWithinPartitions(*keys, "digest").mapInArrow(_spanning(threshold), "a binary, b binary, similarity double")
+    thick = cells.join(bags, "digest").repartition(*keys).sortWithinPartitions(*keys, "digest").transform(arrow_map(_spanning(threshold), "a binary, b binary, similarity double"))
     return thin.union(thick)
 
 

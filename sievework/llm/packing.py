@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievework.llm import tokens
-from sievework.llm.common import arrow
+from sievework.llm.common import arrow, arrow_map
 
 LENGTH = 1024
 END = 0  # the id that ends a document
@@ -138,4 +138,4 @@ def pack(docs: DataFrame, size: int = LENGTH, vocabulary: str | None = None, end
     are no pieces. Other columns of docs are ignored.
     """
     path = vocabulary or tokens.default_vocabulary()
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_pack(path, size, end, most_open), PIECE_SQL)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).transform(arrow_map(_pack(path, size, end, most_open), PIECE_SQL))

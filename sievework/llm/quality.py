@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sievework.llm.common import arrow_map
+
 CHUNK = 512
 LEVEL = 3
 DICTIONARY = 64 * 1024
@@ -141,7 +143,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str
         chosen = part if chosen is None else chosen.union(part)
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     # at most 2 * most rows of 12 bytes are broadcast, and MOST_CHUNKS * CHUNK bytes of each come back
-    rows = texts.join(F.broadcast(chosen), "doc_id").mapInArrow(_take, "doc_id long, label int, parts array<binary>").collect()
+    rows = texts.join(F.broadcast(chosen), "doc_id").transform(arrow_map(_take, "doc_id long, label int, parts array<binary>")).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["parts"]))
     sizes = {0: 1, 1: 1} | {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     return fit([([bytes(p) for p in r["parts"]], r["label"]) for r in rows], sizes)
@@ -159,7 +161,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(p, pa.float64())], names=[*rest, "score"])
 
     schema = T.StructType([*(docs.schema[c] for c in rest), T.StructField("score", T.DoubleType())])
-    return docs.select(*(F.col(f"`{c}`") for c in rest), F.col(f"`{text}`").alias("_text")).mapInArrow(scored, schema)
+    return docs.select(*(F.col(f"`{c}`") for c in rest), F.col(f"`{text}`").alias("_text")).transform(arrow_map(scored, schema))
 
 
 def classify(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.common import arrow
+from sievework.llm.common import arrow, arrow_map
 
 SPACE = "▁"
 UNKNOWN = 10.0
@@ -112,4 +112,4 @@ def _count(path: str):
 
 def token_counts(docs: DataFrame, vocabulary: str | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_chars (code points) and n_tokens of each row. Null and empty texts have none; each row counts by itself; an empty table gives none; other columns are ignored."""
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_count(vocabulary or default_vocabulary()), "doc_id long, n_chars long, n_tokens long")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).transform(arrow_map(_count(vocabulary or default_vocabulary()), "doc_id long, n_chars long, n_tokens long"))

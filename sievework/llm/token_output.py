@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.llm import tokens
-from sievework.llm.common import arrow, scratch_path
+from sievework.llm.common import arrow, arrow_map, scratch_path
 
 LENGTH = 2048
 END = 0
@@ -123,7 +123,7 @@ def _matrices(path: str, size: int, end: int):
 def packed_matrices(docs: DataFrame, size: int = LENGTH, vocabulary: str | None = None, end: int = END, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """A row for each matrix. Null and empty texts are the end id alone; rows with the same or no doc_id are documents of their own; an empty table gives none; other columns are ignored."""
     path = vocabulary or tokens.default_vocabulary()
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_matrices(path, size, end), MATRIX_SQL)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).transform(arrow_map(_matrices(path, size, end), MATRIX_SQL))
 
 
 def write_matrices(docs: DataFrame, path: str, **options) -> None:
@@ -159,7 +159,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_rows(spark: SparkSession, path: str) -> DataFrame:
     """Written matrices read back, a row for each of theirs, with a checksum of its ids (as 32-bit numbers, without padding)."""
-    return spark.read.parquet(path).mapInArrow(_rows, ROW_SQL)
+    return spark.read.parquet(path).transform(arrow_map(_rows, ROW_SQL))
 
 
 def write_and_read(docs: DataFrame, name: str = "packed", **options) -> DataFrame:

@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm.common import arrow, cut, join_bounded, scratch_path
+from sievework.llm.common import arrow, arrow_map, cut, join_bounded, scratch_path
 
 LEAST = 1000  # bytes of a payload that may be revisited
 FRAME_BYTES = 256 * 1024
@@ -153,7 +153,7 @@ def bundles(pages: DataFrame, least: int = LEAST) -> DataFrame:
     best = base.where(F.col("size") >= least).groupBy("digest").agg(F.max("page_id").alias("response"), F.count(F.lit(1)).alias("n")).where("n > 1 and response is not null").drop("n")
     rows = join_bounded(base, cut(best), ["digest"], "left", BROADCAST_PAYLOADS)
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("response")), F.col("response"))
-    return rows.select("page_id", "url", F.when(refers.isNull(), F.col("html")).alias("html"), "digest", "size", refers.alias("response")).mapInArrow(_bundles, BUNDLE_SQL)
+    return rows.select("page_id", "url", F.when(refers.isNull(), F.col("html")).alias("html"), "digest", "size", refers.alias("response")).transform(arrow_map(_bundles, BUNDLE_SQL))
 
 
 READ = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
@@ -182,7 +182,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_bundles(spark: SparkSession, path: str) -> DataFrame:
     """A row for each record of the bundles at path: page_id, payload_bytes, payload_digest, record_type, refers_to. Responses are checked against their digests."""
-    return spark.read.parquet(path).mapInArrow(_read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return spark.read.parquet(path).transform(arrow_map(_read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"))
 
 
 def write_and_read(pages: DataFrame, name: str = "warc") -> DataFrame:
