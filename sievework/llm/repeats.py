@@ -26,12 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sievework.llm.common import U64, arrow, cut, grouped, mix, utf8
+from sievework.llm.common import U64, arrow, arrow_map, cut, grouped, mix, utf8
 
 LENGTH = 400
 GRAM = 64  # bytes of an anchor; a power of two below LENGTH
 HOT = 256
-BLOCK = 8
+BLOCK, PART_BLOCK = 32, 8
 CHUNK = 600_000
 SEGMENT = 4_000_000
 
@@ -255,6 +255,26 @@ def _blocks(length: int):
     return blocks
 
 
+def _sub_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks cut into smaller ones; what is known of a block's core is its key."""
+    for batch in batches:
+        rows: dict[str, list] = {f.name: [] for f in PART}
+        for x in batch.to_pylist():
+            left, right, w = x["left"], x["right"], x["w0"]
+            while w <= x["w1"]:
+                before = len(left) - (w - x["w0"])  # bytes of the window before the block's core
+                number = before // PART_BLOCK
+                until = min(x["w1"], w + before - number * PART_BLOCK)
+                inner, outer = len(left) - number * PART_BLOCK, BLOCK - (number + 1) * PART_BLOCK
+                key = xxhash.xxh3_64_intdigest(x["core"].to_bytes(8, "little", signed=True) + number.to_bytes(4, "little") + left[inner:] + right[:outer])
+                own_left, own_right = left[w - x["w0"] : inner], right[outer : BLOCK - 1 - before + until - w]
+                whole = xxhash.xxh3_64_intdigest(len(own_left).to_bytes(4, "little") + own_left + own_right)
+                for c, v in zip(rows, (x["anchor"], x["ctx"], w, until, _signed(key), _signed(whole), own_left, own_right), strict=True):
+                    rows[c].append(v)
+                w = until + 1
+        yield arrow(PART, **rows)
+
+
 WINDOW = pa.schema([("anchor", pa.int64()), ("ctx", pa.int64()), ("w0", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64())])
 WINDOW_SQL = "anchor long, ctx long, w0 int, h1 long, h2 long"
 
@@ -266,7 +286,7 @@ def _singles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batch.to_pylist():
             core, before = x["core"].to_bytes(8, "little", signed=True), len(x["left"])
             for i in range(x["w1"] - x["w0"] + 1):
-                h = xxhash.xxh3_128_intdigest(core + (before - i).to_bytes(4, "little") + x["left"][i:] + x["right"][: BLOCK - 1 - before + i])
+                h = xxhash.xxh3_128_intdigest(core + (before - i).to_bytes(4, "little") + x["left"][i:] + x["right"][: PART_BLOCK - 1 - before + i])
                 for c, v in zip(rows, (x["anchor"], x["ctx"], x["w0"] + i, _signed(h >> 64), _signed(h & (1 << 64) - 1)), strict=True):
                     rows[c].append(v)
         yield arrow(WINDOW, **rows)
@@ -304,7 +324,7 @@ def repeated_windows(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, h
 
     texts has rid and _text; it is scanned several times and must number its rows alike each time.
     """
-    runs = texts.where(F.octet_length("_text") >= length).mapInArrow(_runs(length, gram), RUN_SQL)
+    runs = texts.where(F.octet_length("_text") >= length).transform(arrow_map(_runs(length, gram), RUN_SQL))
     kinds = runs.groupBy("anchor", "ctx").agg(F.count(F.lit(1)).alias("times"))
     anchors = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.max("times").alias("most")).where("kinds > 1 or most > 1").drop("most")
     kinds = kinds.join(anchors, "anchor").where("kinds > 1 or times > 1")
@@ -315,20 +335,27 @@ def repeated_windows(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, h
 
     def contexts(of: DataFrame) -> DataFrame:
         lists = of.groupBy("rid").agg(F.collect_list(F.struct("anchor", "ctx", "p", "nwin", "back")).alias("asked"))
-        return texts.join(lists, "rid").select(F.col("_text").alias("text"), "asked").mapInArrow(_contexts(length), CONTEXT_SQL)
+        return texts.join(lists, "rid").select(F.col("_text").alias("text"), "asked").transform(arrow_map(_contexts(length), CONTEXT_SQL))
 
-    cold = contexts(asked.where(F.col("kinds") <= hot)).repartition("anchor").sortWithinPartitions("anchor", "right", "ctx").mapInArrow(_compare(length), SPAN_SQL)
+    cold = contexts(asked.where(F.col("kinds") <= hot)).repartition("anchor").sortWithinPartitions("anchor", "right", "ctx").transform(arrow_map(_compare(length), SPAN_SQL))
     spans = cold
     crowded = asked.where(F.col("kinds") > hot)
     if crowded.limit(1).count():
-        blocks = cut(contexts(crowded).mapInArrow(_blocks(length), PART_SQL))
-        wholes = blocks.groupBy("core", "whole").agg(F.count(F.lit(1)).alias("times"))
-        cores = wholes.groupBy("core").agg(F.count(F.lit(1)).alias("wholes"))
-        blocks = blocks.join(wholes, ["core", "whole"]).join(cores, "core")
-        singles = blocks.where("wholes > 1").select("anchor", "ctx", "w0", "w1", "core", "left", "right").mapInArrow(_singles, WINDOW_SQL)
+        blocks = cut(contexts(crowded).transform(arrow_map(_blocks(length), PART_SQL)))
+
+        def repeated(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
+            """Blocks that repeat as a whole, and those of which the core alone does."""
+            wholes = blocks.groupBy("core", "whole").agg(F.count(F.lit(1)).alias("times"))
+            cores = wholes.groupBy("core").agg(F.count(F.lit(1)).alias("wholes"))
+            both = blocks.join(wholes, ["core", "whole"]).join(cores, "core")
+            return both.where("times > 1").select("anchor", "ctx", "w0", "w1"), both.where("wholes > 1").select("anchor", "ctx", "w0", "w1", "core", "left", "right")
+
+        large, rest = repeated(blocks)
+        small, rest = repeated(cut(rest.transform(arrow_map(_sub_blocks, PART_SQL))))
+        singles = rest.transform(arrow_map(_singles, WINDOW_SQL))
         twice = singles.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("times")).where("times > 1").drop("times")
         warm = singles.join(twice, ["h1", "h2"]).select("anchor", "ctx", "w0", F.col("w0").alias("w1"))
-        spans = cold.union(blocks.where("times > 1").select("anchor", "ctx", "w0", "w1")).union(warm)
+        spans = cold.union(large).union(small).union(warm)
     compared = places.where("kinds > 1 and times = 1").select("rid", "p", "anchor", "ctx").join(spans, ["anchor", "ctx"])
     whole = places.where("times > 1").select("rid", F.col("p").alias("first"), (F.col("p") + F.col("nwin") - 1).alias("last"))
     every = whole.union(compared.select("rid", F.col("p") + F.col("w0"), F.col("p") + F.col("w1")))
@@ -349,7 +376,7 @@ def strip_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", wit
     found = repeated_windows(base.select("rid", "_text"), length, gram, hot)
     joined = base.join(found, "rid", "left").drop("rid")
     schema = T.StructType([docs.schema[c] for c in rest] + T._parse_datatype_string("n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string").fields)
-    out = joined.mapInArrow(_strip(length, rest, with_kept), schema)
+    out = joined.transform(arrow_map(_strip(length, rest, with_kept), schema))
     return out if with_kept else out.drop("kept")
 
 
