@@ -344,11 +344,12 @@ def repeated_windows(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, h
         blocks = cut(contexts(crowded).transform(arrow_map(_blocks(length), PART_SQL)))
 
         def repeated(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
-            """Blocks that repeat as a whole, and those of which the core alone does."""
-            wholes = blocks.groupBy("core", "whole").agg(F.count(F.lit(1)).alias("times"))
-            cores = wholes.groupBy("core").agg(F.count(F.lit(1)).alias("wholes"))
-            both = blocks.join(wholes, ["core", "whole"]).join(cores, "core")
-            return both.where("times > 1").select("anchor", "ctx", "w0", "w1"), both.where("wholes > 1").select("anchor", "ctx", "w0", "w1", "core", "left", "right")
+            """Blocks that repeat as a whole, and, where a core has several wholes, one block of each."""
+            one = F.min(F.struct("anchor", "ctx", "w0", "w1", "left", "right")).alias("one")
+            wholes = cut(blocks.groupBy("core", "whole").agg(F.count(F.lit(1)).alias("times"), one))
+            several = wholes.groupBy("core").agg(F.count(F.lit(1)).alias("wholes")).where("wholes > 1")
+            whole = blocks.join(wholes.where("times > 1").select("core", "whole"), ["core", "whole"], "left_semi")
+            return whole.select("anchor", "ctx", "w0", "w1"), wholes.join(several, "core").select("one.anchor", "one.ctx", "one.w0", "one.w1", "core", "one.left", "one.right")
 
         large, rest = repeated(blocks)
         small, rest = repeated(cut(rest.transform(arrow_map(_sub_blocks, PART_SQL))))
