@@ -622,6 +622,101 @@ def retrieval_plan(spark, sf_dir):
     return p.select("conv_id", "turn", "route_label", F.transform("first_wave", lambda s: F.concat_ws(":", s["role"], s["source_id"])).alias("first_wave"), "per_source", "overall", "variants", "at_once")
 
 
+_CATALOG = [
+    {"title": "A", "url": "u/a", "publication_date": "2024-01-01", "markers": ("the", "und", "que")},
+    {"title": "B", "url": "u/b", "publication_date": "2024-03-01", "markers": ("of", "der")},
+    {"title": "C", "url": "u/c", "publication_date": "2024-03-01", "markers": ("and", "la")},
+    {"title": "D", "url": "u/d", "markers": ("zzzz",)},
+]
+_ENTRIES = " union all ".join(f"select {i} as entry, '{e['title']}' as title, '{e['url']}' as url, '{e.get('publication_date', '')}' as date, conv_id, turn, {' + '.join(f"contains(n, '{m}')::int" for m in e['markers'])} as score from q" for i, e in enumerate(_CATALOG))
+
+
+@query(f"""with q as (select conv_id, turn, {_normal_sql('text')} as n from conversations where role = 'user'), e as ({_ENTRIES}), r as (select *, row_number() over (partition by conv_id, turn order by score desc, date desc, url desc)::int as rank from e where score > 0) select conv_id, turn, title, score, rank from r where rank <= 2""")
+def catalog_search(spark, sf_dir):
+    from sievework.sources.catalogs import search_catalog
+
+    q = _user_turns(spark, sf_dir).withColumn("qid", F.struct("conv_id", "turn"))
+    return search_catalog(q, _CATALOG, "qid", k=2).select("qid.conv_id", "qid.turn", "title", "score", "rank")
+
+
+_SCORED_HITS = f"h as (select d.doc_id as evidence_id, source, case lang when 'en' then 'mixed' when 'fr' then 'policy' else 'industry' end as label, {_ROLE} as route_role, d.n_chars % 5 as focus_score, d.n_chars % 7 as query_score, (d.n_chars % 11)::double as total_score, d.n_chars % 4 as tier_priority from documents d join labels using (doc_id))"
+
+
+def _scored_hits(spark, sf_dir):
+    n = F.col("n_chars")
+    x = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    return x.select(F.col("doc_id").alias("evidence_id"), "source", F.expr("case lang when 'en' then 'mixed' when 'fr' then 'policy' else 'industry' end").alias("label"), F.expr(_ROLE).alias("route_role"), (n % 5).alias("focus_score"), (n % 7).alias("query_score"), (n % 11).cast("double").alias("total_score"), (n % 4).alias("tier_priority"))
+
+
+@query(f"""with {_SCORED_HITS}, k as (select *, case when label = 'mixed' then (case route_role when 'primary' then 0 when 'supplemental' then 1 else 2 end) else 0 end as r from h),
+o as (select *, row_number() over (partition by source, label, r order by case when label = 'mixed' then -focus_score else 0 end, -query_score, case when label = 'industry' then tier_priority else -total_score end, evidence_id) as n from k),
+s as (select *, case when label <> 'mixed' then 0 when r = 2 then 4 when n = 1 then r else r + 2 end as slot from o) select source, label, evidence_id, row_number() over (partition by source, label order by slot, n)::int as rank from s""")
+def response_order(spark, sf_dir):
+    from sievework.operators.canonical import response_order as order
+
+    return order(_scored_hits(spark, sf_dir), ["source", "label"]).select("source", "label", "evidence_id", "rank")
+
+
+@query(f"""with {_SCORED_HITS}, o as (select *, row_number() over (partition by source, route_role order by focus_score desc, query_score desc, total_score desc, evidence_id) as n from h),
+g as (select *, n = 1 and route_role in ('primary', 'supplemental') and (focus_score > 0 or query_score > 0) as good from o), b as (select *, sum(good::int) over (partition by source) = 2 as pair from g),
+t as (select *, row_number() over (partition by source order by case when pair and good then (case route_role when 'primary' then 0 else 1 end) else 2 end, total_score desc, route_role <> 'primary', evidence_id) as turn from b) select source, evidence_id from t where turn <= 6""")
+def mixed_seeding(spark, sf_dir):
+    from sievework.operators.canonical import seeded_top
+
+    return seeded_top(_scored_hits(spark, sf_dir), ["source"], 6).select("source", "evidence_id")
+
+
+@query("""with p as (select user_id as hit, event_type as reason, floor(value / 10)::int as alignment from events), s as (select *, alignment + case reason when 'view' then 0 when 'click' then 2 else (reason <> 'original')::int end as total from p),
+r as (select *, row_number() over (partition by hit order by total desc, alignment desc) as k from s) select hit, total, 1 as focused, alignment, true as viable from r where k = 1""")
+def mixed_hit_score(spark, sf_dir):
+    """Users as hits and events as variants."""
+    from sievework.operators.canonical import mixed_hit_scores, viable
+
+    p = table(spark, sf_dir, "events").select(F.col("user_id").alias("hit"), F.col("event_type").alias("reason"), F.floor(F.col("value") / 10).cast("int").alias("alignment"))
+    x = mixed_hit_scores(p, ["hit"], {"view": 0, "click": 2})
+    return x.withColumn("viable", viable(F.col("total"), F.col("focused"), F.col("alignment")))
+
+
+def _records(spark, sf_dir):
+    """Documents as raw records of three domains."""
+    d, n = table(spark, sf_dir, "documents"), F.col("doc_id")
+    none = F.lit(None).cast("string")
+    some = lambda k, v: F.when(n % k == 0, v)
+    return d.select(
+        n.alias("pos"), F.concat_ws("_", F.element_at(F.array(F.lit("policy"), F.lit("academic"), F.lit("industry")), (n % 3 + 1).cast("int")), "source").alias("source_id"), F.concat(F.lit("https://"), "source", F.lit(".gov/"), n.cast("string")).alias("url"),
+        X.first_words(F.col("text"), 4).alias("title"), F.left("text", F.lit(120)).alias("snippet"), F.lit("official_government").alias("credibility_tier"), F.when(n % 2 == 0, "primary").otherwise("supplemental").alias("route_role"), X.token_estimate(F.left("text", F.lit(120))).alias("token_estimate"),
+        some(1, F.col("lang")).alias("authority"), some(5, F.lit("US")).alias("jurisdiction"), some(2, F.lit("2024-01-01")).alias("publication_date"), some(7, F.lit("2024-02-01")).alias("effective_date"), some(4, F.col("source")).alias("version"), none.alias("version_status"),
+        some(9, F.md5(F.lower(F.trim("text")))).alias("doi"), none.alias("arxiv_id"), some(6, F.col("source")).alias("first_author"), some(6, F.lit(2020)).alias("year"), some(6, F.lit("preprint")).alias("evidence_level"),
+    )
+
+
+@query()
+def canonical_records(spark, sf_dir):
+    from sievework.operators.canonical import collapse
+
+    x = collapse(_records(spark, sf_dir))
+    return x.select("evidence_id", "domain", "canonical_title", "canonical_url", "route_role", "tier_score", "records", F.size("slices").alias("n_slices"))
+
+
+@query("""with p as (select page_id, 'Authority: ' || page_id || chr(10) || 'Version: v' || page_id % 7 || chr(10) || 'on 2024-01-0' || (page_id % 9 + 1) || ' and 2024.02.1' || page_id % 10 as t from pages)
+select page_id, page_id::varchar as authority, '2024-01-0' || (page_id % 9 + 1) as publication_date, '2024-02-1' || page_id % 10 as effective_date, 'v' || page_id % 7 as version from p""")
+def policy_metadata(spark, sf_dir):
+    from sievework.sources.catalogs import policy_metadata as metadata
+
+    i = F.col("page_id")
+    t = F.concat(F.lit("Authority: "), i.cast("string"), F.lit("\nVersion: v"), (i % 7).cast("string"), F.lit("\non 2024-01-0"), (i % 9 + 1).cast("string"), F.lit(" and 2024.02.1"), (i % 10).cast("string"))
+    m = metadata(F.col("t"), F.lit(None).cast("string"))
+    return table(spark, sf_dir, "pages").withColumn("t", t).select("page_id", *(c.alias(n) for n, c in m.items()))
+
+
+@query("with s as (select user_id, ts, (ts - lag(ts) over (partition by user_id order by ts) > interval '6 hours')::int as cut from events), g as (select *, sum(coalesce(cut, 0)) over (partition by user_id order by ts rows unbounded preceding) as k from s) select user_id, floor(epoch(min(ts)))::bigint as started, count(*) as n from g group by user_id, k")
+def event_sessions(spark, sf_dir):
+    """The batch form of streaming.windows.sessions."""
+    from sievework.streaming.windows import sessions
+
+    return sessions(table(spark, sf_dir, "events"), "6 hours").select("user_id", F.unix_timestamp("started").alias("started"), "n")
+
+
 @query("select o_orderstatus, o_orderpriority, count(*) as n, round(sum(o_totalprice), 2) as total from orders group by cube (o_orderstatus, o_orderpriority)")
 def order_cube(spark, sf_dir):
     return table(spark, sf_dir, "orders").cube("o_orderstatus", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
