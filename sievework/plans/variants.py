@@ -122,10 +122,12 @@ def candidates(target: str, mixed: Column) -> list[tuple[str, Column]]:
     return [
         ("academic_ascii_core", ascii_core(n)),
         ("academic_source_hint", F.when(contains_any(n, V.SOURCE_HINTS), topic_focus(n, keep_hint=True))),
+        ("academic_phrase_locked", phrase_locked(topic)),
         ("academic_topic_focus", _if_new(topic, n)),
         ("academic_focus", F.when(mixed, add(q, n, ("论文", "研究"), ("paper", "research")))),
         ("academic_lookup", add(base, base_n, ("论文", "研究"), ("paper", "research"))),
         ("academic_benchmark", F.when(year, add(base, base_n, ("综述", "基准"), ("survey", "benchmark")))),
+        ("academic_evidence_type_focus", evidence_focus(topic, phrase_locked(topic))),
     ]
 
 
@@ -154,3 +156,30 @@ def best_fragment(df: DataFrame, query_id: str, target: str) -> DataFrame:
     place = F.when((F.col("first_route") == target) & (F.col("at") == 0), 1).when((F.col("first_route") != target) & (F.col("at") == 1), 1).otherwise(0)
     best = scored.groupBy(query_id).agg(F.max(F.struct(F.col(f"{target}_score"), place.alias("place"), F.size(F.split("query", " ")).alias("n"), F.col("query").alias("part"), "whole")).alias("b"))
     return df.join(best.select(query_id, _if_new(F.col("b.part"), F.col("b.whole")).alias("fragment")), query_id, "left")
+
+
+def phrase_locked(topic: Column) -> Column:
+    """The topic with its two most hyphenated phrases in quotes; null with fewer than two such phrases.
+
+    A phrase is a word with a hyphen and the next one, and a third where that ends a term.
+    """
+    w = F.split(topic, " ")
+    places = F.filter(F.sequence(F.lit(0), F.greatest(F.size(w) - 2, F.lit(0))), lambda i: F.get(w, i).contains("-") & ~F.coalesce(F.get(w, i + 1), F.lit("2000")).rlike("^20[0-9]{2}$"))
+    tail = lambda i: F.when(F.get(w, i + 2).isin(*V.PHRASE_TAILS), F.get(w, i + 2))
+    phrase = lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), tail(i))
+    found = F.transform(places, lambda i: F.struct((-F.regexp_count(F.get(w, i), F.lit("-"))).alias("hyphens"), i.alias("i"), phrase(i).alias("phrase")))
+    once = F.filter(found, lambda x, i: F.array_position(F.transform(found, lambda y: y["phrase"]), x["phrase"]) == i + 1)
+    best = F.transform(F.slice(F.array_sort(once), 1, 2), lambda x: x["phrase"])
+    at = lambda text, p: F.position(p, text)
+    mark = lambda text, p: F.concat(F.substring(text, F.lit(1), at(text, p) - 1), F.lit('"'), p, F.lit('"'), F.substring(text, at(text, p) + F.length(p), F.length(text)))
+    quoted = F.aggregate(best, topic, lambda text, p: F.when(F.contains(text, p), mark(text, p)).otherwise(text))
+    return F.when(F.size(best) >= 2, compact(quoted))
+
+
+def evidence_focus(topic: Column, locked: Column) -> Column:
+    """Two words of the topic, those of its first phrases where it has any, and the kinds of evidence it names; null with fewer than two kinds."""
+    kinds = F.array_distinct(F.filter(F.split(topic, " "), lambda w: w.isin(*V.EVIDENCE_TERMS)))
+    other = lambda text: F.filter(F.split(text, " "), lambda w: (w != "") & ~w.isin(*V.EVIDENCE_TERMS))
+    lead = F.when(locked.isNotNull() & (F.size(other(F.replace(locked, F.lit('"'), F.lit(" ")))) > 0), other(F.replace(locked, F.lit('"'), F.lit(" ")))).otherwise(other(topic))
+    out = F.array_join(F.concat(F.slice(lead, 1, 2), F.slice(kinds, 1, 4)), " ")
+    return F.when((F.size(kinds) >= 2) & (out != "") & (out != topic), out)

@@ -717,6 +717,55 @@ def event_sessions(spark, sf_dir):
     return sessions(table(spark, sf_dir, "events"), "6 hours").select("user_id", F.unix_timestamp("started").alias("started"), "n")
 
 
+_EVIDENCE_SQL = """q as (select item_id as qid, list_distinct(regexp_extract_all(lower(left(text, 80)), '[a-z0-9]+')) as terms, case when item_id % 2 = 0 then 'academic' else 'policy' end as primary_route from benchmark),
+e as (select b.item_id as qid, d.doc_id as evidence_id, case d.doc_id % 2 when 0 then 'policy' else 'academic' end as domain, case d.doc_id % 3 when 0 then 'supplemental' else 'primary' end as route_role, left(d.text, 30) as title,
+  [{'text': substr(d.text, 1, 200), 'source_record_id': 'a' || d.doc_id, 'score': 1.5, 'tokens': d.n_chars % 50}, {'text': substr(d.text, 201, 200), 'source_record_id': 'b' || d.doc_id, 'score': 0.5, 'tokens': d.n_chars % 40}] as slices, d.n_chars % 13 as total_score, d.n_chars % 3 as alignment,
+  case when d.doc_id % 5 = 0 then 'v' || d.doc_id end as version, case when d.doc_id % 5 = 0 then 'observed' end as version_status, case when d.doc_id % 7 < 3 then '2024-01-0' || (d.doc_id % 7 + 1) end as effective_date from benchmark b join documents d on d.doc_id % 50 = b.item_id % 50),
+s as (select qid, evidence_id, domain, route_role, title, total_score, alignment, x.text as text, x.source_record_id as source_record_id, x.score as score, x.tokens as tokens from (select *, unnest(slices) as x from e)),
+o as (select s.*, terms, primary_route, len(list_intersect(terms, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')))) as hits from s join q using (qid))"""
+
+
+def _evidence(spark, sf_dir):
+    """Benchmark items as queries; the documents whose number agrees with theirs as evidence of two slices each."""
+    b, d, n = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), F.col("doc_id")
+    q = b.select(F.col("item_id").alias("qid"), F.array_distinct(F.regexp_extract_all(F.lower(F.left("text", F.lit(80))), F.lit("[a-z0-9]+"), F.lit(0))).alias("terms"), F.when(F.col("item_id") % 2 == 0, "academic").otherwise("policy").alias("primary_route"), F.lit(True).alias("has_version_intent"), (F.col("item_id") % 3 == 0).alias("has_effective_date_intent"), F.lit(False).alias("is_policy_change"))
+    part = lambda at, name, score, m: F.struct(F.substring("text", at, 200).alias("text"), F.concat(F.lit(name), n.cast("string")).alias("source_record_id"), F.lit(score).alias("score"), (F.col("n_chars") % m).alias("tokens"))
+    e = d.select(
+        (n % 50).alias("k"), n.alias("evidence_id"), F.when(n % 2 == 0, "policy").otherwise("academic").alias("domain"), F.when(n % 3 == 0, "supplemental").otherwise("primary").alias("route_role"), F.left("text", F.lit(30)).alias("title"), F.array(part(1, "a", 1.5, 50), part(201, "b", 0.5, 40)).alias("slices"),
+        (F.col("n_chars") % 13).alias("total_score"), (F.col("n_chars") % 3).alias("alignment"), F.when(n % 5 == 0, F.concat(F.lit("v"), n.cast("string"))).alias("version"), F.when(n % 5 == 0, "observed").alias("version_status"), F.lit(None).cast("string").alias("publication_date"), F.when(n % 7 < 3, F.concat(F.lit("2024-01-0"), (n % 7 + 1).cast("string"))).alias("effective_date"),
+    )
+    return q, e.join(b.select(F.col("item_id").alias("qid"), (F.col("item_id") % 50).alias("k")), "k").drop("k")
+
+
+@query(f"""with {_EVIDENCE_SQL}, b as (select *, row_number() over (partition by qid, evidence_id order by hits desc, score desc, tokens, source_record_id desc) as k from o),
+r as (select *, row_number() over (partition by qid, domain, route_role order by hits desc, alignment desc, total_score desc, evidence_id)::int as rank from b where k = 1 and (hits > 0 or alignment > 0))
+select qid, domain, route_role, evidence_id, hits::int as overlap, source_record_id, text, rank from r where rank <= 2""")
+def route_slice_matches(spark, sf_dir):
+    from sievework.operators.matches import route_matches
+
+    q, e = _evidence(spark, sf_dir)
+    return route_matches(e, q)
+
+
+@query(f"""with {_EVIDENCE_SQL}, m as (select qid, max(hits) as most from o group by qid), t as (select qid, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as w from s union select qid, unnest(regexp_extract_all(lower(title), '[a-z0-9]+')) from e),
+h as (select q.qid, count(distinct t.w) as held from q left join t on t.qid = q.qid and list_contains(q.terms, t.w) group by q.qid)
+select q.qid, len(terms) = 0 or (case when primary_route = 'academic' then coalesce(most, 0) else held end) >= least(2, len(terms)) as relevant from q left join m using (qid) join h using (qid)""")
+def relevance_gate(spark, sf_dir):
+    from sievework.operators.matches import relevance_gate as gate
+
+    q, e = _evidence(spark, sf_dir)
+    return gate(e, q)
+
+
+@query(f"""with {_EVIDENCE_SQL}, k as (select qid, evidence_id, (version is not null)::int as n0, case when qid % 3 = 0 then (effective_date is not null)::int else 1 end as n1, row_number() over (partition by qid order by (version is not null)::int desc, case when qid % 3 = 0 then (effective_date is not null)::int else 1 end desc, alignment desc, coalesce(effective_date, '') desc, evidence_id desc) as r from e where domain = 'policy')
+select qid, evidence_id from k where r = 1 and n0 = 1 and n1 = 1""")
+def best_policy_lookup(spark, sf_dir):
+    from sievework.operators.matches import best_policy_record
+
+    q, e = _evidence(spark, sf_dir)
+    return best_policy_record(e, q)
+
+
 @query("select o_orderstatus, o_orderpriority, count(*) as n, round(sum(o_totalprice), 2) as total from orders group by cube (o_orderstatus, o_orderpriority)")
 def order_cube(spark, sf_dir):
     return table(spark, sf_dir, "orders").cube("o_orderstatus", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
