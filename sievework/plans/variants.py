@@ -40,9 +40,9 @@ def _if_new(candidate: Column, normal: Column) -> Column:
     return F.when((candidate != "") & (candidate != normal), candidate)
 
 
-def core_focus(normal: Column) -> Column:
+def core_focus(normal: Column, kept: Column | None = None) -> Column:
     """Without words that say little; null if that changes nothing, or if only single CJK characters are left."""
-    kept = pruned(normal, V.LOW_INFORMATION)
+    kept = pruned(normal, V.LOW_INFORMATION) if kept is None else kept
     bare = normal.rlike(CJK) & ~normal.rlike("[a-z0-9]") & kept.rlike(f"^({CJK}( |$))+$")
     return F.when(~bare, _if_new(kept, normal))
 
@@ -69,15 +69,19 @@ def gloss(normal: Column) -> Column:
     return F.when(normal.rlike(CJK) & (F.size(own) >= 3), _if_new(F.array_join(own, " "), normal))
 
 
-def document_focus(normal: Column) -> tuple[Column, Column]:
-    """(entity marker concept, entity concept) around the first document marker; null without all three."""
+def document_parts(normal: Column) -> dict[str, Column]:
+    """What stands before and after the first document marker, pruned, and the marker; empty without one."""
     markers = "|".join(re.escape(m) for m in sorted(V.DOCUMENT_MARKERS, key=len, reverse=True))
     pattern = rf"^(.*?)(?<![a-z0-9])({markers})(?![a-z0-9])(.*)$"
     part = lambda i: F.regexp_extract(normal, pattern, i)
-    entity, concept = pruned(part(1), V.DOCUMENT_NOISE), pruned(part(3), V.DOCUMENT_NOISE)
-    whole = (part(2) != "") & (entity != "") & (concept != "")
-    join = lambda *c: F.when(whole, _if_new(compact(F.concat_ws(" ", *c)), normal))
-    return join(entity, part(2), concept), join(entity, concept)
+    return {"_entity": pruned(part(1), V.DOCUMENT_NOISE), "_marker": part(2), "_concept": pruned(part(3), V.DOCUMENT_NOISE)}
+
+
+def document_focus(normal: Column, entity: Column, marker: Column, concept: Column) -> tuple[Column, Column]:
+    """(entity marker concept, entity concept); null without all three."""
+    whole = (marker != "") & (entity != "") & (concept != "")
+    join = lambda *c: F.when(whole, _if_new(F.concat_ws(" ", *c), normal))
+    return join(entity, marker, concept), join(entity, concept)
 
 
 def fragments(normal: Column) -> Column:
@@ -92,61 +96,73 @@ def fragments(normal: Column) -> Column:
 
 
 def candidates(target: str, mixed: Column) -> list[tuple[str, Column]]:
-    """(reason, variant or null) in order, for rows with query, normal and traits; without cross-domain fragments."""
+    """(reason, variant or null) in order, for rows with query, normal and traits; without cross-domain fragments.
+
+    What several variants use are columns of the rows: _kept, _entity, _marker, _concept, _topic and _locked.
+    """
     q, n = F.col("query"), F.col("normal")
     cjk = n.rlike(CJK)
     add = lambda base, base_n, han, latin: F.when(cjk, append_terms(base, base_n, han)).otherwise(append_terms(base, base_n, latin))
     trend, year = F.col("has_trend_intent"), F.col("has_year")
     if target == "policy":
         return [
-            ("core_focus", core_focus(n)),
+            ("core_focus", core_focus(n, F.col("_kept"))),
             ("policy_focus", F.when(mixed, add(q, n, ("政策", "监管"), ("policy", "regulation")))),
             ("policy_change", F.when(F.col("is_policy_change") | F.col("has_version_intent"), add(q, n, ("修订", "变化"), ("revision", "amendment")))),
             ("policy_effective_date", F.when(F.col("has_effective_date_intent") | year, add(q, n, ("生效", "时间"), ("effective date",)))),
         ]
     if target == "industry":
         share, forecast = contains_any(n, V.SHARE_MARKERS), contains_any(n, V.FORECAST_MARKERS)
-        document, concept = document_focus(n)
+        document, concept = document_focus(n, F.col("_entity"), F.col("_marker"), F.col("_concept"))
         return [
             ("document_focus", document),
             ("document_concept_focus", concept),
-            ("core_focus", core_focus(n)),
+            ("core_focus", core_focus(n, F.col("_kept"))),
             ("industry_cjk_gloss", gloss(n)),
             ("industry_focus", F.when(mixed, add(q, n, ("产业", "市场"), ("industry", "market")))),
             ("industry_trend", F.when((trend | year) & ~share & ~forecast, add(q, n, ("趋势", "预测"), ("trend", "forecast")))),
             ("industry_share", F.when(trend & ~share, add(q, n, ("市场", "份额"), ("market", "share")))),
         ]
-    topic = topic_focus(n)
+    topic, locked = F.col("_topic"), F.col("_locked")
     base = F.when(topic != "", topic).otherwise(q)
     base_n = F.when(topic != "", topic).otherwise(n)
     return [
         ("academic_ascii_core", ascii_core(n)),
         ("academic_source_hint", F.when(contains_any(n, V.SOURCE_HINTS), topic_focus(n, keep_hint=True))),
-        ("academic_phrase_locked", phrase_locked(topic)),
+        ("academic_phrase_locked", locked),
         ("academic_topic_focus", _if_new(topic, n)),
         ("academic_focus", F.when(mixed, add(q, n, ("论文", "研究"), ("paper", "research")))),
         ("academic_lookup", add(base, base_n, ("论文", "研究"), ("paper", "research"))),
         ("academic_benchmark", F.when(year, add(base, base_n, ("综述", "基准"), ("survey", "benchmark")))),
-        ("academic_evidence_type_focus", evidence_focus(topic, phrase_locked(topic))),
+        ("academic_evidence_type_focus", evidence_focus(topic, locked)),
     ]
 
 
 def first_distinct(options: Column, limit: int) -> Column:
-    """Of (reason, query) structs: those whose normal query is not empty and did not occur before, up to limit."""
-    key = lambda o: normalize_query(o["query"])
-    held = F.filter(options, lambda o: o["query"].isNotNull() & (key(o) != ""))
-    return F.slice(F.filter(held, lambda o, i: F.array_position(F.transform(held, key), key(o)) == i + 1), 1, limit)
+    """Of (reason, query, key) structs: those whose key is not empty and did not occur before, up to limit."""
+    held = F.filter(options, lambda o: F.coalesce(o["key"], F.lit("")) != "")
+    keys = F.transform(held, lambda o: o["key"])
+    first = F.filter(held, lambda o, i: F.array_position(keys, o["key"]) == i + 1)
+    return F.transform(F.slice(first, 1, limit), lambda o: F.struct(o["reason"].alias("reason"), o["query"].alias("query")))
 
 
 def variants(df: DataFrame, target: str, limit: int = 3) -> DataFrame:
     """df (query, normal, route_label, traits, and fragment where there is one) with variants, an array of (reason, query)."""
     mixed = F.col("route_label") == "mixed"
+    x = df
+    if target != "academic":
+        x = x.withColumn("_kept", pruned(F.col("normal"), V.LOW_INFORMATION))
+    if target == "industry":
+        x = x.withColumns(document_parts(F.col("normal")))
+    if target == "academic":
+        x = x.withColumn("_topic", topic_focus(F.col("normal"))).withColumn("_locked", phrase_locked(F.col("_topic")))
     options = [("original", F.trim(F.col("query")))]
     if "fragment" in df.columns:
         options.append(("cross_domain_fragment_focus", F.when(mixed, F.col("fragment"))))
     options += candidates(target, mixed)
-    x = df.withColumn("_options", F.array(*(F.struct(F.lit(r).alias("reason"), c.alias("query")) for r, c in options)))
-    return x.withColumn("variants", first_distinct(F.col("_options"), limit)).drop("_options")
+    x = x.withColumn("_raw", F.array(*(F.struct(F.lit(r).alias("reason"), c.alias("query")) for r, c in options)))
+    keyed = F.transform("_raw", lambda o: F.struct(o["reason"].alias("reason"), o["query"].alias("query"), normalize_query(o["query"]).alias("key")))
+    return x.withColumn("_options", keyed).withColumn("variants", first_distinct(F.col("_options"), limit)).select(*df.columns, "variants")
 
 
 def best_fragment(df: DataFrame, query_id: str, target: str) -> DataFrame:
