@@ -25,9 +25,12 @@ def brute_classes(rows):
             i = root[i]
         return i
 
+    size, sets = [sum(b.values()) for b in bags], [set(b) for b in bags]
     for i in range(len(rows)):
         for j in range(i):
-            if bags[i] and bags[j] and jaccard(bags[i], bags[j]) >= 0.8:
+            if not size[i] or not size[j] or min(size[i], size[j]) < 0.8 * max(size[i], size[j]) or sets[i].isdisjoint(sets[j]):
+                continue
+            if jaccard(bags[i], bags[j]) >= 0.8:
                 a, b = sorted((find(i), find(j)))
                 root[b] = a
     ids = {}
