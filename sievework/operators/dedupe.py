@@ -99,8 +99,8 @@ def _replay(same) -> callable:
 def policy_groups(df: DataFrame) -> DataFrame:
     """(pos, group_pos) of policy records that have an authority and a date: equal authority and title, and an equal version or date as the group's first record.
 
-    Only records of one (authority, title) block can match, so that blocks are replayed apart; a block's records are a
-    few versions of one document.
+    Only records of one (authority, title) block can match, so that blocks are replayed apart. Records with the same
+    version and dates join the same group, so that a block holds one of each: the versions of one document.
     """
 
     def same(a: dict, b: dict) -> bool:
@@ -109,7 +109,11 @@ def policy_groups(df: DataFrame) -> DataFrame:
     filled = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
     x = df.where(filled("authority") & (filled("publication_date") | filled("effective_date")))
     x = x.select("pos", F.lower(F.trim("authority")).alias("a"), policy_title(F.trim("title")).alias("t"), "version", "publication_date", "effective_date")
-    return x.groupBy("a", "t").applyInPandas(_replay(same), "pos long, group_pos long")
+    what = ["a", "t", "version", "publication_date", "effective_date"]
+    x = x.select("pos", *(F.coalesce(F.col(c), F.lit("")).alias(c) for c in what))
+    heads = x.groupBy(*what).agg(F.min("pos").alias("pos"))
+    found = heads.groupBy("a", "t").applyInPandas(_replay(same), "pos long, group_pos long").withColumnRenamed("pos", "head")
+    return x.join(heads.withColumnRenamed("pos", "head"), what).join(found, "head").select("pos", "group_pos")
 
 
 def similarity(left: str, right: str, least: float) -> bool:
