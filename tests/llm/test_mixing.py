@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from sievework.llm import mixing, queries
 
 sys.path.insert(0, str(Path(__file__).parent))
-from oracle import agree
+from llm_oracle import agree
 
 SCHEMA = "doc_id long, text string, lang string, source string, domain string"
 

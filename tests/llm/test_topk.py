@@ -6,7 +6,7 @@ import pytest
 from sievework.llm import queries, topk_search
 
 sys.path.insert(0, str(Path(__file__).parent))
-from oracle import agree
+from llm_oracle import agree
 
 SCHEMA = "vec_id long, embedding array<float>, rank int"
 

@@ -6,7 +6,7 @@ import zstandard
 from sievework.llm import queries, warc_bundles as wb
 
 sys.path.insert(0, str(Path(__file__).parent))
-from oracle import agree
+from llm_oracle import agree
 
 
 def test_sql(spark, sf_dir_2):
