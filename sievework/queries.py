@@ -766,6 +766,13 @@ def best_policy_lookup(spark, sf_dir):
     return best_policy_record(e, q)
 
 
+@query()
+def page_links(spark, sf_dir):
+    from sievework.sources.serp import links
+
+    return links(table(spark, sf_dir, "pages"), "page_id", "html", "url")
+
+
 @query("select o_orderstatus, o_orderpriority, count(*) as n, round(sum(o_totalprice), 2) as total from orders group by cube (o_orderstatus, o_orderpriority)")
 def order_cube(spark, sf_dir):
     return table(spark, sf_dir, "orders").cube("o_orderstatus", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
