@@ -79,3 +79,21 @@ def first_non_empty(df: DataFrame, by: list[str], priority: str) -> DataFrame:
     """Each group's rows of the first source that has any."""
     least = df.groupBy(*by).agg(F.min(priority).alias("_least"))
     return df.join(least, by).where(F.col(priority) == F.col("_least")).drop("_least")
+
+
+def live_hits(df: DataFrame, by: list[str], k: int = 3, official: str = "company_official", score: str = "score", tier: str = "tier", url: str = "url") -> DataFrame:
+    """A query's k best captured candidates: by score, tier and address (the later one first), with column rank.
+
+    Candidates with a score come alone if there are any. An official candidate with a score is among the k, in the last
+    place if no better one is there.
+    """
+    group = Window.partitionBy(*by)
+    place = F.coalesce(sum_when(F.col(tier), V.TIER_PRIORITY), F.lit(99))
+    x = df.withColumn("_pos", (F.col(score) > 0).cast("int")).withColumn("_any", F.max("_pos").over(group))
+    x = x.withColumn("_n", F.when(F.col("_pos") == F.col("_any"), F.row_number().over(group.orderBy(F.desc("_pos"), F.desc(score), place, F.desc(url)))))
+    good = (F.col(tier) == official) & (F.col(score) > 0)
+    x = x.withColumn("_held", F.max(((F.col("_n") <= k) & (F.col(tier) == official)).cast("int")).over(group)).withColumn("_best", F.min(F.when(good, F.col("_n"))).over(group)).withColumn("_size", F.count("_n").over(group))
+    last = F.least(F.col("_size"), F.lit(k))
+    forced = F.when((F.coalesce("_held", F.lit(0)) == 0) & F.col("_best").isNotNull(), F.when(F.col("_n") == F.col("_best"), last).when(F.col("_n") < last, F.col("_n")))
+    rank_ = F.when((F.coalesce("_held", F.lit(0)) == 0) & F.col("_best").isNotNull(), forced).when(F.col("_n") <= k, F.col("_n"))
+    return x.withColumn("rank", rank_).where("rank is not null").drop("_pos", "_any", "_n", "_held", "_best", "_size")

@@ -196,3 +196,21 @@ def test_answer_status(spark, evidence_n, grounded, points, retrieval_status, wa
 def test_abstract(spark):
     df = spark.createDataFrame([({"world": [1, 3], "hello": [0], "new": [2]},)], "m map<string,array<int>>")
     assert df.select(X.abstract_text(F.col("m")).alias("v")).first()["v"] == "hello world new world"
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_live_hits(spark, seed):
+    r = random.Random(seed)
+    tiers = ["company_official", "industry_association", "trusted_news", "general_web"]
+    rows = [(g, f"u{g}-{i}", r.choice(tiers[seed % 2 :]), r.choice([0, 0, 1, 2, 5])) for g in range(40) for i in range(r.randint(1, 7))]
+    rows += [(g, f"u{g}-x", "company_official", 1) for g in range(0, 40, 3)]
+    got = {}
+    for x in ranking.live_hits(spark.createDataFrame(rows, "g int, url string, tier string, score int"), ["g"]).orderBy("g", "rank").collect():
+        got.setdefault(x["g"], []).append(x["url"])
+    for g in range(40):
+        own = sorted((x for x in rows if x[0] == g), key=lambda x: (x[3], -tiers.index(x[2]), x[1]), reverse=True)
+        top = [x for x in own if x[3] > 0][:3] or own[:3]
+        best = next((x for x in own if x[2] == "company_official" and x[3] > 0), None)
+        if best and not any(x[2] == "company_official" for x in top):
+            top = top[:2] + [best] if len(top) >= 3 else top + [best]
+        assert got[g] == [x[1] for x in top]
