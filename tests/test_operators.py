@@ -214,3 +214,15 @@ def test_live_hits(spark, seed):
         if best and not any(x[2] == "company_official" for x in top):
             top = top[:2] + [best] if len(top) >= 3 else top + [best]
         assert got[g] == [x[1] for x in top]
+
+
+def test_excerpts(spark):
+    text = " ".join(f"word{i}" for i in range(100)) + " gold silver " + " ".join(f"tail{i}" for i in range(60))
+    for most in (40, 90, 200):
+        got = paragraphs.excerpt_of(text, {"gold", "silver"}, most, 4)
+        assert len(got) <= most and got in text
+        assert "gold silver" in got
+    assert paragraphs.excerpt_of("a  b", {"b"}, 10) == "a b"
+    assert paragraphs.excerpt_of("x" * 50, set(), 10) == "x" * 10
+    df = spark.createDataFrame([(text, ["gold"]), (None, None)], "t string, w array<string>")
+    assert [r["e"] for r in df.select(paragraphs.best_excerpt(90)(F.col("t"), F.col("w")).alias("e")).collect()] == [paragraphs.excerpt_of(text, {"gold"}, 90), None]
