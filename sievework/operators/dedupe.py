@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievework.functions.text import academic_title, industry_title, policy_title
+from sievework.operators.components import checkpoint, connected_components
 
 
 def first_wins(df: DataFrame, keys: list[Column], pos: str = "pos") -> DataFrame:
@@ -33,36 +34,16 @@ def merge_hits(df: DataFrame, keys: list[Column], variant: str = "variant", pos:
     return out.select("_row.*", F.transform("_v", lambda v: v[variant]).alias("variants"))
 
 
-def _checkpoint(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir")
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="sievework-"))
-    return df.checkpoint()
-
-
-def alias_components(df: DataFrame, record: str, aliases: list[Column], max_rounds: int = 60) -> DataFrame:
+def alias_components(df: DataFrame, record: str, aliases: list[Column]) -> DataFrame:
     """(record, component): records that share an alias, directly or through others; component is the smallest record.
 
-    Labels travel through aliases: an alias takes the least label of its records, a record the least of its aliases.
-    Both steps are aggregates; no pairs are made.
+    Each record is linked to the smallest record of each of its aliases; no pairs are made beyond that.
     """
-    ties = df.select(F.col(record), F.explode(F.array_compact(F.array(*aliases))).alias("alias")).distinct()
-    ties = _checkpoint(ties)
-    labels = _checkpoint(df.select(F.col(record), F.col(record).alias("component")).distinct())
-    for _ in range(max_rounds):
-        of_alias = ties.join(labels, record).groupBy("alias").agg(F.min("component").alias("least"))
-        of_record = ties.join(of_alias, "alias").groupBy(record).agg(F.min("least").alias("least"))
-        step = labels.join(of_record, record, "left").select(record, "component", F.least("component", F.coalesce("least", "component")).alias("next"))
-        jump = step.select(F.col(record).alias("next"), F.col("next").alias("beyond"))
-        step = _checkpoint(step.join(jump, "next", "left").select(record, "component", F.least("next", F.coalesce("beyond", "next")).alias("new")))
-        changed = step.where("new <> component").limit(1).count()
-        labels = step.select(record, F.col("new").alias("component"))
-        if not changed:
-            return labels
-    raise RuntimeError("components did not settle")
+    ties = checkpoint(df.select(F.col(record), F.explode(F.array_compact(F.array(*aliases))).alias("alias")).distinct())
+    first = ties.groupBy("alias").agg(F.min(record).alias("least"))
+    links = ties.join(first, "alias").select(F.col(record).alias("a"), F.col("least").alias("b"))
+    roots = connected_components(links).withColumnRenamed("node", record)
+    return df.select(record).distinct().join(roots, record, "left").select(record, F.coalesce("root", record).alias("component"))
 
 
 def academic_aliases(title: str = "title", author: str = "first_author", year: str = "year", doi: str = "doi", arxiv: str = "arxiv_id", source: str = "source_id", url: str = "url") -> list[Column]:
