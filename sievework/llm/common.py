@@ -156,24 +156,3 @@ def grouped(batches: Iterable[pa.RecordBatch], keys: list[str], at_least: int =
             at_least = max(at_least, 2 * rows)
     if held:
         yield pa.Table.from_batches(held)
-
-
-def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
-    """(node, root) for each node of links; root is the smallest node of its component.
-
-    Smallest labels travel over links and are shortened by pointer jumping, so that rounds grow with the logarithm of a
-    component's diameter. Each round is aggregated before its shuffle and is cut by a checkpoint.
-    """
-    both = links.select(F.col(a).alias("src"), F.col(b).alias("dst"))
-    both = cut(both.union(both.select("dst", "src")).where("src != dst").distinct())
-    labels = cut(both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("least")).select("node", F.least("node", "least").alias("root")))
-    for _ in range(max_rounds):
-        near = both.join(labels.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("root").alias("near"))
-        moved = labels.join(near, "node", "left").select("node", "root", F.least("root", F.coalesce("near", "root")).alias("next"))
-        jump = labels.select(F.col("node").alias("next"), F.col("root").alias("beyond"))
-        step = cut(moved.join(jump, "next", "left").select("node", "root", F.least("next", F.coalesce("beyond", "next")).alias("new")))
-        changed = step.where("new != root").limit(1).count()
-        labels = step.select("node", F.col("new").alias("root"))
-        if not changed:
-            return labels
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")

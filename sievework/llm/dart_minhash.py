@@ -20,7 +20,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievework.llm.common import U64, arrow, arrow_map, chunks_by_bytes, connected_components, cut, grouped, join_bounded, mix
+from sievework.llm.common import U64, arrow, arrow_map, chunks_by_bytes, cut, grouped, join_bounded, mix
+from sievework.operators.components import connected_components
 
 WORDS = 5
 THRESHOLD = 0.8
