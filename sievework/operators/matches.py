@@ -6,14 +6,21 @@ with text, source_record_id, score and tokens), total_score, alignment; queries
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
+from itertools import batched
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sievework.functions.text import normalize_query, tokens
+from sievework.functions.text import TOKEN, normalize_query, tokens
 
 Terms = Callable[[Column], Column]
+SLICE = r"(?s).{1,200}(?!\S)|\S+"
+QUERIES, CELLS = 2_000, 4_000_000  # of a pass over the records; of slices and queries that are counted at once
 
 
 def words_of(text: Column) -> Column:
@@ -39,6 +46,116 @@ def route_matches(evidence: DataFrame, queries: DataFrame, limit: int = 2, of: T
     return x.select("qid", "domain", "route_role", "evidence_id", F.col("best.hits").alias("overlap"), F.col("best.source_record_id").alias("source_record_id"), F.col("best.text").alias("text"), "rank")
 
 
+def whole_slices(text: Column, record: Column) -> Column:
+    """A whole text as slices of 200 characters at most, cut between words only; a longer word is a slice of its own. The first scores 1.5, the others 0.5."""
+
+    def part(s: Column, i: Column) -> Column:
+        name = F.concat(record.cast("string"), F.lit(":"), F.lpad(i.cast("string"), 7, "0"))
+        return F.struct(s.alias("text"), name.alias("source_record_id"), F.when(i == 0, 1.5).otherwise(0.5).alias("score"), F.regexp_count(s, F.lit(r"\S+")).alias("tokens"))
+
+    return F.transform(F.regexp_extract_all(text, F.lit(SLICE), F.lit(0)), part)
+
+
+def _best_of_all(block: list[tuple], limit: int, schema: pa.Schema):
+    """Each query's limit best records by domain and role in each part of a batch; nothing that could be among the best of all is lost."""
+    words = {t: i for i, t in enumerate({t for _, terms in block for t in terms})}
+    held = sorted({(words[t], q) for q, (_, terms) in enumerate(block) for t in terms})
+    term, asks = np.array([t for t, _ in held], np.int64), np.array([q for _, q in held], np.int64)
+    many = np.bincount(term, minlength=len(words))
+    first, n = np.cumsum(many) - many, len(block)
+    token = re.compile(TOKEN)
+
+    def parts(rows: list[dict]) -> Iterator[list[dict]]:
+        held, size = [], 0
+        for r in rows:
+            held.append(r)
+            size += len(r["slices"])
+            if size * n >= CELLS:
+                yield held
+                held, size = [], 0
+        if held:
+            yield held
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: dict[str, list] = {f.name: [] for f in schema}
+            for docs in parts(batch.to_pylist()):
+                found = [[words[t] for t in {*token.findall(s)} if t in words] for d in docs for s in d["normal"]]
+                size = len(found)
+                t = np.array([x for f in found for x in f], np.int64)
+                at = np.repeat(np.arange(size), [len(f) for f in found])
+                times = many[t]
+                place = np.repeat(first[t] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+                hits = np.bincount(np.repeat(at, times) * n + asks[place], minlength=size * n).reshape(size, n)
+                begin = np.cumsum([0, *(len(d["slices"]) for d in docs)])[:-1]
+                order = [sorted(range(len(d["slices"])), key=lambda i, s=d["slices"]: (s[i]["score"], -s[i]["tokens"], s[i]["source_record_id"])) for d in docs]
+                hits *= size
+                for b, o in zip(begin, order, strict=True):
+                    hits[b + np.array(o)] += np.arange(len(o))[:, None]
+                top = np.maximum.reduceat(hits, begin, axis=0)
+                rank = np.zeros(len(docs), np.int64)
+                by_id = sorted(range(len(docs)), key=lambda i: docs[i]["evidence_id"], reverse=True)
+                rank[sorted(by_id, key=lambda i: (docs[i]["alignment"], docs[i]["total_score"]))] = np.arange(len(docs))
+                worth = (top // size) * len(docs) + rank[:, None]
+                worth[(top < size) & (np.array([d["alignment"] for d in docs]) <= 0)[:, None]] = -1
+                groups: dict[tuple, list[int]] = {}
+                for i, d in enumerate(docs):
+                    groups.setdefault((d["domain"], d["route_role"]), []).append(i)
+                for members in groups.values():
+                    own = worth[members]
+                    few = np.argpartition(-own, limit - 1, axis=0)[:limit] if len(members) > limit else np.repeat(np.arange(len(members))[:, None], n, axis=1)
+                    for k, q in zip(*(x.tolist() for x in np.nonzero(np.take_along_axis(own, few, 0) >= 0)), strict=True):
+                        i = members[few[k, q]]
+                        d, (overlap, at_slice) = docs[i], divmod(int(top[i, q]), size)
+                        s = d["slices"][order[i][at_slice]]
+                        row = (block[q][0], d["domain"], d["route_role"], d["evidence_id"], overlap, s["source_record_id"], s["text"], d["alignment"], d["total_score"])
+                        for c, v in zip(out, row, strict=True):
+                            out[c].append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(v, schema.field(c).type) for c, v in out.items()], schema=schema)
+
+    return best
+
+
+def route_matches_of_all(records: DataFrame, queries: DataFrame, limit: int = 2) -> DataFrame:
+    """route_matches with every record as evidence of every query: records are evidence without qid, a row each.
+
+    Queries' terms are collected and become an index by token, with which records are met where they lie, QUERIES
+    queries in a pass; only the best of each batch are exchanged. Terms are words_of the queries' texts.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    own = T.StructType([queries.schema["qid"], *(records.schema[c] for c in ("domain", "route_role", "evidence_id")), *T._parse_datatype_string("overlap int, source_record_id string, text string").fields, *(records.schema[c] for c in ("alignment", "total_score"))])
+    x = records.where(F.size("slices") > 0).select("evidence_id", "domain", "route_role", "alignment", "total_score", "slices", F.transform("slices", lambda s: normalize_query(s["text"])).alias("normal"))
+    asked = [(r["qid"], r["terms"]) for r in queries.select("qid", F.array_distinct("terms").alias("terms")).collect()]
+    out = None
+    for block in batched(asked, QUERIES):
+        some = x.mapInArrow(_best_of_all([*block], limit, to_arrow_schema(own)), own)
+        out = some if out is None else out.union(some)
+    out = records.sparkSession.createDataFrame([], own) if out is None else out
+    order = Window.partitionBy("qid", "domain", "route_role").orderBy(F.desc("overlap"), F.desc("alignment"), F.desc("total_score"), "evidence_id")
+    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).drop("alignment", "total_score")
+
+
+def relevance_gate_of_all(records: DataFrame, queries: DataFrame, of: Terms = words_of) -> DataFrame:
+    """relevance_gate with every record as evidence of every query."""
+    best = route_matches_of_all(records, queries, 1).groupBy("qid").agg(F.max("overlap").alias("most"))
+    text = F.concat(F.array("title"), F.transform("slices", lambda s: s["text"]))
+    there = records.select(F.explode(F.array_distinct(F.flatten(F.transform(text, of)))).alias("term")).distinct()
+    held = queries.select("qid", F.explode(F.array_distinct("terms")).alias("term")).join(there, "term", "left_semi").groupBy("qid").agg(F.count(F.lit(1)).alias("held"))
+    n = F.size(F.array_distinct("terms"))
+    x = queries.join(best, "qid", "left").join(held, "qid", "left")
+    got = F.coalesce(F.when(F.col("primary_route") == "academic", F.col("most")).otherwise(F.col("held")), F.lit(0))
+    return x.select("qid", ((n == 0) | (got >= F.least(F.lit(2), n))).alias("relevant"))
+
+
+def best_policy_record_of_all(records: DataFrame, queries: DataFrame) -> DataFrame:
+    """best_policy_record with every record as evidence of every query: the best depends on the query's traits alone, so it is found once for each of their combinations."""
+    traits = ["has_version_intent", "has_effective_date_intent", "is_policy_change"]
+    kinds = queries.select(*traits).distinct().withColumn("qid", F.concat_ws(" ", *(F.col(t).cast("string") for t in traits)))
+    best = best_policy_record(records.crossJoin(F.broadcast(kinds.select("qid"))), kinds).withColumnRenamed("qid", "kind")
+    return queries.withColumn("kind", F.concat_ws(" ", *(F.col(t).cast("string") for t in traits))).join(best, "kind").select("qid", "evidence_id")
+
+
 def relevance_gate(evidence: DataFrame, queries: DataFrame, of: Terms = words_of) -> DataFrame:
     """(qid, relevant): enough query terms (two, or all of fewer) occur in the evidence, for academic queries in one slice."""
     text = lambda: F.concat(F.array("title"), F.transform("slices", lambda s: s["text"]))

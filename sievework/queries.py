@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sievework.functions import text as X
 from sievework.functions import vocabulary as V
-from sievework.operators import alignment, answers, classify, dedupe, evidence, paragraphs, ranking, reports, retrieval
+from sievework.operators import alignment, answers, classify, dedupe, evidence, matches, paragraphs, ranking, reports, retrieval
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -766,6 +766,35 @@ def best_policy_lookup(spark, sf_dir):
     return best_policy_record(e, q)
 
 
+def _whole_evidence(spark, sf_dir):
+    """Benchmark items as queries, with all their terms; all documents as evidence, with their whole texts in slices."""
+    q, n = _evidence(spark, sf_dir)[0], F.col("doc_id")
+    q = q.join(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.array_distinct(X.tokens(X.normalize_query(F.col("text")))).alias("all_terms")), "qid").withColumn("terms", F.col("all_terms")).drop("all_terms")
+    e = table(spark, sf_dir, "documents").select(
+        n.alias("evidence_id"), F.when(n % 2 == 0, "policy").otherwise("academic").alias("domain"), F.when(n % 3 == 0, "supplemental").otherwise("primary").alias("route_role"), F.split("text", "\n", 2)[0].alias("title"), matches.whole_slices(F.col("text"), n).alias("slices"),
+        (F.col("n_chars") % 13).alias("total_score"), (F.col("n_chars") % 3).alias("alignment"), F.when(n % 5 == 0, F.concat(F.lit("v"), n.cast("string"))).alias("version"), F.when(n % 5 == 0, "observed").alias("version_status"), F.lit(None).cast("string").alias("publication_date"), F.when(n % 7 < 3, F.concat(F.lit("2024-01-0"), (n % 7 + 1).cast("string"))).alias("effective_date"),
+    )
+    return q, e
+
+
+@query()
+def route_slice_matches_of_all(spark, sf_dir):
+    q, e = _whole_evidence(spark, sf_dir)
+    return matches.route_matches_of_all(e, q)
+
+
+@query()
+def relevance_gate_of_all(spark, sf_dir):
+    q, e = _whole_evidence(spark, sf_dir)
+    return matches.relevance_gate_of_all(e, q)
+
+
+@query()
+def best_policy_lookup_of_all(spark, sf_dir):
+    q, e = _whole_evidence(spark, sf_dir)
+    return matches.best_policy_record_of_all(e, q)
+
+
 @query()
 def page_links(spark, sf_dir):
     from sievework.sources.serp import links
