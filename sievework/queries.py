@@ -436,6 +436,42 @@ def answer_status(spark, sf_dir):
     return g.withColumn("status", answers.answer_status(F.when(F.col("answer_id") % 3 == 0, "failure_gaps").otherwise("success"), n, F.col("grounded"), F.col("points")))
 
 
+_CITES_OF_ALL = """m as (select coalesce(max(conv_id), 0) + 1 as n from conversations), p as (select conv_id, turn, c.text, length(c.text) as n, doc_id, d.text as t from conversations c left join (select documents.*, doc_id % m.n as k from documents, m) d on d.k = conv_id),
+c as (select conv_id as answer_id, turn || ':' || coalesce(doc_id::varchar, '') as point_id, case when n % 7 = 0 or doc_id is null then 'missing' else 'd' || doc_id end as evidence_id, case when n % 5 = 0 or doc_id is null then 's-' else 's' || doc_id end as source_record_id,
+  case when n % 11 = 0 or doc_id is null then '' when n % 3 = 2 then text else replace(substr(t, (1 + (turn * 7919 + doc_id * 31 + n) % greatest(length(t) - 29, 1))::bigint, 30), ' ', case when n % 3 = 1 then ' - ' else ' ' end) end as quote_text from p),
+e as (select 'd' || doc_id as evidence_id, 's' || doc_id as source_record_id, text as slice_text from documents),
+k as (select *, trim(regexp_replace(lower(quote_text), '[^a-z0-9]+', ' ', 'g')) as q from c),
+x as (select answer_id, point_id, case when n.evidence_id is null then 'missing evidence_id' when e.slice_text is null then 'missing source_record_id'
+  when trim(quote_text) <> '' and not contains(slice_text, quote_text) and not contains(trim(regexp_replace(lower(slice_text), '[^a-z0-9]+', ' ', 'g')), q) then 'quote_text mismatch' end as issue
+  from k left join (select distinct evidence_id from e) n on n.evidence_id = k.evidence_id left join e on e.evidence_id = k.evidence_id and e.source_record_id = k.source_record_id)"""
+
+
+def _checked_of_all(spark, sf_dir):
+    """Every document as evidence, cited by the turns of one conversation with quotes from anywhere in its text; turns without a document cite none."""
+    d, c, n = table(spark, sf_dir, "documents"), table(spark, sf_dir, "conversations"), F.length("text")
+    answers_n = (c.agg(F.max("conv_id")).first()[0] or 0) + 1
+    c = c.join(d.select("doc_id", F.col("text").alias("t"), (F.col("doc_id") % answers_n).alias("conv_id")), "conv_id", "left")
+    key, none = F.col("doc_id").cast("string"), F.col("doc_id").isNull()
+    at = (1 + (F.col("turn") * 7919 + F.col("doc_id") * 31 + n) % F.greatest(F.length("t") - 29, F.lit(1))).cast("int")
+    quote = F.when((n % 11 == 0) | none, "").when(n % 3 == 2, F.col("text")).otherwise(F.replace(F.substr("t", at, F.lit(30)), F.lit(" "), F.when(n % 3 == 1, " - ").otherwise(" ")))
+    c = c.select(F.col("conv_id").alias("answer_id"), F.concat(F.col("turn").cast("string"), F.lit(":"), F.coalesce(key, F.lit(""))).alias("point_id"), F.when((n % 7 == 0) | none, "missing").otherwise(F.concat(F.lit("d"), key)).alias("evidence_id"), F.when((n % 5 == 0) | none, "s-").otherwise(F.concat(F.lit("s"), key)).alias("source_record_id"), quote.alias("quote_text"))
+    e = d.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("evidence_id"), F.concat(F.lit("s"), F.col("doc_id").cast("string")).alias("source_record_id"), F.col("text").alias("slice_text"))
+    return answers.check_citations(c, e, key=answers.quote_key_ascii)
+
+
+@query(f"with {_CITES_OF_ALL} select answer_id, point_id, issue from x")
+def citation_validation_of_all(spark, sf_dir):
+    return _checked_of_all(spark, sf_dir).select("answer_id", "point_id", "issue")
+
+
+@query(f"""with {_CITES_OF_ALL}, p2 as (select answer_id, point_id, bool_and(issue is null) as ok from x group by all), g as (select answer_id, count(*) filter (where ok) as grounded, count(*) as points from p2 group by answer_id)
+select answer_id, grounded, points, case when answer_id % 5 = 0 and answer_id % 3 = 0 then 'retrieval_failure' when answer_id % 5 = 0 or points = 0 or grounded < points then 'insufficient_evidence' else 'grounded_success' end as status from g""")
+def answer_status_of_all(spark, sf_dir):
+    g = answers.grounded_points(_checked_of_all(spark, sf_dir), ["answer_id"])
+    n = F.when(F.col("answer_id") % 5 == 0, 0).otherwise(1)
+    return g.withColumn("status", answers.answer_status(F.when(F.col("answer_id") % 3 == 0, "failure_gaps").otherwise("success"), n, F.col("grounded"), F.col("points")))
+
+
 @query(f"""with h as (select doc_id, lower(trim(source)) || lang as a, lower(trim(text)) as b from documents where doc_id % 2 = 1), o as (select lower(trim(source)) || lang as a, lower(trim(text)) as b from documents where doc_id % 2 = 0 and doc_id % 3 = 0)
 select doc_id from h where b not in (select b from o)""")
 def frontier_anti_dedupe(spark, sf_dir):
