@@ -5,6 +5,7 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -59,25 +60,6 @@ def academic_aliases(title: str = "title", author: str = "first_author", year: s
     ]
 
 
-def _replay(same) -> callable:
-    """First group whose first record matches, else a new one, in order of pos."""
-
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos", kind="stable")
-        heads: list[int] = []
-        group = []
-        rows = pdf.to_dict("records")
-        for i, row in enumerate(rows):
-            at = next((h for h in heads if same(row, rows[h])), None)
-            if at is None:
-                heads.append(i)
-                at = i
-            group.append(rows[at]["pos"])
-        return pd.DataFrame({"pos": pdf["pos"], "group_pos": group})
-
-    return replay
-
-
 def policy_groups(df: DataFrame) -> DataFrame:
     """(pos, group_pos) of policy records that have an authority and a date: equal authority and title, and an equal version or date as the group's first record.
 
@@ -105,25 +87,100 @@ def policy_groups(df: DataFrame) -> DataFrame:
 
 
 def similarity(left: str, right: str, least: float) -> bool:
-    """Whether difflib's ratio reaches least; cheap upper bounds come first. The order of arguments matters."""
-    if 2 * min(len(left), len(right)) < least * (len(left) + len(right)):
+    """Whether difflib's ratio reaches least; cheap upper bounds come first. The order of arguments matters.
+
+    Its matching blocks are found one by one, as ratio() does, until what has matched is enough, or what has matched
+    and could still match, the shorter side of each part left, is not.
+    """
+    total = len(left) + len(right)
+    if 2 * min(len(left), len(right)) < least * total:
         return False
+    if not total:
+        return least <= 1.0
     m = SequenceMatcher(a=left, b=right)
-    return m.quick_ratio() >= least and m.ratio() >= least
+    matched, open_, parts = 0, min(len(left), len(right)), [(0, len(left), 0, len(right))]
+    while parts:
+        if 2.0 * matched / total >= least:
+            return True
+        if 2.0 * (matched + open_) / total < least:
+            return False
+        # the largest part first: it decides most
+        parts.sort(key=lambda p: min(p[1] - p[0], p[3] - p[2]))
+        alo, ahi, blo, bhi = parts.pop()
+        i, j, size = m.find_longest_match(alo, ahi, blo, bhi)
+        open_ -= min(ahi - alo, bhi - blo)
+        if size:
+            matched += size
+            for part in ((alo, i, blo, j), (i + size, ahi, j + size, bhi)):
+                if part[0] < part[1] and part[2] < part[3]:
+                    parts.append(part)
+                    open_ += min(part[1] - part[0], part[3] - part[2])
+    return 2.0 * matched / total >= least
+
+
+GRAM_CELLS = 256
+
+
+def _features(text: str) -> np.ndarray:
+    """Counts of a text's characters, pairs and triples of them, each in GRAM_CELLS cells by hash; cells that share only raise what two texts have in common."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    grams = (c, c[:-1] * 37 + c[1:], (c[:-2] * 37 + c[1:-1]) * 41 + c[2:])
+    return np.concatenate([np.bincount(g % GRAM_CELLS, minlength=GRAM_CELLS) for g in grams]).astype(np.int32)
+
+
+def _may_match(own: np.ndarray, others: np.ndarray, size: int, sizes: np.ndarray, least: float) -> np.ndarray:
+    """False where difflib's ratio cannot reach least.
+
+    A ratio r of texts of total characters means that m >= r * total / 2 of them match, in total - 2 * m + 1 blocks at
+    most, since a character is left over between two blocks. A block of n characters has n - q + 1 strings of q.
+    """
+    total = size + sizes
+    m = least * total / 2
+    ok = np.ones(len(sizes), bool)
+    for q in (1, 2, 3):
+        at = np.flatnonzero(ok)
+        cells = slice((q - 1) * GRAM_CELLS, q * GRAM_CELLS)
+        common = np.minimum(others[at, cells], own[cells]).sum(1)
+        ok[at] = common + 1e-6 >= m[at] - (q - 1) * (total[at] - 2 * m[at] + 1)
+    return ok
+
+
+def _replay_similar(least_title: float, least_snippet: float):
+    """First group whose first record is similar, else a new one, in order of pos. Heads are compared in full only where bounds by lengths and counts leave it open."""
+
+    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pos", kind="stable")
+        n, titles, texts = len(pdf), pdf["t"].tolist(), pdf["s"].tolist()
+        length = {k: np.array([len(x) for x in v], np.int64) for k, v in (("t", titles), ("s", texts))}
+        heads = np.empty(n, np.int64)
+        features = np.empty((n, 3 * GRAM_CELLS), np.int32)
+        k, group = 0, []
+        for i in range(n):
+            near = np.ones(k, bool)
+            for c, least in (("t", least_title), ("s", least_snippet)):
+                own, others = length[c][i], length[c][heads[:k]]
+                near &= 2 * np.minimum(own, others) + 1e-6 >= least * (own + others)
+            near, own = np.flatnonzero(near), _features(titles[i])
+            near = near[_may_match(own, features[near], length["t"][i], length["t"][heads[near]], least_title)]
+            at = next((h for h in heads[near].tolist() if similarity(titles[i], titles[h], least_title) and similarity(texts[i], texts[h], least_snippet)), None)
+            if at is None:
+                heads[k], features[k], at = i, own, i
+                k += 1
+            group.append(at)
+        return pd.DataFrame({"pos": pdf["pos"], "group_pos": pdf["pos"].to_numpy()[group]})
+
+    return replay
 
 
 def similar_groups(df: DataFrame, host: Column, title: str = "title", snippet: str = "snippet", least_title: float = 0.88, least_snippet: float = 0.72) -> DataFrame:
     """(pos, group_pos): a record joins the first group of its host whose first record has a similar title and text.
 
-    Equal (host, title, text) records match alike, so each distinct one is compared once and its copies follow it.
+    Equal (host, title, text) records match alike, so each distinct one is compared once and its copies follow it. A
+    host is replayed in one task, since the rule depends on order.
     """
-
-    def same(a: dict, b: dict) -> bool:
-        return similarity(a["t"], b["t"], least_title) and similarity(a["s"], b["s"], least_snippet)
-
-    x = df.select("pos", F.coalesce(host, F.lit("")).alias("h"), industry_title(F.col(title)).alias("t"), industry_title(F.col(snippet)).alias("s"))
+    x = df.select("pos", F.coalesce(host, F.lit("")).alias("h"), industry_title(F.coalesce(title, F.lit(""))).alias("t"), industry_title(F.coalesce(snippet, F.lit(""))).alias("s"))
     heads = x.groupBy("h", "t", "s").agg(F.min("pos").alias("pos"))
-    found = heads.groupBy("h").applyInPandas(_replay(same), "pos long, group_pos long")
+    found = heads.groupBy("h").applyInPandas(_replay_similar(least_title, least_snippet), "pos long, group_pos long")
     return x.join(heads.withColumnRenamed("pos", "head"), ["h", "t", "s"]).join(found.withColumnRenamed("pos", "head"), "head").select("pos", "group_pos")
 
 

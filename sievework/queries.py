@@ -330,10 +330,9 @@ def alias_components(spark, sf_dir):
 
 @query()
 def similarity_collapse(spark, sf_dir):
-    """Documents of a source whose first lines and texts' second lines are alike; a group's head is its first document."""
+    """Documents of a source whose first lines and whole texts are alike; a group's head is its first document."""
     x = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pos"), "source", F.split("text", "\n", 2)[0].alias("title"), "text")
-    x = x.withColumn("block", F.concat_ws(":", "source", F.lower(F.substring("title", 1, 12))))
-    return dedupe.similar_groups(x, F.col("block"), "title", "title").select(F.col("pos").alias("doc_id"), F.col("group_pos").alias("group_id"))
+    return dedupe.similar_groups(x, F.col("source"), "title", "text").select(F.col("pos").alias("doc_id"), F.col("group_pos").alias("group_id"))
 
 
 @query("""with o as (select o_orderkey as pos, o_custkey, o_orderpriority, o_orderstatus, strftime(o_orderdate, '%Y-%m') as month from orders), f as (select o_custkey, o_orderpriority, pos, month, o_orderstatus from o)

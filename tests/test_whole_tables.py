@@ -1,6 +1,44 @@
+import re
+from difflib import SequenceMatcher
+
 from sievework import queries as Q
 
 
+def similar_groups(rows):
+    """The reference's rule on (pos, host, title, text), each record against all heads of its host."""
+    normal = lambda t: re.sub("[^a-z0-9]+", " ", (t or "").lower()).strip()
+    ratio = lambda a, b: SequenceMatcher(a=a, b=b).ratio()
+    heads, out = {}, {}
+    for pos, host, title, text in sorted(rows):
+        t, s = normal(title), normal(text)
+        for at, t2, s2 in heads.setdefault(host, []):
+            if ratio(t, t2) >= 0.88 and ratio(s, s2) >= 0.72:
+                out[pos] = at
+                break
+        else:
+            heads[host].append((pos, t, s))
+            out[pos] = pos
+    return out
+
+
+def planted(spark, tmp_path):
+    """Near titles that differ at their start, equal first lines over different texts, texts that part after 120 characters."""
+    long, other = "the council of the town met on monday to vote on a new plan for roads", "prices of wheat fell in every market while rain kept farmers at home"
+    texts = [f"{long}\n{long} and rail", f"a {long}\n{long} and rail", f"{long}\n{other} {other}", f"{long}\n{long} and rails", f"{other}\n{long} {other}", f"x{other}\n{long} {other}"]
+    texts += [f"{long} {long} {tail}" for tail in (other * 6, "zq 0123 " * 60, other * 6 + " once")]
+    rows = [(i * 3 + k, t, "en", "s", len(t)) for k in range(3) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    return str(tmp_path)
+
+
+def test_similarity_collapse_against_all_pairs(spark, sf_dir, tmp_path):
+    for folder in (sf_dir, planted(spark, tmp_path)):
+        docs = spark.read.parquet(f"{folder}/documents.parquet").collect()
+        want = similar_groups((d["doc_id"], d["source"], d["text"].split("\n")[0], d["text"]) for d in docs)
+        assert {r["doc_id"]: r["group_id"] for r in Q.similarity_collapse(spark, folder).collect()} == want
+        assert len({*want.values()}) < len(want)
+
+
 def test_every_document_is_evidence_and_cited(spark, sf_dir):
     x = Q._checked_of_all(spark, sf_dir).collect()
     texts = {f"d{r['doc_id']}": r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
