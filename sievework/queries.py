@@ -713,13 +713,13 @@ def mixed_hit_score(spark, sf_dir):
 
 
 def _records(spark, sf_dir):
-    """Documents as raw records of three domains."""
+    """Documents as raw records of three domains: first lines as titles, whole texts as snippets."""
     d, n = table(spark, sf_dir, "documents"), F.col("doc_id")
     none = F.lit(None).cast("string")
     some = lambda k, v: F.when(n % k == 0, v)
     return d.select(
         n.alias("pos"), F.concat_ws("_", F.element_at(F.array(F.lit("policy"), F.lit("academic"), F.lit("industry")), (n % 3 + 1).cast("int")), "source").alias("source_id"), F.concat(F.lit("https://"), "source", F.lit(".gov/"), n.cast("string")).alias("url"),
-        X.first_words(F.col("text"), 4).alias("title"), F.left("text", F.lit(120)).alias("snippet"), F.lit("official_government").alias("credibility_tier"), F.when(n % 2 == 0, "primary").otherwise("supplemental").alias("route_role"), X.token_estimate(F.left("text", F.lit(120))).alias("token_estimate"),
+        F.split("text", "\n", 2)[0].alias("title"), F.col("text").alias("snippet"), F.lit("official_government").alias("credibility_tier"), F.when(n % 2 == 0, "primary").otherwise("supplemental").alias("route_role"), X.token_estimate(F.col("text")).alias("token_estimate"),
         some(1, F.col("lang")).alias("authority"), some(5, F.lit("US")).alias("jurisdiction"), some(2, F.lit("2024-01-01")).alias("publication_date"), some(7, F.lit("2024-02-01")).alias("effective_date"), some(4, F.col("source")).alias("version"), none.alias("version_status"),
         some(9, F.md5(F.lower(F.trim("text")))).alias("doi"), none.alias("arxiv_id"), some(6, F.col("source")).alias("first_author"), some(6, F.lit(2020)).alias("year"), some(6, F.lit("preprint")).alias("evidence_level"),
     )

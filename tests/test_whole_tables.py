@@ -1,4 +1,5 @@
 import re
+from collections import Counter
 from difflib import SequenceMatcher
 
 from sievework import queries as Q
@@ -21,6 +22,21 @@ def similar_groups(rows):
     return out
 
 
+def policy_groups(rows):
+    """The reference's rule on (pos, authority, title, (version, dates)), each record against all heads of its block."""
+    heads, out = {}, {}
+    for pos, authority, title, dates in sorted(rows, key=lambda r: r[0]):
+        title = re.sub("[^a-z0-9\u4e00-\u9fff]+", " ", re.sub(r"(?i)\bmirror\b", "", title).lower()).strip()
+        for at, own in heads.setdefault((authority.strip().lower(), title), []):
+            if any(a and a == b for a, b in zip(dates, own, strict=True)):
+                out[pos] = at
+                break
+        else:
+            heads[authority.strip().lower(), title].append((pos, dates))
+            out[pos] = pos
+    return out
+
+
 def planted(spark, tmp_path):
     """Near titles that differ at their start, equal first lines over different texts, texts that part after 120 characters."""
     long, other = "the council of the town met on monday to vote on a new plan for roads", "prices of wheat fell in every market while rain kept farmers at home"
@@ -47,3 +63,21 @@ def test_every_document_is_evidence_and_cited(spark, sf_dir):
     assert any(int(r["evidence_id"][1:]) >= 100 for r in held)
     assert any(texts[r["evidence_id"]].find(r["quote_text"]) > 1000 for r in held)
     assert {r["issue"] for r in x} == {None, "missing evidence_id", "missing source_record_id", "quote_text mismatch"}
+
+
+def test_canonical_records_against_all_pairs(spark, sf_dir, tmp_path):
+    for folder in (sf_dir, planted(spark, tmp_path)):
+        docs = sorted((d["doc_id"], d["source"], d["text"], d["lang"]) for d in spark.read.parquet(f"{folder}/documents.parquet").collect())
+        policy = {n for n, *_ in docs if n % 3 == 0 or n % 2 == 0 or n % 7 == 0}
+        industry = {n for n, *_ in docs if n % 3 == 2 and n not in policy and n % 9 and n % 6}
+        title = lambda text: text.split("\n")[0]
+        dates = lambda n, source: (source if n % 4 == 0 else "", "2024-01-01" if n % 2 == 0 else "", "2024-02-01" if n % 7 == 0 else "")
+        want = similar_groups((n, source, title(text), text) for n, source, text, _ in docs if n in industry)
+        got = {r["canonical_url"]: r["records"] for r in Q.canonical_records(spark, folder).where("domain = 'industry'").collect()}
+        url = {n: f"https://{source}.gov/{n}" for n, source, *_ in docs}
+        assert got == Counter(url[g] for g in want.values())
+        versions = policy_groups((n, lang, title(text), dates(n, source)) for n, source, text, lang in docs if n in policy and any(dates(n, source)[1:]))
+        records = [r["records"] for r in Q.canonical_records(spark, folder).where("domain = 'policy'").collect()]
+        assert sorted(records) == sorted(Counter(versions.values()).values())
+        raw = {r["pos"]: (r["snippet"], r["token_estimate"]) for r in Q._records(spark, folder).select("pos", "snippet", "token_estimate").collect()}
+        assert raw == {n: (text, len(text.split())) for n, _, text, _ in docs}
