@@ -471,6 +471,14 @@ def answer_status_of_all(spark, sf_dir):
     return g.withColumn("status", answers.answer_status(F.when(F.col("answer_id") % 3 == 0, "failure_gaps").otherwise("success"), n, F.col("grounded"), F.col("points")))
 
 
+@query("""with o as (select lower(trim(text)) as b from documents join labels using (doc_id) where text is not null)
+select doc_id from documents where trim(text) = '' or text is null or lower(trim(text)) not in (select b from o)""")
+def frontier_anti_dedupe_of_all(spark, sf_dir):
+    """All documents whose text no labelled document has."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return retrieval.not_held(d, d.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id"), ["text"]).select("doc_id")
+
+
 @query(f"""with h as (select doc_id, lower(trim(source)) || lang as a, lower(trim(text)) as b from documents where doc_id % 2 = 1), o as (select lower(trim(source)) || lang as a, lower(trim(text)) as b from documents where doc_id % 2 = 0 and doc_id % 3 = 0)
 select doc_id from h where b not in (select b from o)""")
 def frontier_anti_dedupe(spark, sf_dir):

@@ -81,3 +81,11 @@ def test_canonical_records_against_all_pairs(spark, sf_dir, tmp_path):
         assert sorted(records) == sorted(Counter(versions.values()).values())
         raw = {r["pos"]: (r["snippet"], r["token_estimate"]) for r in Q._records(spark, folder).select("pos", "snippet", "token_estimate").collect()}
         assert raw == {n: (text, len(text.split())) for n, _, text, _ in docs}
+
+
+def test_frontier_holds_all_documents_against_all_labelled_ones(spark, sf_dir):
+    docs = {r["doc_id"]: r["text"].strip(" ").lower() for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    held = {docs[r["doc_id"]] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect() if r["doc_id"] in docs}
+    got = {r["doc_id"] for r in Q.frontier_anti_dedupe_of_all(spark, sf_dir).collect()}
+    assert got == {n for n, text in docs.items() if text not in held}
+    assert {n % 6 for n in got} == {*range(6)}
