@@ -353,6 +353,13 @@ def policy_groups_of_first(spark, sf_dir):
     return dedupe.policy_groups(o).join(o, "pos").join(heads, ["authority", "title"]).where("group_pos = head").select("pos", "group_pos")
 
 
+@query()
+def policy_group_members(spark, sf_dir):
+    """Every record with its group, later groups of a block too."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pos"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("authority"), F.col("o_orderpriority").alias("title"), F.col("o_orderstatus").alias("version"), F.date_format("o_orderdate", "yyyy-MM").alias("publication_date"), F.lit(None).cast("string").alias("effective_date"))
+    return dedupe.policy_groups(o)
+
+
 _LINES = "l as (select doc_id, i - 1 as line_no, line from (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from documents))"
 
 

@@ -89,3 +89,13 @@ def test_frontier_holds_all_documents_against_all_labelled_ones(spark, sf_dir):
     got = {r["doc_id"] for r in Q.frontier_anti_dedupe_of_all(spark, sf_dir).collect()}
     assert got == {n for n, text in docs.items() if text not in held}
     assert {n % 6 for n in got} == {*range(6)}
+
+
+def test_policy_groups_against_replay(spark, sf_dir):
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").collect()
+    want = policy_groups((o["o_orderkey"], f"c{o['o_custkey']}", o["o_orderpriority"], (o["o_orderstatus"], f"{o['o_orderdate']:%Y-%m}")) for o in orders)
+    assert {r["pos"]: r["group_pos"] for r in Q.policy_group_members(spark, sf_dir).collect()} == want
+    first = {}
+    for o in sorted(orders, key=lambda o: o["o_orderkey"]):
+        first.setdefault((o["o_custkey"], o["o_orderpriority"]), o["o_orderkey"])
+    assert any(want[o["o_orderkey"]] not in (o["o_orderkey"], first[o["o_custkey"], o["o_orderpriority"]]) for o in orders)
