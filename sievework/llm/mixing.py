@@ -62,7 +62,8 @@ def leaf_plan(rows: DataFrame, weights: dict[str, dict[str, int]], budget: float
     """A row for each leaf: tokens, given, epochs (whole ones), and the prefix of the next one.
 
     rows (doc_id, domain, lang, source, n_tokens) is read several times. budget: the share of all tokens to select.
-    The prefix is given by its last document's (order, doc_id, n_tokens) and the tokens that are taken of that.
+    The prefix is given by its last document's (order, doc_id, n_tokens) and the tokens that are taken of that and of the
+    rows that are equal to it in all three.
     """
     leaves = cut(rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens")))
     caps = leaves.withColumn("cap", F.col("tokens") * max_epochs).where("tokens > 0")
@@ -86,8 +87,10 @@ def leaf_plan(rows: DataFrame, weights: dict[str, dict[str, int]], budget: float
     along = Window.partitionBy(*LEVELS).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     ends = sums.withColumn("before", F.coalesce(F.sum("n").over(along), F.lit(0))).where("before < part and part <= before + n").select(*LEVELS, "range", "before")
     near = placed.join(ends, [*LEVELS, "range"])
+    # equal rows as one, so that the prefix ends in a known number of their tokens
+    near = near.groupBy(*LEVELS, "part", "before", "order", "doc_id", "n_tokens").agg(F.sum("n_tokens").alias("n"))
     one = Window.partitionBy(*LEVELS).orderBy("order", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
-    near = near.withColumn("before", F.col("before") + F.coalesce(F.sum("n_tokens").over(one), F.lit(0))).where("before < part and part <= before + n_tokens")
+    near = near.withColumn("before", F.col("before") + F.coalesce(F.sum("n").over(one), F.lit(0))).where("before < part and part <= before + n")
     last = near.select(*LEVELS, F.struct("order", "doc_id", "n_tokens").alias("last"), (F.col("part") - F.col("before")).alias("last_taken"))
     return cut(plan.join(last, list(LEVELS), "left"))
 
@@ -97,13 +100,21 @@ def leaf_rows(docs: DataFrame, domain: Column, text: str = "text", lang: str = "
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), name(domain).alias("domain"), name(F.col(lang)).alias("lang"), name(F.col(source)).alias("source"), n_tokens(F.col(text)).alias("n_tokens"))
 
 
+def _copies_taken(tied: DataFrame, by: list[str], n: str) -> DataFrame:
+    """tied, rows that are equal to the last of a prefix, with taken: whole ones first, one in part, null for the others."""
+    before = (F.row_number().over(Window.partitionBy(*by).orderBy(n)) - 1) * F.col(n)
+    return tied.withColumn("taken", F.when(before < F.col("last_taken"), F.least(F.col(n), F.col("last_taken") - before)))
+
+
 def chosen(rows: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
     """rows with a row for each epoch that takes part of them: epoch, order and taken (tokens)."""
     x = join_bounded(rows, plan.select(*LEVELS, "epochs", "part", "last", "last_taken"), list(LEVELS), "inner", BROADCAST_LEAVES)
     x = x.withColumn("epoch", F.explode(F.expr("sequence(cast(0 as bigint), epochs)"))).withColumn("order", order_key(seed, F.col("epoch"), F.col("doc_id")))
     own = F.struct("order", "doc_id", "n_tokens")
-    taken = F.when(F.col("epoch") < F.col("epochs"), F.col("n_tokens")).when(own < F.col("last"), F.col("n_tokens")).when(own == F.col("last"), F.col("last_taken"))
-    return x.withColumn("taken", taken).where("taken is not null").drop("epochs", "part", "last", "last_taken")
+    at_end = (F.col("epoch") == F.col("epochs")) & F.coalesce(own == F.col("last"), F.lit(False))
+    whole = x.where(~at_end).withColumn("taken", F.when((F.col("epoch") < F.col("epochs")) | (own < F.col("last")), F.col("n_tokens")))
+    tied = _copies_taken(x.where(at_end), list(LEVELS), "n_tokens")
+    return whole.unionByName(tied).where("taken is not null").drop("epochs", "part", "last", "last_taken")
 
 
 def mix(docs: DataFrame, domain: Column, weights: dict[str, dict[str, int]], budget: float, max_epochs: int = 4, seed: int = 7, **columns) -> DataFrame:
@@ -111,8 +122,8 @@ def mix(docs: DataFrame, domain: Column, weights: dict[str, dict[str, int]], bud
 
     weights: for each level a whole number for each name (1 where absent, 0 to leave out). A null name is an empty
     one. Leaves without tokens are left out. Documents without tokens are taken where they stand in the order before
-    the end. Rows with the same doc_id and tokens are alike: if a prefix ends in them, each is cut alike. An empty table
-    gives an empty table; other columns of docs are ignored.
+    the end. Rows with the same doc_id and tokens are alike: if a prefix ends in them, as many as it needs are taken
+    whole and one is cut. An empty table gives an empty table; other columns of docs are ignored.
     """
     rows = cut(leaf_rows(docs, domain, **columns))
     plan = leaf_plan(rows, weights, budget, max_epochs, seed)
@@ -126,6 +137,9 @@ def select_documents(docs: DataFrame, domain: Column, weights: dict[str, dict[st
     own = docs.columns
     name = lambda c: F.coalesce(c.cast("string"), F.lit(""))
     x = docs.select(*(F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(own)), name(domain).alias("domain"), name(F.col(lang)).alias("lang"), name(F.col(source)).alias("source"), F.col(doc_id).cast("long").alias("_doc"), n_tokens(F.col(text)).alias("_n"))
-    x = join_bounded(x, plan.select(*LEVELS, "epochs", "last"), list(LEVELS), "inner", BROADCAST_LEAVES)
-    x = x.where((F.col("epochs") > 0) | (F.struct(order_key(seed, F.col("epochs"), F.col("_doc")).alias("order"), F.col("_doc").alias("doc_id"), F.col("_n").alias("n_tokens")) <= F.col("last")))
-    return x.select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(own)))
+    x = join_bounded(x, plan.select(*LEVELS, "epochs", "last", "last_taken"), list(LEVELS), "inner", BROADCAST_LEAVES)
+    key = F.struct(order_key(seed, F.col("epochs"), F.col("_doc")).alias("order"), F.col("_doc").alias("doc_id"), F.col("_n").alias("n_tokens"))
+    at_end = (F.col("epochs") == 0) & F.coalesce(key == F.col("last"), F.lit(False))
+    whole = x.where(~at_end & ((F.col("epochs") > 0) | (key < F.col("last"))))
+    tied = _copies_taken(x.where(at_end), list(LEVELS), "_n").where("taken is not null")
+    return whole.unionByName(tied.drop("taken")).select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(own)))

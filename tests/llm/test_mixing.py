@@ -55,6 +55,21 @@ def test_epochs_and_odd_rows(spark):
     assert sorted(r["doc_id"] or 0 for r in mixing.select_documents(df, F.col("domain"), {}, 1.0).collect()) == [0, 1, 1, 3]
 
 
+def test_equal_rows_fill_the_budget_and_no_more(spark):
+    """A prefix that ends among rows without ids, or among copies, takes as many as the budget holds."""
+    docs = [(None, "w " * 10, "en", "a", "x")] * 20 + [(None, "w " * 7, "en", "a", "x")] * 20 + [(5, "w " * 6, "fr", "b", "x")] * 30
+    df = spark.createDataFrame(docs, SCHEMA)
+    for budget, epochs in ((0.31, 1), (0.87, 1), (1.6, 3)):
+        got = mixing.mix(df, F.col("domain"), {}, budget, epochs).collect()
+        plan = mixing.leaf_plan(mixing.leaf_rows(df, F.col("domain")), {}, budget, epochs, 7).collect()
+        for leaf in plan:
+            assert sum(r["taken"] for r in got if r["lang"] == leaf["lang"]) == leaf["given"]
+        assert int(520 * budget) - 1 <= sum(leaf["given"] for leaf in plan) <= int(520 * budget)
+        assert all(0 < r["taken"] <= r["n_tokens"] for r in got)
+    got = mixing.mix(df, F.col("domain"), {}, 0.31, 1)
+    assert mixing.select_documents(df, F.col("domain"), {}, 0.31).count() == got.count()
+
+
 def test_selected_documents_are_those_of_one_epoch(spark, sf_dir_2):
     docs = spark.read.parquet(f"{sf_dir_2}/documents.parquet")
     args = (F.expr(queries.DOMAIN_SQL), queries.MIX_WEIGHTS, 0.6)
