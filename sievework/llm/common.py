@@ -20,7 +20,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; where that is unset, as in tests, a folder of ours."""
+    """The folder that the cluster names in spark.checkpoint.dir; where that is unset in a local session, as in tests, one of ours."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir")
     if named:
@@ -28,6 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(named)
         return named
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="sievework-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -38,9 +40,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Computes df once and cuts its lineage; the rows lie in the shared folder, so that they outlive an executor."""
+    """Computes df once and cuts its lineage; the rows lie in the shared folder, so that they outlive an executor.
+
+    The driver's garbage is collected after it, since Spark removes shuffle files of plans that are no longer referred to.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Removes a table that scratch_path named."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def join_bounded(left: DataFrame, right: DataFrame, on: list[str], how: str, max_rows: int) -> DataFrame:

@@ -38,8 +38,8 @@ def op5_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = repeats.strip_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    found = repeats.strip_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), noted=repeats.PASSAGES)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", "passage_bytes")
 
 
 def op7_unigram_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

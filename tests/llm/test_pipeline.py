@@ -8,7 +8,7 @@ from sievework.llm import mixing, quality, queries
 
 sys.path.insert(0, str(Path(__file__).parent))
 from test_dart_minhash import brute_classes
-from test_repeats import brute
+from test_repeats import brute_words
 from test_tokens import check_pieces
 from tokenizers import Tokenizer
 from sievework.llm import tokens
@@ -31,13 +31,14 @@ def test_stages(spark, sf_dir, tmp_path):
     classes = brute_classes([(r["doc_id"], r["text"]) for r in good.collect()])
     assert rows(single) == rows(good.where(good.doc_id.isin({*classes.values()})))
     texts = single.collect()
-    want = brute([r["text"] for r in texts], 400)
+    want = brute_words([r["text"] for r in texts], 51)
     got = {r["doc_id"]: r for r in plain.collect()}
-    for r, (n_bytes, n_removed, _, _) in zip(texts, want, strict=True):
+    for r, (kept, _, n_removed) in zip(texts, want, strict=True):
         new = got[r["doc_id"]]
-        assert 0 <= n_bytes - n_removed - len(new["text"].encode()) <= 12
+        assert new["text"].encode() == kept
         assert new["n_chars"] == len(new["text"])
         assert n_removed or new == r
+    assert sum(x[2] for x in want) > 0
     taken = {r["doc_id"] for r in mixing.mix(plain, mixing.F.expr(queries.DOMAIN_SQL), queries.MIX_WEIGHTS, cp.BUDGET, 1).collect()}
     assert rows(mixed) == rows(plain.where(plain.doc_id.isin(taken)))
     check_pieces(packed.collect(), {r["doc_id"]: r["text"] for r in mixed.collect()}, Tokenizer.from_file(tokens.default_vocabulary()), 1024)
