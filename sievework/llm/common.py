@@ -42,12 +42,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Computes df once and cuts its lineage; the rows lie in the shared folder, so that they outlive an executor.
 
-    The driver's garbage is collected after it, since Spark removes shuffle files of plans that are no longer referred to.
+    The driver's garbage is collected first, since Spark removes shuffle files when no plan refers to them any more.
     """
     shared_dir(df.sparkSession)
-    out = df.checkpoint(eager=True)
     df.sparkSession.sparkContext._jvm.System.gc()
-    return out
+    return df.checkpoint(eager=True)
 
 
 def discard(spark: SparkSession, path: str) -> None:

@@ -28,7 +28,7 @@ from dataclasses import dataclass, replace
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -61,8 +61,8 @@ class Rule:
 BYTES = Rule(400, 64)
 PASSAGES = Rule(51, 8, words=True, across=True)  # passages of over 50 words that another document holds
 
-RUN = pa.schema([("rule", pa.int32()), ("rid", pa.int64()), ("anchor", pa.int64()), ("ctx", pa.int64()), ("p", pa.int64()), ("nwin", pa.int32()), ("back", pa.int32())])
-RUN_SQL = "rule int, rid long, anchor long, ctx long, p long, nwin int, back int"
+RUN = pa.schema([("rid", pa.int64()), ("anchor", pa.int64()), ("ctx", pa.int64()), ("p", pa.int64()), ("nwin", pa.int32()), ("back", pa.int32())])
+RUN_SQL = "rid long, anchor long, ctx long, p long, nwin int, back int"
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -202,7 +202,8 @@ def _runs(rules: list[Rule]):
                     first = np.concatenate([[0], ends[:-1]])[part]
                     raw, size = memoryview(data.tobytes()), rule.item
                     ctx = np.fromiter((xxhash.xxh3_64_intdigest(raw[s:e]) for s, e in zip((start * size).tolist(), ((start + windows + rule.length - 1) * size).tolist(), strict=True)), U64, len(start))
-                    yield arrow(RUN, rule=np.full(len(start), number, np.int32), rid=rid[np.array(where)[part]], anchor=anchor.view(np.int64), ctx=ctx.view(np.int64), p=start - first + np.array(offset)[part], nwin=windows.astype(np.int32), back=(place - start).astype(np.int32))
+                    anchor = anchor & ~U64(1) | U64(number)  # the last bit says which rule it is
+                    yield arrow(RUN, rid=rid[np.array(where)[part]], anchor=anchor.view(np.int64), ctx=ctx.view(np.int64), p=start - first + np.array(offset)[part], nwin=windows.astype(np.int32), back=(place - start).astype(np.int32))
 
     return runs
 
@@ -466,7 +467,7 @@ _OWNER = "case when count(owner) = count(1) and min(owner) = max(owner) then min
 
 @dataclass
 class Repeats:
-    """What repeated() finds: places of runs that repeat, the runs to compare, and their units."""
+    """Places of runs that repeat or have to be compared; the units of the latter, by anchor and by crowded anchor."""
 
     places: DataFrame
     cold: DataFrame
@@ -474,21 +475,47 @@ class Repeats:
     is_crowded: bool
 
 
-def _find(texts: DataFrame, rules: list[Rule], hot: int) -> Repeats:
-    least = min(r.length if not r.words else 2 * r.length - 1 for r in rules)
-    path = scratch_path(texts.sparkSession, "runs")
-    texts.where(F.octet_length("_text") >= least).transform(arrow_map(_runs(rules), RUN_SQL)).write.parquet(path)
-    runs = texts.sparkSession.read.schema(RUN_SQL).parquet(path)
-    across = F.col("rule").isin([i for i, r in enumerate(rules) if r.across] or [-1])
-    kinds = runs.groupBy("anchor", "ctx").agg(F.count(F.lit(1)).alias("times"), F.min("rule").alias("rule"), F.min("rid").alias("lo"), F.max("rid").alias("hi"))
+RULE_SQL = "cast(anchor & 1 as int)"
+
+
+def _shared(runs: DataFrame, across: Column) -> DataFrame:
+    """Runs whose anchor occurs elsewhere (in another row, where the rule wants that)."""
+    key = F.when(across, F.col("rid")).otherwise(F.xxhash64("rid", "p"))
+    anchors = runs.select("anchor", key.alias("key")).groupBy("anchor").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi")
+    return runs.join(cut(anchors.select("anchor")), "anchor")  # cut, so that the join can split an anchor that very many runs have
+
+
+def _with_kinds(runs: DataFrame, across: Column) -> DataFrame:
+    """Runs that repeat or have to be compared, with how many different ones their anchor has, and whose they are."""
+    kinds = runs.groupBy("anchor", "ctx").agg(F.count(F.lit(1)).alias("times"), F.min("rid").alias("lo"), F.max("rid").alias("hi"))
     kinds = kinds.select("anchor", "ctx", F.when(across, F.col("lo") < F.col("hi")).otherwise(F.col("times") > 1).alias("repeated"), F.when(across & (F.col("lo") == F.col("hi")), F.col("lo")).alias("owner"))
     anchors = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.max("repeated").alias("any"), F.expr(_TWO).alias("two")).where("two or any").select("anchor", "kinds")
     kinds = kinds.join(anchors, "anchor").where("kinds > 1 or repeated")
-    places = cut(runs.join(kinds, ["anchor", "ctx"]))
-    discard(texts.sparkSession, path)
-    # one place of each run that has to be compared
+    return runs.join(kinds, ["anchor", "ctx"]).withColumn("rule", F.expr(RULE_SQL))
+
+
+def _places(texts: DataFrame, rules: list[Rule]) -> DataFrame:
+    spark, least = texts.sparkSession, min(2 * r.length - 1 if r.words else r.length for r in rules)
+    across = F.expr(RULE_SQL).isin([i for i, r in enumerate(rules) if r.across] or [-1])
+    paths = [scratch_path(spark, name) for name in ("runs", "shared-runs")]
+    texts.where(F.octet_length("_text") >= least).transform(arrow_map(_runs(rules), RUN_SQL)).write.parquet(paths[0])
+    read = lambda path: spark.read.schema(RUN_SQL).parquet(path)
+    _shared(read(paths[0]), across).write.parquet(paths[1])
+    discard(spark, paths[0])
+    places = cut(_with_kinds(read(paths[1]), across))
+    discard(spark, paths[1])
+    return places
+
+
+def _asked(places: DataFrame) -> DataFrame:
+    """One place of each run that has to be compared."""
     asked = places.where("kinds > 1").groupBy("anchor", "ctx").agg(F.min(F.struct("rid", "p", "nwin", "back", "kinds", "rule", "owner")).alias("x"))
-    asked = cut(asked.select("anchor", "ctx", "x.*"))
+    return cut(asked.select("anchor", "ctx", "x.*"))
+
+
+def _find(texts: DataFrame, rules: list[Rule], hot: int) -> Repeats:
+    places = _places(texts, rules)
+    asked = _asked(places)
 
     def contexts(of: DataFrame) -> DataFrame:
         lists = of.groupBy("rid").agg(F.collect_list(F.struct("rule", "anchor", "ctx", "owner", "p", "nwin", "back")).alias("asked"))
@@ -526,7 +553,8 @@ def repeated_windows(texts: DataFrame, rules: list[Rule], hot: int = HOT) -> Dat
     texts has rid and _text; it is scanned several times and must number its rows alike each time.
     """
     found = _find(texts, rules, hot)
-    spans = found.cold.transform(arrow_map(_compare(rules), SPAN_SQL))
+    # each step is computed by itself, so that the texts that it exchanged are gone before the next one
+    spans = cut(found.cold.transform(arrow_map(_compare(rules), SPAN_SQL)))
     if found.is_crowded:
         for more in _block_spans(found, rules):
             spans = spans.union(more)
@@ -534,7 +562,7 @@ def repeated_windows(texts: DataFrame, rules: list[Rule], hot: int = HOT) -> Dat
     compared = places.where("kinds > 1 and not repeated").select("rule", "rid", "p", "anchor", "ctx").join(spans, ["anchor", "ctx"])
     whole = places.where("repeated").select("rule", "rid", F.col("p").alias("first"), (F.col("p") + F.col("nwin") - 1).alias("last"))
     every = whole.union(compared.select("rule", "rid", F.col("p") + F.col("w0"), F.col("p") + F.col("w1")))
-    return every.groupBy("rid").agg(*(F.collect_list(F.when(F.col("rule") == i, F.struct("first", "last"))).alias(f"_spans{i}") for i in range(len(rules))))
+    return cut(every.groupBy("rid").agg(*(F.collect_list(F.when(F.col("rule") == i, F.struct("first", "last"))).alias(f"_spans{i}") for i in range(len(rules)))))
 
 
 def repeat_groups(docs: DataFrame, rule: Rule = BYTES, text: str = "text", doc_id: str = "doc_id", hot: int = HOT) -> DataFrame:
