@@ -5,8 +5,8 @@ difference of the compressed sizes over their sum, over all chunks of the text,
 logistic map, fitted to documents that the dictionaries were not built from, makes it a probability; how much text
 there was is part of the map, since short texts differ by a byte or two only.
 
-The model is fitted on a bounded sample: MOST_LABELLED rows of each class, chosen by a hash of their ids, and of each
-MOST_CHUNKS chunks spread over the text. Every document is then scored over its whole text.
+The model is fitted on a bounded sample: MOST_LABELLED rows of each class, chosen by a hash of their ids, with their
+whole texts. Every document is then scored over its whole text.
 """
 
 from __future__ import annotations
@@ -27,7 +27,6 @@ CHUNK = 512
 LEVEL = 3
 DICTIONARY = 64 * 1024
 MOST_LABELLED = 2500
-MOST_CHUNKS = 8
 TEST_REMAINDER = 1  # rows whose crc32(id as text) mod 3 is this are never learnt from
 
 
@@ -123,10 +122,7 @@ def fit(rows: list[tuple[list[bytes], int]], sizes: dict[int, int] | None = None
 
 def _take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        parts = []
-        for text in batch.column("text").to_pylist():
-            own = chunks((text or "").encode("utf-8"))
-            parts.append(own if len(own) <= MOST_CHUNKS else [own[i * len(own) // MOST_CHUNKS] for i in range(MOST_CHUNKS)])
+        parts = [chunks((text or "").encode("utf-8")) for text in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(parts, pa.list_(pa.binary()))], names=["doc_id", "label", "parts"])
 
 
@@ -142,7 +138,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str
         part = known.where(F.col("label") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         chosen = part if chosen is None else chosen.union(part)
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    # at most 2 * most rows of 12 bytes are broadcast, and MOST_CHUNKS * CHUNK bytes of each come back
+    # at most 2 * most rows of 12 bytes are broadcast, and the texts of as many come back
     rows = texts.join(F.broadcast(chosen), "doc_id").transform(arrow_map(_take, "doc_id long, label int, parts array<binary>")).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["parts"]))
     sizes = {0: 1, 1: 1} | {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
