@@ -93,9 +93,11 @@ def edited_fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_
     base = base.withColumn("part", F.when(F.col("doc_id").isNull(), 0).otherwise(part).cast("int"))
     # at most as many rows as parts
     heads = base.groupBy("part").agg(F.max(F.struct("doc_id", "text")).alias("head"))
+    # which part follows which is decided from their numbers; the heads' texts are joined to them afterwards
     along = Window.partitionBy(F.lit(1)).orderBy("part")
-    every = Window.partitionBy(F.lit(1)).orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ghosts = heads.select("part", F.coalesce(F.lag("head").over(along), F.first("head").over(every)).alias("head")).select("head.doc_id", "head.text", "part", F.lit(True).alias("ghost"))
+    numbers = base.select("part").distinct()
+    follows = numbers.select(F.col("part").alias("to"), F.coalesce(F.lag("part").over(along), F.max("part").over(Window.partitionBy(F.lit(1)))).alias("part"))
+    ghosts = heads.join(follows, "part").select("head.doc_id", "head.text", F.col("to").alias("part"), F.lit(True).alias("ghost"))
     rows = base.withColumn("ghost", F.lit(False)).union(ghosts).repartition("part")
     rows = _bins(rows, "text", "own")
     order = Window.partitionBy("part").orderBy("ghost", F.desc_nulls_last("doc_id"), F.desc("text"))
