@@ -4,6 +4,8 @@ Documents come one after the other. Whole sequences are cut from a long document
 whose windows, when one of them moves up by the document's length, leave the smallest sum of squared counts of partially
 filled windows. The counts by level are one array. Windows that are full are written at once. When many windows are
 open, and at the end, open ones are emptied into each other's gaps, which cuts documents; one at most stays unfilled.
+Each piece says how it was placed. The open windows at the end are a few hundred to a thousand, however many documents
+a task has, so that the share of refilled pieces falls with the size of tasks.
 
 Each task packs its own documents, so nothing is exchanged.
 """
@@ -25,12 +27,16 @@ from sievework.llm.common import arrow, arrow_map
 LENGTH = 1024
 END = 0  # the id that ends a document
 OPEN = 2048  # windows that may be open at once
-PIECE = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
-PIECE_SQL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+PIECE = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("placed", pa.string())])
+PIECE_SQL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, placed string"
 
 
 class SumOfSquares:
-    """Places pieces (document, start, ids) and calls write(pieces) for each finished window."""
+    """Places pieces (document, start, ids, how) and calls write(pieces) for each finished window.
+
+    how: whole for a sequence that a document fills, rule for what the rule placed, refill for what was cut off again to
+    fill a gap.
+    """
 
     def __init__(self, size: int, write, most_open: int = OPEN):
         self.size, self.write, self.most_open = size, write, most_open
@@ -51,7 +57,7 @@ class SumOfSquares:
     def add(self, doc, ids: np.ndarray) -> None:
         whole = len(ids) // self.size * self.size
         for at in range(0, whole, self.size):
-            self.write([(doc, at, ids[at : at + self.size])])
+            self.write([(doc, at, ids[at : at + self.size], "whole")])
         n = len(ids) - whole
         if not n:
             return
@@ -61,7 +67,7 @@ class SumOfSquares:
             window = self.windows[h].pop()
             self.count[h] -= 1
             self.open -= 1
-        window.append((doc, whole, ids[whole:]))
+        window.append((doc, whole, ids[whole:], "rule"))
         if h + n == self.size:
             self.write(window)
             return
@@ -82,11 +88,11 @@ class SumOfSquares:
             h, window = opened[i]
             while h < self.size and i < j:
                 less, giver = opened[j]
-                doc, start, ids = giver.pop()
+                doc, start, ids, how = giver.pop()
                 n = min(self.size - h, len(ids))
-                window.append((doc, start + len(ids) - n, ids[len(ids) - n :]))
+                window.append((doc, start + len(ids) - n, ids[len(ids) - n :], "refill"))
                 if n < len(ids):
-                    giver.append((doc, start, ids[: len(ids) - n]))
+                    giver.append((doc, start, ids[: len(ids) - n], how))
                 h += n
                 opened[j] = (less - n, giver)
                 if less == n:
@@ -109,8 +115,8 @@ def _pack(path: str, size: int, end: int, most_open: int):
 
         def write(window: list) -> None:
             offset = 0
-            for (doc_id, total), start, ids in window:
-                for c, v in zip(rows, (doc_id, start, len(ids), zlib.crc32(ids.tobytes()), total, state["sequence"], offset), strict=True):
+            for (doc_id, total), start, ids, how in window:
+                for c, v in zip(rows, (doc_id, start, len(ids), zlib.crc32(ids.tobytes()), total, state["sequence"], offset, how), strict=True):
                     rows[c].append(v)
                 offset += len(ids)
             state["sequence"] += 1
@@ -131,7 +137,7 @@ def _pack(path: str, size: int, end: int, most_open: int):
 
 
 def pack(docs: DataFrame, size: int = LENGTH, vocabulary: str | None = None, end: int = END, text: str = "text", doc_id: str = "doc_id", most_open: int = OPEN) -> DataFrame:
-    """A row for each piece of a document: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+    """A row for each piece of a document: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, placed.
 
     A null or empty text is the end id alone. Null and repeated doc_ids are kept as they are; each row of docs is a
     document of its own. Sequences hold size ids, but for one of each task that may hold fewer. Of an empty table there

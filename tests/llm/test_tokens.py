@@ -95,12 +95,51 @@ def test_sum_of_squares(most_open):
     assert sum(s < 16 for s in sizes) <= 1
     back = {}
     for w in done:
-        for doc, start, ids in w:
+        for doc, start, ids, _ in w:
             back.setdefault(doc, []).append((start, ids))
     for i, d in enumerate(docs):
         assert np.array_equal(np.concatenate([x for _, x in sorted(back[i], key=lambda x: x[0])]), d)
 
 
+def test_few_pieces_are_refilled():
+    """Of many documents of one task; what is open at the end does not grow with them."""
+    share = []
+    for n in (4_000, 40_000):
+        r, done = random.Random(6), []
+        p = packing.SumOfSquares(1024, done.append)
+        for i in range(n):
+            p.add(i, np.zeros(int(r.lognormvariate(6, 1)) + 1, np.uint32))
+            assert p.open < packing.OPEN
+        p.close()
+        how = [x[3] for w in done for x in w if x[3] != "whole"]
+        share.append(how.count("refill") / len(how))
+    assert share[1] < 0.1
+    assert share[1] < share[0] / 2
+
+
+def test_the_matrix_query(spark, sf_dir, exact):
+    """Every id of the whole table from its rows' checksums, places and resets."""
+    texts = {r["doc_id"]: ids_of(exact, r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    pieces = {}
+    for r in queries.op4_packed_matrices(spark, sf_dir).collect():
+        ends = r["cu_seqlens"]
+        assert (ends[0], ends[-1], len(ends) - 1) == (0, r["n_ids"], r["n_segments"])
+        assert r["n_ids"] <= 2048
+        assert r["resets"] == ends[:-1]
+        held = [texts[d][s : s + b - a] for d, s, a, b in zip(r["doc_ids"], r["starts"], ends, ends[1:], strict=False)]
+        assert [len(h) for h in held] == [b - a for a, b in zip(ends, ends[1:], strict=False)]
+        assert r["ids_crc32"] == zlib.crc32(np.concatenate(held).astype("<u4").tobytes())
+        for d, s, h in zip(r["doc_ids"], r["starts"], held, strict=True):
+            pieces.setdefault(d, []).append((s, len(h)))
+    assert set(pieces) == set(texts)
+    for d, own in pieces.items():
+        at = 0
+        for s, n in sorted(own):
+            assert s == at
+            at += n
+        assert at == len(texts[d])
+
+
 def test_best_fit_decreasing():
     r = random.Random(2)
     lengths = [r.randint(1, 50) for _ in range(400)]
@@ -158,5 +197,6 @@ def test_token_counts(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
     got = {r["doc_id"]: (r["n_chars"], r["n_tokens"]) for r in queries.op7_unigram_token_counts(spark, sf_dir).collect()}
     assert got == {d["doc_id"]: (len(d["text"]), len(UNIGRAM.encode(d["text"], add_special_tokens=False).ids)) for d in docs}
-    odd = spark.createDataFrame([(1, None), (1, None), (None, ""), (2, "x" * 100000)], "doc_id long, text string")
+    odd = spark.createDataFrame([(1, None, 0), (1, None, 0), (None, "", 0), (2, "x" * 100000, 0)], "doc_id long, text string, n_tokens int")
+    assert token_counts.token_counts(odd.limit(0)).count() == 0
     assert sorted((r["doc_id"] or 0, r["n_tokens"] > 0) for r in token_counts.token_counts(odd).collect()) == [(0, False), (1, False), (1, False), (2, True)]
