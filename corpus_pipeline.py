@@ -26,7 +26,7 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that occur more than once; a text may end up empty."""
+    """Documents without the passages of over 50 words that another document holds as well."""
     return repeats.remove_repeats(docs)
 
 

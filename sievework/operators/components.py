@@ -9,13 +9,22 @@ from pyspark.sql import functions as F
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Computes df once, in the folder that spark.checkpoint.dir names; in one of ours only where that is unset, as in tests."""
+    """Computes df once, in the folder that spark.checkpoint.dir names; in one of ours only where that is unset in a local session, as in tests."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="sievework-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="sievework-"))
     return df.checkpoint(eager=True)
 
 
+def join_bounded(left: DataFrame, right: DataFrame, on: str | list[str], how: str, most: int = 100_000) -> DataFrame:
+    """Joins with right broadcast if it is counted to have `most` rows at most, else by an exchange of both sides."""
+    few = right.limit(most + 1).count() <= most
+    return left.join(F.broadcast(right) if few else right, on, how)
+
+
 def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 100) -> DataFrame:
     """(node, root) for each node of links; root is the smallest node of its component. Nulls link nothing.
 

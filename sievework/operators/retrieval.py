@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sievework.functions import vocabulary as V
 from sievework.operators.classify import sum_when
+from sievework.operators.components import join_bounded
 
 
 def with_tier(df: DataFrame, source: str = "source_id", tier: str = "credibility_tier") -> DataFrame:
@@ -18,9 +19,9 @@ def with_tier(df: DataFrame, source: str = "source_id", tier: str = "credibility
 
 
 def with_role(df: DataFrame, by_source: DataFrame, by_route: DataFrame, source: str = "source_id", route: str = "target_route") -> DataFrame:
-    """The role of the source, else of the target route, else primary. Both tables are plans' own, a few rows each."""
-    x = df.join(F.broadcast(by_source.select(F.col("source_id").alias(source), F.col("role").alias("_s"))), source, "left")
-    x = x.join(F.broadcast(by_route.select(F.col("route").alias(route), F.col("role").alias("_r"))), route, "left")
+    """The role of the source, else of the target route, else primary."""
+    x = join_bounded(df, by_source.select(F.col("source_id").alias(source), F.col("role").alias("_s")), source, "left")
+    x = join_bounded(x, by_route.select(F.col("route").alias(route), F.col("role").alias("_r")), route, "left")
     return x.withColumn("role", F.coalesce("_s", "_r", F.lit("primary"))).drop("_s", "_r")
 
 
