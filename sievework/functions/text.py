@@ -36,12 +36,28 @@ def token_estimate(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"(?U)\S+"))
 
 
-def content_terms(words: Column, stopwords: tuple[str, ...] = (), least: int = 4, digits: bool = False) -> Column:
-    """Distinct tokens that carry meaning: CJK ones, and ASCII ones of some length that are no stop words; years only with digits."""
-    keep = lambda t: (~t.isin(*stopwords) if stopwords else F.lit(True)) & ((F.length(t) >= least) | t.rlike(r"^[一-鿿]")) & (F.lit(digits) | ~t.rlike("^[0-9]{4}$"))
+def content_terms(words: Column, stopwords: tuple[str, ...] = (), least: int = 4, digits: bool = False, short: tuple[str, ...] = ()) -> Column:
+    """Distinct tokens that carry meaning: CJK ones, and ASCII ones of some length (or named short ones) that are no stop words; years only with digits."""
+
+    def keep(t: Column) -> Column:
+        long = (F.length(t) >= least) & (F.lit(digits) | ~t.rlike("^[0-9]{4}$"))
+        kept = (long | t.rlike(r"^[一-鿿]")) & (~t.isin(*stopwords) if stopwords else F.lit(True))
+        return kept | t.isin(*short) if short else kept
+
     return F.array_distinct(F.filter(words, keep))
 
 
+def join_series(items: Column, han: Column | None = None) -> Column:
+    """series() of the filled items, in Chinese where han holds."""
+    items = F.filter(items, lambda i: F.coalesce(i, F.lit("")) != "")
+    if han is None:
+        return series(items)
+    n = F.size(items)
+    head, last = F.array_join(F.slice(items, 1, F.greatest(n - 1, F.lit(0))), "、"), F.get(items, n - 1)
+    chinese = F.when(n == 0, "").when(n == 1, last).when(n == 2, F.concat(head, F.lit("和"), last)).otherwise(F.concat(head, F.lit("，以及"), last))
+    return F.when(han, chinese).otherwise(series(items))
+
+
 def policy_title(title: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.regexp_replace(title, r"(?i)\bmirror\b", "")), r"[^a-z0-9一-鿿]+", " "))
 
