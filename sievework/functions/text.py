@@ -31,6 +31,11 @@ def tokens(normal: Column) -> Column:
     return F.regexp_extract_all(normal, F.lit(TOKEN), F.lit(0))
 
 
+def let(value: Column, f) -> Column:
+    """f(value), with value computed once: lambdas within f would compute an expression again for each element."""
+    return F.get(F.transform(F.array(value), lambda v: f(v)), F.lit(0))
+
+
 def token_estimate(text: Column) -> Column:
     """Words between white space; 0 for an empty text."""
     return F.regexp_count(text, F.lit(r"(?U)\S+"))

@@ -67,3 +67,28 @@ def drop_records(records: DataFrame, by: list[str], budget: int, reserve: int, r
     low = group.orderBy("_safe", score, tokens, record).rowsBetween(Window.unboundedPreceding, -1)
     x = x.withColumn("_gone", F.coalesce(F.sum(tokens).over(low), F.lit(0)))
     return x.where(F.col("_total") - F.col("_gone") <= budget).drop("_total", "_primary", "_safe", "_gone")
+
+
+def raw_records(hits: DataFrame) -> DataFrame:
+    """Hits as raw records: tokens counted, and for policy sources whether jurisdiction and version are known."""
+    filled = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    policy = F.col("source_id").startswith("policy_")
+    return hits.withColumns({
+        "token_estimate": F.regexp_count("snippet", F.lit(r"(?U)\S+")),
+        "jurisdiction_status": F.when(policy, F.when(filled("jurisdiction"), "observed").otherwise("jurisdiction_unknown")),
+        "version_status": F.when(policy, F.when(filled("version"), "observed").otherwise("version_missing")),
+    })
+
+
+def best_snippet(slices: Column, snippet: Column) -> Column:
+    """A record's best slice: by score, then fewer tokens, then the later text; without any its raw snippet."""
+    best = F.array_max(F.transform(slices, lambda s: F.struct(s["score"].alias("s"), (-s["tokens"]).alias("n"), s["text"].alias("text"))))
+    return F.coalesce(best["text"], snippet)
+
+
+def shaped(records: DataFrame, by: list[str]) -> DataFrame:
+    """A response a query: results and canonical_evidence, arrays in the records' rank. snippet: that of the first raw record."""
+    result = F.struct("rank", "source_id", F.col("canonical_title").alias("title"), F.col("canonical_url").alias("url"), best_snippet(F.col("slices"), F.col("snippet")).alias("snippet"), "credibility_tier")
+    item = F.struct("rank", "evidence_id", "domain", "canonical_title", "canonical_url", "route_role", F.transform("slices", lambda s: F.struct(s["text"].alias("text"), s["source_record_id"].alias("source_record_id"))).alias("retained_slices"))
+    listed = lambda s, drop: F.transform(F.array_sort(F.collect_list(s)), lambda x: x.dropFields(drop))
+    return records.groupBy(*by).agg(listed(result, "rank").alias("results"), listed(item, "rank").alias("canonical_evidence"))

@@ -73,3 +73,54 @@ def status_rollup(attempts: DataFrame, by: list[str], pos: str, hits: str, reaso
     gaps = F.array_sort(F.collect_list(F.when(failed, F.struct(pos, source))))
     x = attempts.groupBy(*by).agg(F.sum(hits).alias("hits"), F.count_if(failed).alias("failures"), first.alias("failure_reason"), F.array_distinct(F.transform(gaps, lambda g: g[source])).alias("gaps"))
     return x.withColumn("status", F.when(F.col("failures") == 0, "success").when(F.col("hits") > 0, "partial").otherwise("failure_gaps"))
+
+
+def expected_terms(terms: Column) -> Column:
+    """Terms trimmed, filled and once each, in order; none for null."""
+    return F.coalesce(F.array_distinct(F.filter(F.transform(terms, lambda t: F.trim(t)), lambda t: t != "")), F.array().cast("array<string>"))
+
+
+def keyword_coverage(terms: Column, text: Column) -> Column:
+    """The share of terms that a text holds, whatever their case; null without terms."""
+    low = F.lower(text)
+    return F.when(F.size(terms) > 0, F.size(F.filter(terms, lambda t: F.contains(low, F.lower(t)))) / F.size(terms))
+
+
+def failed_checks(n_sources: Column, min_sources: Column, elapsed_ms: Column, max_latency_ms: Column, coverage: Column, min_coverage: Column, strict: Column, n_notes: Column, expected_intent: Column, route_label: Column, error: Column) -> Column:
+    """The names of an answer's checks that fail, in their order."""
+    off = F.when(expected_intent.isNotNull(), ~F.coalesce(route_label == expected_intent, F.lit(False))).otherwise(False)
+    named = (("sources", n_sources < min_sources), ("latency", elapsed_ms > max_latency_ms), ("keywords", F.coalesce(coverage < min_coverage, F.lit(False))), ("uncertainty", strict & (n_notes > 0)), ("intent", off), ("error", F.coalesce(error, F.lit("")) != ""))
+    return F.array_compact(F.array(*(F.when(c, n) for n, c in named)))
+
+
+def evaluation_summary(cases: DataFrame, by: list[str], ndigits: int = 4) -> DataFrame:
+    """cases (passed, elapsed_ms, n_sources, n_notes, intent_match, coverage) in one row a group; rates of what is known only."""
+    mean = lambda c, n=ndigits: F.bround(F.avg(c), n)
+    return cases.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("total_cases"), F.count_if("passed").alias("passed_cases"), mean(F.col("passed").cast("int")).alias("pass_rate"), mean("elapsed_ms", 2).alias("avg_latency_ms"),
+        F.bround(F.expr("percentile_disc(0.95) within group (order by elapsed_ms)"), 2).alias("p95_latency_ms"), mean("n_sources", 2).alias("avg_sources"), mean((F.col("n_notes") > 0).cast("int")).alias("uncertainty_rate"),
+        mean(F.col("intent_match").cast("int")).alias("intent_accuracy"), mean("coverage").alias("avg_keyword_coverage"),
+    )
+
+
+def provider_usage(usage: Column) -> dict[str, Column]:
+    """Token counts of a model's usage (JSON); what is absent, negative or no whole number is null."""
+
+    def count(name: str) -> Column:
+        raw = F.get_json_object(usage, f"$.{name}")
+        return F.when(raw.rlike("^[0-9]+$"), raw.cast("long"))
+
+    return {f"provider_{n}": count(n) for n in ("prompt_tokens", "completion_tokens", "total_tokens")}
+
+
+def runtime_trace(retrieval_s: Column, synthesis_s: Column, evidence_tokens: Column, answer_tokens: Column, exhausted: Column, retrieval_deadline: float = 10.0, request_deadline: float = 10.0, evidence_budget: int = 8000, answer_budget: int = 2000) -> dict[str, Column]:
+    """Milliseconds, and whether a run kept its deadlines and its budgets of tokens."""
+    ms = lambda s: F.bround(s * 1000, 0).cast("long")
+    whole = retrieval_s + synthesis_s
+    return {
+        "elapsed_ms": ms(whole),
+        "retrieval_elapsed_ms": ms(retrieval_s),
+        "synthesis_elapsed_ms": ms(synthesis_s),
+        "latency_budget_ok": (retrieval_s <= retrieval_deadline) & (whole <= request_deadline) & (F.coalesce(exhausted, F.lit("")) != "synthesis"),
+        "token_budget_ok": (evidence_tokens <= evidence_budget) & F.coalesce(answer_tokens <= answer_budget, F.lit(True)),
+    }
