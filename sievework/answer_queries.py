@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sievework.functions import text as X
 from sievework.functions import vocabulary as V
-from sievework.operators import classify, dedupe, evidence, intents, live, local_answers, reports
+from sievework.operators import classify, evidence, intents, live, local_answers, reports
 from sievework.queries import CROSS, MARKS, _any_sql, _normal_sql, _user_turns, query, table
 
 _T = "regexp_extract_all(n, '[a-z0-9]+|[一-鿿]')"
@@ -162,8 +162,8 @@ _KIND = "case when source = 'src0' then 0 else length(source) + ascii(right(sour
 
 
 @query(f"""with {_MATCH_SQL}, g as (select source, min_by(title, rank) as t, min_by(version, rank) filter (where rank = 1) as v, max(case when rank = 1 then authority end) as a, max(case when rank = 1 then version end) as ve, max(case when rank = 1 then effective_date end) as ef, max(case when rank = 1 then publication_date end) as pu,
-  string_agg('"' || title || '"', '|' order by rank) filter (where rank > 1) as more, count(*) filter (where rank > 1 and title <> '') as n, {_KIND} as kind from k where domain = 'policy' and rank <= 3 group by source),
-s as (select *, string_split(more, '|') as l, concat_ws('; ', nullif(a, ''), 'version ' || ve, coalesce('effective ' || ef, 'published ' || pu)) as known from g)
+  string_agg('"' || title || '"', chr(1) order by rank) filter (where rank > 1) as more, count(*) filter (where rank > 1 and title <> '') as n, {_KIND} as kind from k where domain = 'policy' and rank <= 3 group by source),
+s as (select *, string_split(more, chr(1)) as l, concat_ws('; ', nullif(a, ''), 'version ' || ve, coalesce('effective ' || ef, 'published ' || pu)) as known from g)
 select source, case kind % 3 when 0 then 'The most relevant official exemption guidance is' when 1 then 'The most relevant official policy change is' else 'The most relevant official policy is' end || ' "' || t || '"' || case when known <> '' then ' (' || known || ')' else '' end || '.'
   || case when n > 0 then ' Supporting official evidence also includes ' || case n when 1 then l[1] else l[1] || ' and ' || l[2] end || '.' else '' end as conclusion from s""")
 def policy_conclusion(spark, sf_dir):
@@ -333,16 +333,6 @@ def shaped_responses(spark, sf_dir):
     return s.select("source", F.md5(F.array_join(F.transform("results", lambda x: x["snippet"]), "|")).alias("snippets"), F.array_join(F.transform("canonical_evidence", lambda x: x["evidence_id"]), ",").alias("evidence"))
 
 
-@query("""with recursive o as (select o_orderkey as pos, o_custkey || '|' || o_orderpriority as b, o_orderstatus as v, strftime(o_orderdate, '%Y-%m') as m, row_number() over (partition by o_custkey, o_orderpriority order by o_orderkey) as i from orders),
-s(b, i, pos, heads, grp) as (select b, i, pos, [{'pos': pos, 'v': v, 'm': m}], pos from o where i = 1
-  union all select o.b, o.i, o.pos, case when len(list_filter(s.heads, lambda h: h.v = o.v or h.m = o.m)) > 0 then s.heads else list_append(s.heads, {'pos': o.pos, 'v': o.v, 'm': o.m}) end, coalesce(list_filter(s.heads, lambda h: h.v = o.v or h.m = o.m)[1].pos, o.pos) from s join o on o.b = s.b and o.i = s.i + 1)
-select pos, grp as group_pos from s""")
-def policy_grouping(spark, sf_dir):
-    """Every record with its group, by replay of the rule in SQL: the first group whose first record has its version or its date."""
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pos"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("authority"), F.col("o_orderpriority").alias("title"), F.col("o_orderstatus").alias("version"), F.date_format("o_orderdate", "yyyy-MM").alias("publication_date"), F.lit(None).cast("string").alias("effective_date"))
-    return dedupe.policy_groups(o)
-
-
 _STOPPED = ("the", "and")
 _FOCUS = "list_distinct(list_filter(regexp_extract_all(" + _normal_sql("{}") + ", '[a-z0-9]+|[一-鿿]'), lambda t: length(t) >= 4 and t not in ('the', 'and')))"
 _LIVE_TERMS = ("that", "with", "und", "tion", "this", "para")

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from itertools import batched
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +15,7 @@ from sievework.functions import vocabulary as V
 from sievework.functions.markers import contains_any
 
 YEAR = r"^[0-9]{4}$"
+QUERIES, CELLS = 2_000, 4_000_000  # of a pass over the records; of records and queries that are scored at once
 
 
 def token_weight(token: Column) -> Column:
@@ -40,20 +47,67 @@ def alignment(route: Column, query_tokens: Column, record_tokens: Column, record
     return overlap_score(query_tokens, record_tokens) + bonus + points(t("is_cross_domain_impact") & contains_any(record_text, V.RECORD_IMPACT_MARKERS), 2)
 
 
-def top_records(queries: DataFrame, records: DataFrame, query_id: str, record_id: str, k: int, most_terms: int = 2_000_000) -> DataFrame:
+def _best_in_batch(block: list[tuple], k: int, record_id: str, schema: pa.Schema):
+    """The k best records of a batch for each query of a block; nothing that could be among the best of all is lost."""
+    terms = {t: i for i, t in enumerate({t for _, ts in block for t in ts})}
+    held = sorted({(terms[t], q) for q, (_, ts) in enumerate(block) for t in ts})
+    asks = np.array([q for _, q in held], np.int64)
+    many = np.bincount(np.array([t for t, _ in held], np.int64), minlength=len(terms))
+    first, n = np.cumsum(many) - many, len(block)
+    year = np.array([re.match(YEAR, t) is not None for t in terms], bool)
+    weight = np.array([4 if re.match(YEAR, t) else 2 if re.match("^[a-z0-9]{4,}$", t) else 1 for t in terms], np.int64)
+
+    def scores(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+        """(score, shared): records by queries."""
+        size = len(column)
+        words = column.flatten().dictionary_encode()
+        known = np.array([terms.get(w, -1) for w in words.dictionary.to_pylist()] or [-1], np.int64)
+        record = np.repeat(np.arange(size), np.diff(column.offsets.to_numpy()))
+        term = known[words.indices.to_numpy()] if len(words) else np.zeros(0, np.int64)
+        pairs = np.unique(record[term >= 0] * len(terms) + term[term >= 0])
+        record, term = pairs // len(terms), pairs % len(terms)
+        times = many[term]
+        place = np.repeat(first[term] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+        cell, points = np.repeat(record, times) * n + asks[place], np.repeat(np.where(year[term], 0, weight[term]), times)
+        plain = np.bincount(cell, points, size * n).reshape(size, n)
+        years = np.bincount(cell, np.repeat(np.where(year[term], weight[term], 0), times), size * n).reshape(size, n)
+        return np.where(plain > 0, plain + years, 0).astype(np.int64), plain + years > 0
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, CELLS // n)
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                ids = part.column(0).to_pylist()
+                size = len(ids)
+                score, shared = scores(pa.concat_arrays([part.column(1)]))
+                later = np.empty(size, np.int64)
+                later[sorted(range(size), key=ids.__getitem__, reverse=True)] = np.arange(size)
+                worth = np.where(shared, score * size + later[:, None], -1)
+                few = np.argpartition(-worth, k - 1, axis=0)[:k] if size > k else np.repeat(np.arange(size)[:, None], n, axis=1)
+                row, query = np.nonzero(np.take_along_axis(worth, few, 0) >= 0)
+                record = few[row, query]
+                yield pa.RecordBatch.from_arrays([pa.array([block[q][0] for q in query.tolist()], schema.field(0).type), pa.array([ids[r] for r in record.tolist()], schema.field(1).type), pa.array(score[record, query], pa.int64())], schema=schema)
+
+    return best
+
+
+def top_records(queries: DataFrame, records: DataFrame, query_id: str, record_id: str, k: int) -> DataFrame:
     """query id, record id, score and rank: each query's k best records by overlap, ties to the smaller id.
 
-    Both sides have an array column `tokens`. Queries' tokens become an index by token; it is broadcast if it has
-    most_terms entries at most. Pairs without a shared token do not arise, and sums start before the exchange.
+    Both sides have an array column `tokens`; records without an id or tokens are none. Queries' tokens are collected and become
+    an index by token, QUERIES queries in a pass over the records, which are scored where they lie; only the k best of
+    each batch are exchanged. Words that all records share therefore cost no pairs in an exchange.
     """
     from pyspark.sql import Window
+    from pyspark.sql import types as T
+    from pyspark.sql.pandas.types import to_arrow_schema
 
-    terms = queries.select(query_id, F.explode(F.array_distinct("tokens")).alias("token"))
-    few = terms.limit(most_terms + 1).count() <= most_terms
-    words = records.select(record_id, F.explode(F.array_distinct("tokens")).alias("token"))
-    year = F.col("token").rlike(YEAR)
-    hits = words.join(F.broadcast(terms) if few else terms, "token")
-    sums = hits.groupBy(query_id, record_id).agg(F.sum(F.when(year, 0).otherwise(token_weight(F.col("token")))).alias("plain"), F.sum(F.when(year, 4).otherwise(0)).alias("years"))
-    scored = sums.withColumn("score", F.when(F.col("plain") > 0, F.col("plain") + F.col("years")).otherwise(0))
+    own = T.StructType([queries.schema[query_id], records.schema[record_id], T.StructField("score", T.LongType())])
+    asked = [(r[0], r[1]) for r in queries.select(query_id, F.array_distinct(F.filter("tokens", lambda t: t.isNotNull()))).where(F.size("tokens") > 0).collect()]
+    x = records.where(F.col(record_id).isNotNull() & (F.size("tokens") > 0)).select(record_id, F.array_distinct("tokens").alias("tokens"))
+    out = records.sparkSession.createDataFrame([], own)
+    for block in batched(asked, QUERIES):
+        out = out.union(x.mapInArrow(_best_in_batch([*block], k, record_id, to_arrow_schema(own)), own))
     order = Window.partitionBy(query_id).orderBy(F.desc("score"), record_id)
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(query_id, record_id, "score", "rank")
+    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -136,10 +136,14 @@ def host_tier(spark, sf_dir):
     return x.select("page_id", "host", retrieval.url_tier(F.col("host"), F.col("path"), _OFFICIAL, _NEWS).alias("tier"))
 
 
-@query(f"with p as (select page_id, {_HOST_SQL} as host from pages), a as (select host from p group by host having min(page_id) % 2 = 0) select page_id, host from p where host in (select host from a)")
+@query(f"with p as (select page_id, {_HOST_SQL} as host from pages), a as (select distinct host from p order by host limit 5) select page_id, host from p where host in (select host from a)")
 def host_allowlist(spark, sf_dir):
-    p = table(spark, sf_dir, "pages").select("page_id", X.host(F.col("url")).alias("host"))
-    return p.join(p.groupBy("host").agg(F.min("page_id").alias("m")).where("m % 2 = 0"), "host", "left_semi").select("page_id", "host")
+    """Pages on an allowlist: the first five hosts by name."""
+    from sievework.sources.catalogs import on_hosts
+
+    p = table(spark, sf_dir, "pages").select("page_id", "url", X.host(F.col("url")).alias("host"))
+    allowed = tuple(r["host"] for r in p.select("host").distinct().orderBy("host").limit(5).collect())
+    return on_hosts(p, "url", allowed).select("page_id", "host")
 
 
 @query(f"""with p as (select page_id, {_HOST_SQL} as host from pages), s as (select page_id, host, unnest(range(1, len(string_split(host, '.')) + 1)) as i from p),
@@ -163,12 +167,6 @@ def html_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", X.html_text(F.col("html")).alias("shown"), X.page_title(F.col("html")).alias("title"))
 
 
-@query("with l as (select page_id, unnest(regexp_extract_all(html, '<a\\s[^>]*href=\"([^\"]*)\"', 1)) as href from pages) select page_id, href, count(*) as n from l where href <> '' group by all")
-def link_extract(spark, sf_dir):
-    x = table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r'<a\s[^>]*href="([^"]*)"'), F.lit(1))).alias("href"))
-    return x.where("href <> ''").groupBy("page_id", "href").agg(F.count(F.lit(1)).alias("n"))
-
-
 _ALIGN_SQL = f"""
 with q as (select distinct item_id, unnest(regexp_extract_all({_normal_sql('text')}, '[a-z0-9]+')) as token from benchmark),
 d as (select distinct doc_id, unnest(regexp_extract_all({_normal_sql('text')}, '[a-z0-9]+')) as token from documents),
@@ -288,12 +286,12 @@ def evidence_score(spark, sf_dir):
     return x.select("doc_id", score.alias("score"))
 
 
-_SLICES_SQL = "s as (select lang as qid, doc_id // 4 as record_id, doc_id as slice_id, (n_chars % 1000) / 1000.0::double as score, n_chars // 5 as tokens, left(text, 40) || doc_id as text from documents)"
+_SLICES_SQL = "s as (select lang as qid, doc_id // 4 as record_id, doc_id as slice_id, (n_chars % 1000) / 1000.0::double as score, n_chars // 5 as tokens, text || doc_id as text from documents)"
 
 
 def _slices(spark, sf_dir):
     x = table(spark, sf_dir, "documents")
-    return x.select(F.col("lang").alias("qid"), F.expr("doc_id div 4").alias("record_id"), F.col("doc_id").alias("slice_id"), ((F.col("n_chars") % 1000) / 1000.0).alias("score"), F.expr("n_chars div 5").alias("tokens"), F.concat(F.left("text", F.lit(40)), F.col("doc_id").cast("string")).alias("text"))
+    return x.select(F.col("lang").alias("qid"), F.expr("doc_id div 4").alias("record_id"), F.col("doc_id").alias("slice_id"), ((F.col("n_chars") % 1000) / 1000.0).alias("score"), F.expr("n_chars div 5").alias("tokens"), F.concat("text", F.col("doc_id").cast("string")).alias("text"))
 
 
 @query(f"""with {_SLICES_SQL}, a as (select *, row_number() over (partition by qid, record_id order by score desc, tokens desc, text desc) = 1 as safe, sum(tokens) over (partition by qid) as total from s),
@@ -320,12 +318,12 @@ def first_non_null_merge(spark, sf_dir):
     return x.groupBy("o_custkey").agg(*dedupe.first_filled(["priority", "status"], ["o_orderkey"]))
 
 
-@query("""with recursive a as (select doc_id, 't' || md5(text) as alias from documents union all select doc_id, 'p' || left(text, 20) || source from documents),
+@query("""with recursive a as (select doc_id, 't' || md5(text) as alias from documents union all select doc_id, 'p' || split_part(text, chr(10), 1) || source from documents),
 e as (select distinct x.doc_id as i, y.doc_id as j from a x join a y using (alias)), r(i, j) as (select i, j from e union select r.i, e.j from r join e on e.i = r.j)
 select i as doc_id, min(j) as component from r group by i""")
 def alias_components(spark, sf_dir):
     x = table(spark, sf_dir, "documents")
-    return dedupe.alias_components(x, "doc_id", [F.concat(F.lit("t"), F.md5("text")), F.concat(F.lit("p"), F.left("text", F.lit(20)), "source")])
+    return dedupe.alias_components(x, "doc_id", [F.concat(F.lit("t"), F.md5("text")), F.concat(F.lit("p"), F.split("text", "\n", 2)[0], "source")])
 
 
 @query()
@@ -335,27 +333,12 @@ def similarity_collapse(spark, sf_dir):
     return dedupe.similar_groups(x, F.col("source"), "title", "text").select(F.col("pos").alias("doc_id"), F.col("group_pos").alias("group_id"))
 
 
-@query("""with o as (select o_orderkey as pos, o_custkey, o_orderpriority, o_orderstatus, strftime(o_orderdate, '%Y-%m') as month from orders), f as (select o_custkey, o_orderpriority, pos, month, o_orderstatus from o)
-select count(*) as records, count(distinct o_custkey || '|' || o_orderpriority) as blocks from f""")
-def policy_blocks(spark, sf_dir):
-    """How many records and blocks policy_groups replays."""
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pos"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("authority"), F.col("o_orderpriority").alias("title"), F.col("o_orderstatus").alias("version"), F.date_format("o_orderdate", "yyyy-MM").alias("publication_date"), F.lit(None).cast("string").alias("effective_date"))
-    g = dedupe.policy_groups(o).join(o, "pos")
-    return g.agg(F.count(F.lit(1)).alias("records"), F.count_distinct(F.concat_ws("|", "authority", "title")).alias("blocks"))
-
-
-@query("""with o as (select o_orderkey as pos, o_custkey || '|' || o_orderpriority as b, o_orderstatus as v, strftime(o_orderdate, '%Y-%m') as m from orders), h as (select b, min(pos) as head from o group by b)
-select o.pos, h.head as group_pos from o join h using (b) join o x on x.pos = h.head where x.v = o.v or x.m = o.m""")
-def policy_groups_of_first(spark, sf_dir):
-    """Members of each block's first group: those that share a version or a date with the block's first record."""
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pos"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("authority"), F.col("o_orderpriority").alias("title"), F.col("o_orderstatus").alias("version"), F.date_format("o_orderdate", "yyyy-MM").alias("publication_date"), F.lit(None).cast("string").alias("effective_date"))
-    heads = o.groupBy("authority", "title").agg(F.min("pos").alias("head"))
-    return dedupe.policy_groups(o).join(o, "pos").join(heads, ["authority", "title"]).where("group_pos = head").select("pos", "group_pos")
-
-
-@query()
+@query("""with recursive o as (select o_orderkey as pos, o_custkey || '|' || o_orderpriority as b, o_orderstatus as v, strftime(o_orderdate, '%Y-%m') as m, row_number() over (partition by o_custkey, o_orderpriority order by o_orderkey) as i from orders),
+s(b, i, pos, heads, grp) as (select b, i, pos, [{'pos': pos, 'v': v, 'm': m}], pos from o where i = 1
+  union all select o.b, o.i, o.pos, case when len(list_filter(s.heads, lambda h: h.v = o.v or h.m = o.m)) > 0 then s.heads else list_append(s.heads, {'pos': o.pos, 'v': o.v, 'm': o.m}) end, coalesce(list_filter(s.heads, lambda h: h.v = o.v or h.m = o.m)[1].pos, o.pos) from s join o on o.b = s.b and o.i = s.i + 1)
+select pos, grp as group_pos from s""")
 def policy_group_members(spark, sf_dir):
-    """Every record with its group, later groups of a block too."""
+    """Every record with its group, later groups of a block too; the SQL replays the rule record by record."""
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pos"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("authority"), F.col("o_orderpriority").alias("title"), F.col("o_orderstatus").alias("version"), F.date_format("o_orderdate", "yyyy-MM").alias("publication_date"), F.lit(None).cast("string").alias("effective_date"))
     return dedupe.policy_groups(o)
 
@@ -378,7 +361,16 @@ def fact_density_weights(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.bround(score, 6).alias("score"))
 
 
-@query()
+def _count_sql(pattern: str) -> str:
+    plain = pattern.replace("(?Ui)", "(?i)").replace("(?U)", "").replace("'", "''")
+    return f"len(regexp_extract_all(text, '{plain}'))"
+
+
+_DATES_SQL = f"({_count_sql(paragraphs.ISO_DATE)} + {_count_sql(paragraphs.US_DATE)} + {_count_sql(paragraphs.HAN_DATE)})"
+
+
+@query(f"""with d as (select doc_id, text, {_DATES_SQL} as d, {_count_sql(paragraphs.YEAR)} as y, {_count_sql(paragraphs.VERSION)} as v, {_count_sql(paragraphs.CLAUSE)} as c, {_count_sql(paragraphs.FIGURE)} as f, """ + " + ".join(f"contains(lower(text), '{a}')::int" for a in V.AUTHORITIES) + """ as a from documents)
+select doc_id, round_even((3.2 * d + greatest(y - d, 0) * 0.4 + 2.0 * v + 2.6 * c + 1.2 * f + 0.8 * a)::double * (0.55 + 0.45 * least(1.0, length(text) / 220.0))::double, 6) as score from d""")
 def fact_density(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.bround(paragraphs.fact_density(F.col("text")), 6).alias("score"))
 
@@ -409,40 +401,7 @@ def best_window(spark, sf_dir):
     return x.select("doc_id", best.alias("b")).select("doc_id", F.col("b.hits").cast("long").alias("hits"), F.col("b.start").cast("long").alias("start"))
 
 
-_CITES = """c as (select conv_id as answer_id, turn as point_id, case when length(text) % 7 = 0 then 'missing' else 'd' || (conv_id % 100) end as evidence_id, case when length(text) % 5 = 0 then 's9' else 's' || (conv_id % 100) end as source_record_id,
-  case when length(text) % 3 = 0 then '' when length(text) % 3 = 1 then replace(left(d.t, 30), ' ', ' - ') else text end as quote_text from conversations join (select doc_id, text as t from documents) d on d.doc_id = conv_id % 100),
-e as (select 'd' || doc_id as evidence_id, 's' || doc_id as source_record_id, text as slice_text from documents where doc_id < 100),
-k as (select *, trim(regexp_replace(lower(quote_text), '[^a-z0-9]+', ' ', 'g')) as q from c),
-x as (select answer_id, point_id, case when n.evidence_id is null then 'missing evidence_id' when e.slice_text is null then 'missing source_record_id'
-  when trim(quote_text) <> '' and not contains(slice_text, quote_text) and not contains(trim(regexp_replace(lower(slice_text), '[^a-z0-9]+', ' ', 'g')), q) then 'quote_text mismatch' end as issue
-  from k left join (select distinct evidence_id from e) n on n.evidence_id = k.evidence_id left join e on e.evidence_id = k.evidence_id and e.source_record_id = k.source_record_id)"""
-
-
-def _checked(spark, sf_dir):
-    """Turns as points that cite the document of their conversation's number."""
-    d, n = table(spark, sf_dir, "documents"), F.length("text")
-    key = (F.col("conv_id") % 100).cast("string")
-    c = table(spark, sf_dir, "conversations").withColumn("doc_id", F.col("conv_id") % 100).join(d.select("doc_id", F.col("text").alias("t")), "doc_id")
-    quote = F.when(n % 3 == 0, "").when(n % 3 == 1, F.replace(F.left("t", F.lit(30)), F.lit(" "), F.lit(" - "))).otherwise(F.col("text"))
-    c = c.select(F.col("conv_id").alias("answer_id"), F.col("turn").alias("point_id"), F.when(n % 7 == 0, "missing").otherwise(F.concat(F.lit("d"), key)).alias("evidence_id"), F.when(n % 5 == 0, "s9").otherwise(F.concat(F.lit("s"), key)).alias("source_record_id"), quote.alias("quote_text"))
-    e = d.where("doc_id < 100").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("evidence_id"), F.concat(F.lit("s"), F.col("doc_id").cast("string")).alias("source_record_id"), F.col("text").alias("slice_text"))
-    return answers.check_citations(c, e, key=answers.quote_key_ascii)
-
-
-@query(f"with {_CITES} select answer_id, point_id, issue from x")
-def citation_validation(spark, sf_dir):
-    return _checked(spark, sf_dir).select("answer_id", "point_id", "issue")
-
-
-@query(f"""with {_CITES}, p as (select answer_id, point_id, bool_and(issue is null) as ok from x group by all), g as (select answer_id, count(*) filter (where ok) as grounded, count(*) as points from p group by answer_id)
-select answer_id, grounded, points, case when answer_id % 5 = 0 and answer_id % 3 = 0 then 'retrieval_failure' when answer_id % 5 = 0 or points = 0 or grounded < points then 'insufficient_evidence' else 'grounded_success' end as status from g""")
-def answer_status(spark, sf_dir):
-    g = answers.grounded_points(_checked(spark, sf_dir), ["answer_id"])
-    n = F.when(F.col("answer_id") % 5 == 0, 0).otherwise(1)
-    return g.withColumn("status", answers.answer_status(F.when(F.col("answer_id") % 3 == 0, "failure_gaps").otherwise("success"), n, F.col("grounded"), F.col("points")))
-
-
-_CITES_OF_ALL = """m as (select coalesce(max(conv_id), 0) + 1 as n from conversations), p as (select conv_id, turn, c.text, length(c.text) as n, doc_id, d.text as t from conversations c left join (select documents.*, doc_id % m.n as k from documents, m) d on d.k = conv_id),
+_CITES = """m as (select coalesce(max(conv_id), 0) + 1 as n from conversations), p as (select conv_id, turn, c.text, length(c.text) as n, doc_id, d.text as t from conversations c left join (select documents.*, doc_id % m.n as k from documents, m) d on d.k = conv_id),
 c as (select conv_id as answer_id, turn || ':' || coalesce(doc_id::varchar, '') as point_id, case when n % 7 = 0 or doc_id is null then 'missing' else 'd' || doc_id end as evidence_id, case when n % 5 = 0 or doc_id is null then 's-' else 's' || doc_id end as source_record_id,
   case when n % 11 = 0 or doc_id is null then '' when n % 3 = 2 then text else replace(substr(t, (1 + (turn * 7919 + doc_id * 31 + n) % greatest(length(t) - 29, 1))::bigint, 30), ' ', case when n % 3 = 1 then ' - ' else ' ' end) end as quote_text from p),
 e as (select 'd' || doc_id as evidence_id, 's' || doc_id as source_record_id, text as slice_text from documents),
@@ -452,7 +411,7 @@ x as (select answer_id, point_id, case when n.evidence_id is null then 'missing
   from k left join (select distinct evidence_id from e) n on n.evidence_id = k.evidence_id left join e on e.evidence_id = k.evidence_id and e.source_record_id = k.source_record_id)"""
 
 
-def _checked_of_all(spark, sf_dir):
+def _checked(spark, sf_dir):
     """Every document as evidence, cited by the turns of one conversation with quotes from anywhere in its text; turns without a document cite none."""
     d, c, n = table(spark, sf_dir, "documents"), table(spark, sf_dir, "conversations"), F.length("text")
     answers_n = (c.agg(F.max("conv_id")).first()[0] or 0) + 1
@@ -465,34 +424,27 @@ def _checked_of_all(spark, sf_dir):
     return answers.check_citations(c, e, key=answers.quote_key_ascii)
 
 
-@query(f"with {_CITES_OF_ALL} select answer_id, point_id, issue from x")
-def citation_validation_of_all(spark, sf_dir):
-    return _checked_of_all(spark, sf_dir).select("answer_id", "point_id", "issue")
+@query(f"with {_CITES} select answer_id, point_id, issue from x")
+def citation_validation(spark, sf_dir):
+    return _checked(spark, sf_dir).select("answer_id", "point_id", "issue")
 
 
-@query(f"""with {_CITES_OF_ALL}, p2 as (select answer_id, point_id, bool_and(issue is null) as ok from x group by all), g as (select answer_id, count(*) filter (where ok) as grounded, count(*) as points from p2 group by answer_id)
+@query(f"""with {_CITES}, p2 as (select answer_id, point_id, bool_and(issue is null) as ok from x group by all), g as (select answer_id, count(*) filter (where ok) as grounded, count(*) as points from p2 group by answer_id)
 select answer_id, grounded, points, case when answer_id % 5 = 0 and answer_id % 3 = 0 then 'retrieval_failure' when answer_id % 5 = 0 or points = 0 or grounded < points then 'insufficient_evidence' else 'grounded_success' end as status from g""")
-def answer_status_of_all(spark, sf_dir):
-    g = answers.grounded_points(_checked_of_all(spark, sf_dir), ["answer_id"])
+def answer_status(spark, sf_dir):
+    g = answers.grounded_points(_checked(spark, sf_dir), ["answer_id"])
     n = F.when(F.col("answer_id") % 5 == 0, 0).otherwise(1)
     return g.withColumn("status", answers.answer_status(F.when(F.col("answer_id") % 3 == 0, "failure_gaps").otherwise("success"), n, F.col("grounded"), F.col("points")))
 
 
 @query("""with o as (select lower(trim(text)) as b from documents join labels using (doc_id) where text is not null)
 select doc_id from documents where trim(text) = '' or text is null or lower(trim(text)) not in (select b from o)""")
-def frontier_anti_dedupe_of_all(spark, sf_dir):
+def frontier_anti_dedupe(spark, sf_dir):
     """All documents whose text no labelled document has."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     return retrieval.not_held(d, d.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id"), ["text"]).select("doc_id")
 
 
-@query(f"""with h as (select doc_id, lower(trim(source)) || lang as a, lower(trim(text)) as b from documents where doc_id % 2 = 1), o as (select lower(trim(source)) || lang as a, lower(trim(text)) as b from documents where doc_id % 2 = 0 and doc_id % 3 = 0)
-select doc_id from h where b not in (select b from o)""")
-def frontier_anti_dedupe(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return retrieval.not_held(d.where("doc_id % 2 = 1"), d.where("doc_id % 2 = 0 and doc_id % 3 = 0"), ["text"]).select("doc_id")
-
-
 @query("""select event_type, count(*) as total_runs, count(*) filter (where value >= 20) as successful_runs, avg((value >= 20)::int)::double as success_rate, quantile_disc(value, 0.5) as p50, quantile_disc(value, 0.95) as p95, avg((value < 90)::int)::double as budget_pass_rate from events group by event_type""")
 def run_summary(spark, sf_dir):
     return reports.run_summary(table(spark, sf_dir, "events"), ["event_type"], F.col("value") >= 20, "value", F.col("value") < 90)
@@ -574,14 +526,14 @@ def recency_ordinal(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", X.recency(t).alias("day_number"))
 
 
-_TITLE = "regexp_replace(left(text, 60), '^[^ ]+', 'Mirror')"
+_TITLE = "regexp_replace(text, '^[^ ]+', 'Mirror')"
 
 
 @query(f"""with d as (select doc_id, source, text, {_TITLE} as t from documents) select doc_id, trim(regexp_replace(lower(regexp_replace(t, '\\bmirror\\b', '', 'gi')), '[^a-z0-9一-鿿]+', ' ', 'g')) as policy_title,
   replace(trim(regexp_replace(lower(regexp_replace(t, '\\bmirror\\b', '', 'gi')), '[^a-z0-9一-鿿]+', ' ', 'g')), ' ', '-') as slug, trim(regexp_replace(lower(t), '[^a-z0-9]+', ' ', 'g')) as industry_title,
   source || ':' || left(sha1(source || '|' || text), 12) as record_id from d""")
 def titles_and_ids(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").withColumn("t", F.regexp_replace(F.left("text", F.lit(60)), "^[^ ]+", "Mirror"))
+    d = table(spark, sf_dir, "documents").withColumn("t", F.regexp_replace("text", "^[^ ]+", "Mirror"))
     return d.select("doc_id", X.policy_title(F.col("t")).alias("policy_title"), X.slug(F.col("t")).alias("slug"), X.industry_title(F.col("t")).alias("industry_title"), X.record_id(F.col("source"), F.col("source"), F.col("text")).alias("record_id"))
 
 
@@ -663,7 +615,24 @@ def variant_expansion(spark, sf_dir):
     return out
 
 
-@query()
+def _has_sql(c: str, markers) -> str:
+    return "(" + " or ".join(_mark_sql(c, m) if m.isascii() else f"contains({c}, '{m}')" for m in markers) + ")"
+
+
+def _wave_sql(route: str, role: str) -> str:
+    official, web, news = (f"'{role}:{s}'" for s in V.FIRST_WAVE["industry"])
+    ids = lambda *s: "[" + ", ".join(s) + "]"
+    return f"case {route} when 'industry' then (case when official then {ids(official, web, news)} when trend then {ids(web)} else {ids(web, news, official)} end)"
+
+
+_PLAN_SQL = f"""with l as (select conv_id, turn, route_label, primary_route as p, supplemental_route as o from ({_LABEL_SQL})), q as (select conv_id, turn, {_normal_sql("text")} as n from conversations where role = 'user'),
+x as (select l.*, {" or ".join(f"contains(n, '{m}')" for m in V.OFFICIAL_FIRST)} as official, {_has_sql("n", V.TREND_MARKERS)} as trend, contains(n, '{V.ARXIV_FIRST[0]}') as arxiv from l join q using (conv_id, turn))
+select conv_id, turn, route_label, list_concat(case when route_label = 'academic' and p = 'academic' then [case when arxiv then 'primary:academic_arxiv' else 'primary:academic_semantic_scholar' end] else {_wave_sql("p", "primary")} when 'academic' then ['primary:academic_semantic_scholar', 'primary:academic_arxiv'] else ['primary:policy_official_registry'] end end,
+  case when route_label = 'mixed' and o is not null then {_wave_sql("o", "supplemental")} when 'academic' then ['supplemental:academic_semantic_scholar'] else ['supplemental:policy_official_registry'] end else [] end) as first_wave,
+  case when route_label = 'industry' and p = 'industry' then 8.0 else 3.0 end::double as per_source, case when route_label = 'industry' and p = 'industry' then 9.0 when route_label = 'mixed' then 8.0 else 6.0 end::double as overall, case when route_label in ('industry', 'mixed') then 5 else 3 end as variants, case when route_label = 'industry' and p = 'industry' then 3 else 6 end as at_once from x"""
+
+
+@query(_PLAN_SQL)
 def retrieval_plan(spark, sf_dir):
     from sievework.plans import retrieval_plan as plans
 
@@ -767,59 +736,10 @@ def event_sessions(spark, sf_dir):
     return sessions(table(spark, sf_dir, "events"), "6 hours").select("user_id", F.unix_timestamp("started").alias("started"), "n")
 
 
-_EVIDENCE_SQL = """q as (select item_id as qid, list_distinct(regexp_extract_all(lower(left(text, 80)), '[a-z0-9]+')) as terms, case when item_id % 2 = 0 then 'academic' else 'policy' end as primary_route from benchmark),
-e as (select b.item_id as qid, d.doc_id as evidence_id, case d.doc_id % 2 when 0 then 'policy' else 'academic' end as domain, case d.doc_id % 3 when 0 then 'supplemental' else 'primary' end as route_role, left(d.text, 30) as title,
-  [{'text': substr(d.text, 1, 200), 'source_record_id': 'a' || d.doc_id, 'score': 1.5, 'tokens': d.n_chars % 50}, {'text': substr(d.text, 201, 200), 'source_record_id': 'b' || d.doc_id, 'score': 0.5, 'tokens': d.n_chars % 40}] as slices, d.n_chars % 13 as total_score, d.n_chars % 3 as alignment,
-  case when d.doc_id % 5 = 0 then 'v' || d.doc_id end as version, case when d.doc_id % 5 = 0 then 'observed' end as version_status, case when d.doc_id % 7 < 3 then '2024-01-0' || (d.doc_id % 7 + 1) end as effective_date from benchmark b join documents d on d.doc_id % 50 = b.item_id % 50),
-s as (select qid, evidence_id, domain, route_role, title, total_score, alignment, x.text as text, x.source_record_id as source_record_id, x.score as score, x.tokens as tokens from (select *, unnest(slices) as x from e)),
-o as (select s.*, terms, primary_route, len(list_intersect(terms, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')))) as hits from s join q using (qid))"""
-
-
 def _evidence(spark, sf_dir):
-    """Benchmark items as queries; the documents whose number agrees with theirs as evidence of two slices each."""
-    b, d, n = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), F.col("doc_id")
-    q = b.select(F.col("item_id").alias("qid"), F.array_distinct(F.regexp_extract_all(F.lower(F.left("text", F.lit(80))), F.lit("[a-z0-9]+"), F.lit(0))).alias("terms"), F.when(F.col("item_id") % 2 == 0, "academic").otherwise("policy").alias("primary_route"), F.lit(True).alias("has_version_intent"), (F.col("item_id") % 3 == 0).alias("has_effective_date_intent"), F.lit(False).alias("is_policy_change"))
-    part = lambda at, name, score, m: F.struct(F.substring("text", at, 200).alias("text"), F.concat(F.lit(name), n.cast("string")).alias("source_record_id"), F.lit(score).alias("score"), (F.col("n_chars") % m).alias("tokens"))
-    e = d.select(
-        (n % 50).alias("k"), n.alias("evidence_id"), F.when(n % 2 == 0, "policy").otherwise("academic").alias("domain"), F.when(n % 3 == 0, "supplemental").otherwise("primary").alias("route_role"), F.left("text", F.lit(30)).alias("title"), F.array(part(1, "a", 1.5, 50), part(201, "b", 0.5, 40)).alias("slices"),
-        (F.col("n_chars") % 13).alias("total_score"), (F.col("n_chars") % 3).alias("alignment"), F.when(n % 5 == 0, F.concat(F.lit("v"), n.cast("string"))).alias("version"), F.when(n % 5 == 0, "observed").alias("version_status"), F.lit(None).cast("string").alias("publication_date"), F.when(n % 7 < 3, F.concat(F.lit("2024-01-0"), (n % 7 + 1).cast("string"))).alias("effective_date"),
-    )
-    return q, e.join(b.select(F.col("item_id").alias("qid"), (F.col("item_id") % 50).alias("k")), "k").drop("k")
-
-
-@query(f"""with {_EVIDENCE_SQL}, b as (select *, row_number() over (partition by qid, evidence_id order by hits desc, score desc, tokens, source_record_id desc) as k from o),
-r as (select *, row_number() over (partition by qid, domain, route_role order by hits desc, alignment desc, total_score desc, evidence_id)::int as rank from b where k = 1 and (hits > 0 or alignment > 0))
-select qid, domain, route_role, evidence_id, hits::int as overlap, source_record_id, text, rank from r where rank <= 2""")
-def route_slice_matches(spark, sf_dir):
-    from sievework.operators.matches import route_matches
-
-    q, e = _evidence(spark, sf_dir)
-    return route_matches(e, q)
-
-
-@query(f"""with {_EVIDENCE_SQL}, m as (select qid, max(hits) as most from o group by qid), t as (select qid, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as w from s union select qid, unnest(regexp_extract_all(lower(title), '[a-z0-9]+')) from e),
-h as (select q.qid, count(distinct t.w) as held from q left join t on t.qid = q.qid and list_contains(q.terms, t.w) group by q.qid)
-select q.qid, len(terms) = 0 or (case when primary_route = 'academic' then coalesce(most, 0) else held end) >= least(2, len(terms)) as relevant from q left join m using (qid) join h using (qid)""")
-def relevance_gate(spark, sf_dir):
-    from sievework.operators.matches import relevance_gate as gate
-
-    q, e = _evidence(spark, sf_dir)
-    return gate(e, q)
-
-
-@query(f"""with {_EVIDENCE_SQL}, k as (select qid, evidence_id, (version is not null)::int as n0, case when qid % 3 = 0 then (effective_date is not null)::int else 1 end as n1, row_number() over (partition by qid order by (version is not null)::int desc, case when qid % 3 = 0 then (effective_date is not null)::int else 1 end desc, alignment desc, coalesce(effective_date, '') desc, evidence_id desc) as r from e where domain = 'policy')
-select qid, evidence_id from k where r = 1 and n0 = 1 and n1 = 1""")
-def best_policy_lookup(spark, sf_dir):
-    from sievework.operators.matches import best_policy_record
-
-    q, e = _evidence(spark, sf_dir)
-    return best_policy_record(e, q)
-
-
-def _whole_evidence(spark, sf_dir):
     """Benchmark items as queries, with all their terms; all documents as evidence, with their whole texts in slices."""
-    q, n = _evidence(spark, sf_dir)[0], F.col("doc_id")
-    q = q.join(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.array_distinct(X.tokens(X.normalize_query(F.col("text")))).alias("all_terms")), "qid").withColumn("terms", F.col("all_terms")).drop("all_terms")
+    b, i, n = table(spark, sf_dir, "benchmark"), F.col("item_id"), F.col("doc_id")
+    q = b.select(i.alias("qid"), F.array_distinct(X.tokens(X.normalize_query(F.col("text")))).alias("terms"), F.when(i % 2 == 0, "academic").otherwise("policy").alias("primary_route"), F.lit(True).alias("has_version_intent"), (i % 3 == 0).alias("has_effective_date_intent"), F.lit(False).alias("is_policy_change"))
     e = table(spark, sf_dir, "documents").select(
         n.alias("evidence_id"), F.when(n % 2 == 0, "policy").otherwise("academic").alias("domain"), F.when(n % 3 == 0, "supplemental").otherwise("primary").alias("route_role"), F.split("text", "\n", 2)[0].alias("title"), matches.whole_slices(F.col("text"), n).alias("slices"),
         (F.col("n_chars") % 13).alias("total_score"), (F.col("n_chars") % 3).alias("alignment"), F.when(n % 5 == 0, F.concat(F.lit("v"), n.cast("string"))).alias("version"), F.when(n % 5 == 0, "observed").alias("version_status"), F.lit(None).cast("string").alias("publication_date"), F.when(n % 7 < 3, F.concat(F.lit("2024-01-0"), (n % 7 + 1).cast("string"))).alias("effective_date"),
@@ -828,24 +748,27 @@ def _whole_evidence(spark, sf_dir):
 
 
 @query()
-def route_slice_matches_of_all(spark, sf_dir):
-    q, e = _whole_evidence(spark, sf_dir)
+def route_slice_matches(spark, sf_dir):
+    q, e = _evidence(spark, sf_dir)
     return matches.route_matches_of_all(e, q)
 
 
 @query()
-def relevance_gate_of_all(spark, sf_dir):
-    q, e = _whole_evidence(spark, sf_dir)
+def relevance_gate(spark, sf_dir):
+    q, e = _evidence(spark, sf_dir)
     return matches.relevance_gate_of_all(e, q)
 
 
-@query()
-def best_policy_lookup_of_all(spark, sf_dir):
-    q, e = _whole_evidence(spark, sf_dir)
+@query("""with e as (select item_id as qid, doc_id as evidence_id, doc_id % 5 = 0 as v, case when doc_id % 7 < 3 then '2024-01-0' || (doc_id % 7 + 1) end as d, n_chars % 3 as alignment from benchmark, documents where doc_id % 2 = 0 and length(documents.text) > 0),
+k as (select *, row_number() over (partition by qid order by v desc, qid % 3 <> 0 or d is not null desc, alignment desc, coalesce(d, '') desc, evidence_id desc) as r from e) select qid, evidence_id from k where r = 1 and v and (qid % 3 <> 0 or d is not null)""")
+def best_policy_lookup(spark, sf_dir):
+    q, e = _evidence(spark, sf_dir)
     return matches.best_policy_record_of_all(e, q)
 
 
-@query()
+@query(r"""with l as (select page_id, url as base, unnest(regexp_extract_all(html, '<a\s[^>]*href="([^"]+)"[^>]*>[^<]*</a>', 1)) as href, unnest(regexp_extract_all(html, '<a\s[^>]*href="[^"]+"[^>]*>([^<]*)</a>', 1)) as text, generate_subscripts(regexp_extract_all(html, '<a\s[^>]*href="([^"]+)"[^>]*>[^<]*</a>', 1), 1) as i from pages),
+w as (select page_id, i, trim(text) as text, case when href like '/%' then regexp_extract(base, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*') || href else href end as url from l), f as (select *, row_number() over (partition by page_id, url order by i) as k from w where url like 'http%')
+select page_id, (row_number() over (partition by page_id order by i) - 1)::int as pos, text, url from f where k = 1""")
 def page_links(spark, sf_dir):
     from sievework.sources.serp import links
 

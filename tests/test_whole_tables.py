@@ -56,7 +56,7 @@ def test_similarity_collapse_against_all_pairs(spark, sf_dir, tmp_path):
 
 
 def test_every_document_is_evidence_and_cited(spark, sf_dir):
-    x = Q._checked_of_all(spark, sf_dir).collect()
+    x = Q._checked(spark, sf_dir).collect()
     texts = {f"d{r['doc_id']}": r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     assert {r["point_id"].split(":")[1] for r in x} >= {k[1:] for k in texts}
     held = [r for r in x if r["evidence_id"] in texts and r["quote_text"].strip() and r["issue"] is None]
@@ -86,7 +86,7 @@ def test_canonical_records_against_all_pairs(spark, sf_dir, tmp_path):
 def test_frontier_holds_all_documents_against_all_labelled_ones(spark, sf_dir):
     docs = {r["doc_id"]: r["text"].strip(" ").lower() for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     held = {docs[r["doc_id"]] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect() if r["doc_id"] in docs}
-    got = {r["doc_id"] for r in Q.frontier_anti_dedupe_of_all(spark, sf_dir).collect()}
+    got = {r["doc_id"] for r in Q.frontier_anti_dedupe(spark, sf_dir).collect()}
     assert got == {n for n, text in docs.items() if text not in held}
     assert {n % 6 for n in got} == {*range(6)}
 
