@@ -16,11 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievework.llm.common import U64, arrow, arrow_map, chunks_by_bytes, cut, grouped, join_bounded, mix
+from sievework.llm.repeats import text_words
 from sievework.operators.components import connected_components
 
 WORDS = 5
@@ -41,36 +41,18 @@ def normal_text(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[\s\x{a0}]+", " "))
 
 
-class _WordHashes(dict):
-    """Hashes of words, kept while they are fewer than a bound."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > 150_000:
-            self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return value
-
-
-_hashes = _WordHashes()
-
-
 def shingles(texts: list[str], words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """(document's position, shingle's hash) for each occurrence of a shingle in normal texts.
 
     A text of one word or more but fewer than `words` has one shingle, all its words; a text without words has none.
     """
-    parts, sizes = [], np.zeros(len(texts), np.int64)
-    for i, text in enumerate(texts):
-        if text:
-            w = text.split(" ")
-            x = np.fromiter(map(_hashes.__getitem__, w), U64, len(w))
-            if len(x) < words:
-                x = np.concatenate([x, np.zeros(words - len(x), U64)])
-            parts.append(x)
-            sizes[i] = len(x)
-    if not parts:
+    n_words = np.array([t.count(" ") + 1 if t else 0 for t in texts], np.int64)
+    own, _, _ = text_words(memoryview(" ".join(texts).encode("utf-8", "surrogatepass")))
+    if not len(own):
         return np.zeros(0, np.int64), np.zeros(0, U64)
-    all_words = np.concatenate(parts)
+    sizes = np.where(n_words > 0, np.maximum(n_words, words), 0)  # short texts are filled up with zeros
+    all_words = np.zeros(sizes.sum(), U64)
+    all_words[np.arange(len(own)) + np.repeat(np.cumsum(sizes) - sizes - (np.cumsum(n_words) - n_words), n_words)] = own
     n = len(all_words) - words + 1
     h = np.zeros(n, U64)
     for j in range(words):
@@ -83,13 +65,12 @@ def shingles(texts: list[str], words: int = WORDS) -> tuple[np.ndarray, np.ndarr
 
 
 def weighted_sets(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, shingle, weight), sorted by document and shingle."""
-    order = np.lexsort((h, doc))
-    doc, h = doc[order], h[order]
-    first = np.ones(len(h), bool)
-    first[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+    """(document, shingle, weight), sorted by document and shingle; shingles are cut to 40 bits, so that both fit one number to sort by."""
+    both = np.sort(doc.astype(U64) << U64(40) | h >> U64(24))
+    first = np.ones(len(both), bool)
+    first[1:] = both[1:] != both[:-1]
     at = np.flatnonzero(first)
-    return doc[at], h[at], np.diff(np.append(at, len(h))).astype(float)
+    return (both[at] >> U64(40)).astype(np.int64), both[at] & U64((1 << 40) - 1), np.diff(np.append(at, len(both))).astype(float)
 
 
 def _unit(h: np.ndarray) -> np.ndarray:
@@ -137,15 +118,12 @@ def dart_signatures(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n_
         d, rank, ident = (np.concatenate(x) for x in zip(*found, strict=True))
         coordinate = (ident >> U64(40)) % U64(k)
         cell = d * k + coordinate.astype(np.int64)
-        order = np.lexsort((rank, cell))
-        cell = cell[order]
-        first = np.ones(len(cell), bool)
-        first[1:] = cell[1:] != cell[:-1]
-        at = order[first]
-        filled = np.zeros(n_docs * k, bool)
+        least = np.full(n_docs * k, np.inf)
+        np.minimum.at(least, cell, rank)
+        filled = least < np.inf
         values = np.zeros(n_docs * k, U64)
-        filled[cell[first]] = True
-        values[cell[first]] = ident[at]
+        at = np.flatnonzero(rank == least[cell])
+        values[cell[at]] = ident[at]
         whole = todo & filled.reshape(n_docs, k).all(axis=1)
         signature[whole] = values.reshape(n_docs, k)[whole]
         todo &= ~whole
