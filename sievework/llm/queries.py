@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import dart_minhash, fingerprints, mixing, packing, quality, repeats, token_counts, token_output, topk_search, warc_bundles
+from sievework.llm import conversation_repair, dart_minhash, fingerprints, importance_resampling, mixing, packing, private_data, quality, repeats, token_counts, token_output, topk_search, warc_bundles
 from sievework.llm.common import table
 
 
@@ -119,9 +119,106 @@ select query_id, rank, vec_id, score from r where rank <= 10
 """
 
 
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.audits_with_digest(conversation_repair.damage(table(spark, sf_dir, "conversations")))
+
+
+#: CRC-32 of a text's UTF-8 bytes; crc_table has the 256 steps of a byte.
+_CRC_TABLE_SQL = """crc_table as (
+  select list(list_reduce(range(8), lambda c, i: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, b) order by b) as steps from range(256) as t(b)
+)"""
+
+
+def _crc_sql(value: str) -> str:
+    octets = f"list_transform(range(octet_length(encode({value}))), lambda i: ('0x' || substr(hex(encode({value})), 2 * i + 1, 2))::bigint)"
+    return f"xor(4294967295, list_reduce({octets}, lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1]), 4294967295))"
+
+
+#: For each state (1 nothing, 2 system, 3 user, 4 assistant) the best (cost, letters, lines), from the last row to the first.
+OP11_SQL = f"""
+with recursive {_CRC_TABLE_SQL},
+given as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, {_crc_sql("coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ')")} % 20 as kind from conversations, crc_table),
+damaged as (
+  select conv_id, turn, case when kind = 4 then 'user' else role end as role,
+    case when kind = 1 then '' when kind = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text
+  from given, unnest(range(case when kind = 0 then 0 when kind = 3 then 2 else 1 end)) as t(copy)
+),
+placed as (
+  select *, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as kept,
+    row_number() over (partition by conv_id order by turn nulls first, role, md5(len(role) || ':' || role || text)) as place from damaged
+),
+marked as (
+  select *, kept = '' as blank, row_number() over (partition by conv_id, role, text order by place) > 1 as again, kept <> '' and right(kept, 1) not in ('.', '!', '?') as unfinished, left(role, 1) as initial from placed
+),
+judged as (select *, blank or again as doomed, (unfinished and not again)::int as extra, role || ':' || text as line, lag(initial) over (partition by conv_id order by place) as earlier from marked),
+counts as (
+  select conv_id, max(place) as n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0)::bigint as gaps, count_if(blank)::bigint as blank, count_if(again and not blank)::bigint as duplicate,
+    count_if(unfinished and not again)::bigint as truncated, count_if(earlier is not null and earlier || initial not in ('su', 'ua', 'au'))::bigint as illegal from judged group by conv_id
+),
+walk as (
+  select conv_id, n + 1 as place, (0, '', []::varchar[]) as s0, (4, 'II', ['user:', 'assistant:']) as s1, (2, 'I', ['assistant:']) as s2, (0, '', []::varchar[]) as s3 from counts
+  union all
+  select conv_id, place, least(r0, (r2[1] + 2, 'I' || r2[2], list_prepend('user:', r2[3]))), least(r1, (r2[1] + 2, 'I' || r2[2], list_prepend('user:', r2[3]))),
+    least(r2, (r3[1] + 2, 'I' || r3[2], list_prepend('assistant:', r3[3]))), least(r3, (r2[1] + 2, 'I' || r2[2], list_prepend('user:', r2[3])))
+  from (
+    select w.conv_id, j.place,
+      least((s0[1] + 3, 'D' || s0[2], s0[3]), case when not doomed then (s2[1] + 2 + extra, 'R' || s2[2], list_prepend('user:' || text, s2[3])) end,
+        case when not doomed and initial = 's' then (s1[1] + extra, 'K' || s1[2], list_prepend(line, s1[3])) when not doomed and initial = 'u' then (s2[1] + extra, 'K' || s2[2], list_prepend(line, s2[3])) end) as r0,
+      least((s1[1] + 3, 'D' || s1[2], s1[3]), case when not doomed then (s2[1] + 2 + extra, 'R' || s2[2], list_prepend('user:' || text, s2[3])) end,
+        case when not doomed and initial = 'u' then (s2[1] + extra, 'K' || s2[2], list_prepend(line, s2[3])) end) as r1,
+      least((s2[1] + 3, 'D' || s2[2], s2[3]), case when not doomed then (s3[1] + 2 + extra, 'R' || s3[2], list_prepend('assistant:' || text, s3[3])) end,
+        case when not doomed and initial = 'a' then (s3[1] + extra, 'K' || s3[2], list_prepend(line, s3[3])) end) as r2,
+      least((s3[1] + 3, 'D' || s3[2], s3[3]), case when not doomed then (s2[1] + 2 + extra, 'R' || s2[2], list_prepend('user:' || text, s2[3])) end,
+        case when not doomed and initial = 'u' then (s2[1] + extra, 'K' || s2[2], list_prepend(line, s2[3])) end) as r3
+    from walk w join judged j on j.conv_id is not distinct from w.conv_id and j.place = w.place - 1
+  )
+),
+every as (select distinct conv_id from conversations)
+select e.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate, coalesce(truncated, 0)::bigint as truncated,
+  coalesce(illegal, 0)::bigint as illegal, coalesce(s0[1], 0)::bigint as cost, coalesce(s0[2], '') as audit, sha256(coalesce(array_to_string(s0[3], chr(10)), '')) as repaired_sha256
+from every e left join counts c on c.conv_id is not distinct from e.conv_id left join walk w on w.conv_id is not distinct from e.conv_id and w.place = 1
+"""
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP12_SQL = f"""
+with {_CRC_TABLE_SQL},
+texts as (select 0 as side, doc_id, text, row_number() over () as row from documents union all select 1, null, text, null from benchmark),
+words as (
+  select side, doc_id, row, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from texts
+),
+runs as (select side, row, array_to_string(w[i:i + k - 1], ' ') as run from words, unnest(range(1, 4)) as a(k), unnest(range(1, len(w) - k + 2)) as b(i)),
+distinct_runs as (select distinct run from runs),
+hashed as (select run, ({_crc_sql("run")} % 10000)::int as bucket from distinct_runs, crc_table),
+placed as (select side, row, bucket from runs join hashed using (run)),
+totals as (select side, bucket, count(*) as n from placed group by all),
+sizes as (select coalesce(sum(n) filter (side = 0), 0)::double as s, coalesce(sum(n) filter (side = 1), 0)::double as t from totals),
+gains as (
+  select b.bucket, floor(1000 * ln((coalesce(t.n, 0) + 1)::double * (sizes.s + 10000) / ((coalesce(s.n, 0) + 1)::double * (sizes.t + 10000))))::bigint as gain
+  from range(10000) as b(bucket) left join totals s on s.side = 0 and s.bucket = b.bucket left join totals t on t.side = 1 and t.bucket = b.bucket, sizes
+),
+sums as (select row, count(*) as n_features, sum(gain) as weight from placed join gains using (bucket) where side = 0 group by row),
+scored as (
+  select doc_id, len(w) >= 20 as long_enough, coalesce(n_features, 0)::bigint as n_features, coalesce(weight, 0)::bigint as weight,
+    (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || left(sha256('42:' || coalesce(doc_id::varchar, '')), 8))::bigint + 0.5::double) / 4294967296::double))))::bigint as score
+  from words left join sums using (row) where side = 0
+),
+ranked as (select *, row_number() over (partition by long_enough order by score desc, doc_id nulls last) as place, count(*) over (partition by long_enough) as n from scored)
+select doc_id, n_features, weight, score, case when long_enough and place <= 5 * n // 100 then place end::bigint as rank from ranked
+"""
+
+
+def op13_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private_data.fit_and_find(table(spark, sf_dir, "documents")).drop("redacted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_dart_minhash, op2_one_permutation_fingerprints, op3_hierarchical_mixing, op4_packed_matrices, op5_sum_of_squares_packing, op6_suffix_array_dedup, op7_unigram_token_counts, op8_warc_bundles, op9_compression_quality, op10_segment_topk)}
+    return {f.__name__: f for f in (op1_dart_minhash, op2_one_permutation_fingerprints, op3_hierarchical_mixing, op4_packed_matrices, op5_sum_of_squares_packing, op6_suffix_array_dedup, op7_unigram_token_counts, op8_warc_bundles, op9_compression_quality, op10_segment_topk, op11_conversation_repair, op12_importance_resampling, op13_private_data)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_hierarchical_mixing": OP3_SQL, "op8_warc_bundles": OP8_SQL, "op10_segment_topk": OP10_SQL}
+    return {"op3_hierarchical_mixing": OP3_SQL, "op8_warc_bundles": OP8_SQL, "op10_segment_topk": OP10_SQL, "op11_conversation_repair": OP11_SQL, "op12_importance_resampling": OP12_SQL}
