@@ -107,11 +107,10 @@ def written(spans: list[Span]) -> str:
 _PLAIN = {0xFF10 + i: 0x30 + i for i in range(10)} | {0xFF20: 0x40, 0xFF0E: 0x2E, 0xFF0D: 0x2D, 0xFF0B: 0x2B, 0xFF08: 0x28, 0xFF09: 0x29} | dict.fromkeys((0xA0, 0x2007, 0x2009, 0x202F, 0x3000), 0x20) | dict.fromkeys((0x2010, 0x2011, 0x2012, 0x2013, 0x2014, 0x2212), 0x2D)
 _AT = re.compile(r"\s{0,2}(?:@|[(\[{<]\s?(?:at|@)\s?[)\]}>]|(?<=\s)at(?=\s))\s{0,2}", re.I)
 _NAME_BEFORE = re.compile(r"[A-Za-z0-9._%+-]{1,64}\Z")
-_DOT = r"(?:\s?[(\[{<]\s?(?:dot|\.)\s?[)\]}>]\s?|\sdot\s|\s?\.\s?)"
+_DOT = r"(?:\s?[(\[{<]\s?(?:dot|\.)\s?[)\]}>]\s?|\sdot\s|\s\.\s|\.)"
 _SPELLED_HOST = re.compile(rf"[A-Za-z0-9-]{{1,63}}(?:{_DOT}[A-Za-z0-9-]{{1,63}}){{1,5}}", re.I)
 _PART = re.compile(rf"{_DOT}", re.I)
-_NUMBER_DOT = r"(?:\s?[(\[{<]\s?(?:dot|\.)\s?[)\]}>]\s?|\sdot\s|\s?\.\s?)"
-_NUMBERS = re.compile(rf"(?<![0-9A-Za-z])[0-9]{{1,3}}(?:{_NUMBER_DOT}[0-9]{{1,3}}){{3,7}}(?![0-9A-Za-z])", re.I)
+_NUMBERS = re.compile(rf"(?<![0-9A-Za-z])[0-9]{{1,3}}(?:{_DOT}[0-9]{{1,3}}){{3,7}}(?![0-9A-Za-z])", re.I)
 _LONG_IP = re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![0-9A-Za-z:])")
 _GROUP = re.compile(r"[0-9]+")
 _BETWEEN = re.compile(r"[\s().\-/_·,]{1,3}")
@@ -255,7 +254,7 @@ def planted(r: random.Random, words: list[str]) -> tuple[str, str, int, str]:
     return "", [
         f"{year}-{month:02d}-{day:02d} {r.randrange(24):02d}:{r.randrange(60):02d}:{r.randrange(60):02d}", f"{day:02d}.{month:02d}.{year} {r.randrange(24):02d}.{r.randrange(60):02d}", f"{r.randrange(24):02d}:{r.randrange(60):02d}:{r.randrange(60):02d}",
         " ".join(_some(r, r.randint(1, 6)) for _ in range(r.randint(2, 7))), r.choice([", ", "/", "-", "  "]).join(_some(r, r.randint(1, 5)) for _ in range(r.randint(2, 8))), _some(r, r.randint(9, 19)), f"{_some(r, 3)}.{_some(r, 3)}.{_some(r, 3)},{_some(r, 2)}",
-        ".".join(str(r.randint(0, 999)) for _ in range(r.randint(3, 6))) + r.choice(["", " beta"]), f"{word()} at {word()} . {word()} {word()}", f"{word()} @ {word()}, {word()}" if r.random() < 0.5 else f"{r.randint(1, 12)}.{r.randint(1, 40)} - {r.randint(1, 9)}.{r.randint(1, 40)}.{r.randint(1, 9)}",
+        ".".join(str(r.randint(0, 999)) for _ in range(r.randint(3, 6))) + r.choice(["", " beta"]), f"{word()} at {word()}{r.choice(['.', '. ', ' . '])}{r.choice([word(), 'It', 'In', 'At', 'De', 'Es'])} {word()}", f"{word()} @ {word()}, {word()}" if r.random() < 0.5 else f"{r.randint(1, 12)}.{r.randint(1, 40)} - {r.randint(1, 9)}.{r.randint(1, 40)}.{r.randint(1, 9)}",
     ][kind], -1, ""
 
 
