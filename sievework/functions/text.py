@@ -31,6 +31,11 @@ def tokens(normal: Column) -> Column:
     return F.regexp_extract_all(normal, F.lit(TOKEN), F.lit(0))
 
 
+def tokens_of(text: Column) -> Column:
+    """tokens(normalize_query(text)) without the passes over white space, of which tokens have none."""
+    return tokens(F.lower(F.translate(text, "".join(PUNCTUATION), "".join(PUNCTUATION.values()))))
+
+
 def let(value: Column, f) -> Column:
     """f(value), with value computed once: lambdas within f would compute an expression again for each element."""
     return F.get(F.transform(F.array(value), lambda v: f(v)), F.lit(0))

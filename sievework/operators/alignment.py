@@ -2,20 +2,14 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-from itertools import batched
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievework.functions import vocabulary as V
 from sievework.functions.markers import contains_any
+from sievework.operators.components import join_bounded, written
 
 YEAR = r"^[0-9]{4}$"
-QUERIES, CELLS = 2_000, 4_000_000  # of a pass over the records; of records and queries that are scored at once
 
 
 def token_weight(token: Column) -> Column:
@@ -25,10 +19,10 @@ def token_weight(token: Column) -> Column:
 
 def overlap_score(query_tokens: Column, record_tokens: Column) -> Column:
     """The weights of shared tokens; years count only beside another shared token."""
-    shared = F.array_intersect(F.array_distinct(query_tokens), record_tokens)
-    plain = F.filter(shared, lambda t: ~t.rlike(YEAR))
-    total = lambda ts: F.aggregate(ts, F.lit(0), lambda a, t: a + token_weight(t))
-    return total(plain) + F.when(F.size(plain) > 0, total(F.filter(shared, lambda t: t.rlike(YEAR)))).otherwise(0)
+    year = lambda t: t.rlike(YEAR)
+    start = F.struct(F.lit(0).alias("plain"), F.lit(0).alias("years"))
+    add = lambda a, t: F.struct((a["plain"] + F.when(year(t), 0).otherwise(token_weight(t))).alias("plain"), (a["years"] + F.when(year(t), token_weight(t)).otherwise(0)).alias("years"))
+    return F.aggregate(F.array_intersect(F.array_distinct(query_tokens), record_tokens), start, add, lambda a: F.when(a["plain"] > 0, a["plain"] + a["years"]).otherwise(0))
 
 
 def alignment(route: Column, query_tokens: Column, record_tokens: Column, record_text: Column, version: Column | None = None, effective_date: Column | None = None, trait: str = "") -> Column:
@@ -47,67 +41,45 @@ def alignment(route: Column, query_tokens: Column, record_tokens: Column, record
     return overlap_score(query_tokens, record_tokens) + bonus + points(t("is_cross_domain_impact") & contains_any(record_text, V.RECORD_IMPACT_MARKERS), 2)
 
 
-def _best_in_batch(block: list[tuple], k: int, record_id: str, schema: pa.Schema):
-    """The k best records of a batch for each query of a block; nothing that could be among the best of all is lost."""
-    terms = {t: i for i, t in enumerate({t for _, ts in block for t in ts})}
-    held = sorted({(terms[t], q) for q, (_, ts) in enumerate(block) for t in ts})
-    asks = np.array([q for _, q in held], np.int64)
-    many = np.bincount(np.array([t for t, _ in held], np.int64), minlength=len(terms))
-    first, n = np.cumsum(many) - many, len(block)
-    year = np.array([re.match(YEAR, t) is not None for t in terms], bool)
-    weight = np.array([4 if re.match(YEAR, t) else 2 if re.match("^[a-z0-9]{4,}$", t) else 1 for t in terms], np.int64)
-
-    def scores(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-        """(score, shared): records by queries."""
-        size = len(column)
-        words = column.flatten().dictionary_encode()
-        known = np.array([terms.get(w, -1) for w in words.dictionary.to_pylist()] or [-1], np.int64)
-        record = np.repeat(np.arange(size), np.diff(column.offsets.to_numpy()))
-        term = known[words.indices.to_numpy()] if len(words) else np.zeros(0, np.int64)
-        pairs = np.unique(record[term >= 0] * len(terms) + term[term >= 0])
-        record, term = pairs // len(terms), pairs % len(terms)
-        times = many[term]
-        place = np.repeat(first[term] - (np.cumsum(times) - times), times) + np.arange(times.sum())
-        cell, points = np.repeat(record, times) * n + asks[place], np.repeat(np.where(year[term], 0, weight[term]), times)
-        plain = np.bincount(cell, points, size * n).reshape(size, n)
-        years = np.bincount(cell, np.repeat(np.where(year[term], weight[term], 0), times), size * n).reshape(size, n)
-        return np.where(plain > 0, plain + years, 0).astype(np.int64), plain + years > 0
-
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = max(1, CELLS // n)
-        for batch in batches:
-            for at in range(0, batch.num_rows, step):
-                part = batch.slice(at, step)
-                ids = part.column(0).to_pylist()
-                size = len(ids)
-                score, shared = scores(pa.concat_arrays([part.column(1)]))
-                later = np.empty(size, np.int64)
-                later[sorted(range(size), key=ids.__getitem__, reverse=True)] = np.arange(size)
-                worth = np.where(shared, score * size + later[:, None], -1)
-                few = np.argpartition(-worth, k - 1, axis=0)[:k] if size > k else np.repeat(np.arange(size)[:, None], n, axis=1)
-                row, query = np.nonzero(np.take_along_axis(worth, few, 0) >= 0)
-                record = few[row, query]
-                yield pa.RecordBatch.from_arrays([pa.array([block[q][0] for q in query.tolist()], schema.field(0).type), pa.array([ids[r] for r in record.tolist()], schema.field(1).type), pa.array(score[record, query], pa.int64())], schema=schema)
-
-    return best
+def known_tokens(queries: DataFrame, records: DataFrame, record_id: str) -> DataFrame:
+    """(record id, tokens): of each record the distinct tokens that any query has, computed once; records without such tokens are absent."""
+    asked = queries.select(F.explode("tokens").alias("token")).where("token is not null").distinct()
+    held = records.where(F.col(record_id).isNotNull()).select(record_id, F.explode(F.array_distinct("tokens")).alias("token"))
+    return written(join_bounded(held, asked, "token", "left_semi").groupBy(record_id).agg(F.collect_list("token").alias("tokens")))
 
 
-def top_records(queries: DataFrame, records: DataFrame, query_id: str, record_id: str, k: int) -> DataFrame:
-    """query id, record id, score and rank: each query's k best records by overlap, ties to the smaller id.
+def best_records(queries: DataFrame, known: DataFrame, query_id: str, record_id: str, k: int, score=overlap_score) -> DataFrame:
+    """query id, record id, score and rank: each query's k best of the known records by a score of shared tokens, ties to the smaller id.
 
-    Both sides have an array column `tokens`; records without an id or tokens are none. Queries' tokens are collected and become
-    an index by token, QUERIES queries in a pass over the records, which are scored where they lie; only the k best of
-    each batch are exchanged. Words that all records share therefore cost no pairs in an exchange.
+    Exact, and without meeting all pairs. Of each token the record with most tokens besides is looked at first; the k-th
+    best of these is a query's bound. A query's commonest tokens, as long as they are worth less than the bound
+    together, can't lift any record to it by themselves: only records that hold one of the other, rarer tokens are
+    looked at, and of these only those that can reach the bound with what they have of the rare tokens and all the
+    common ones. score (of the query's and a record's tokens) must be no more than the sum of the shared tokens' weights.
     """
-    from pyspark.sql import Window
-    from pyspark.sql import types as T
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    own = T.StructType([queries.schema[query_id], records.schema[record_id], T.StructField("score", T.LongType())])
-    asked = [(r[0], r[1]) for r in queries.select(query_id, F.array_distinct(F.filter("tokens", lambda t: t.isNotNull()))).where(F.size("tokens") > 0).collect()]
-    x = records.where(F.col(record_id).isNotNull() & (F.size("tokens") > 0)).select(record_id, F.array_distinct("tokens").alias("tokens"))
-    out = records.sparkSession.createDataFrame([], own)
-    for block in batched(asked, QUERIES):
-        out = out.union(x.mapInArrow(_best_in_batch([*block], k, record_id, to_arrow_schema(own)), own))
+    asked = queries.select(query_id, F.array_distinct(F.filter("tokens", lambda t: t.isNotNull())).alias("asked")).where(F.size("asked") > 0)
+    terms = asked.select(query_id, F.explode("asked").alias("token")).withColumn("w", token_weight(F.col("token")))
+    postings = known.select(record_id, F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    often = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.max_by(record_id, F.struct("n", record_id)).alias("_big"))
+    met = written(terms.join(often, "token"))
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        return pairs.join(asked, query_id).join(known, record_id).select(query_id, record_id, score(F.col("asked"), F.col("tokens")).cast("long").alias("score"))
+
+    first = scored(met.select(query_id, F.col("_big").alias(record_id)).distinct())
+    bound = first.withColumn("turn", F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc("score")))).where(F.col("turn") == k).select(query_id, F.col("score").alias("bound"))
+    x = met.join(bound, query_id, "left").fillna(0, ["bound"])
+    x = x.withColumn("reach", F.sum("w").over(Window.partitionBy(query_id).orderBy(F.desc("df"), "token")))
+    x = x.withColumn("rare", F.col("reach") >= F.col("bound")).withColumn("common", F.sum(F.when(F.col("rare"), 0).otherwise(F.col("w"))).over(Window.partitionBy(query_id)))
+    held = x.where("rare").select(query_id, "token", "w", "bound", "common").join(postings, "token")
+    held = held.groupBy(query_id, record_id, "bound", "common").agg(F.sum("w").alias("w")).where("w + common >= bound")
     order = Window.partitionBy(query_id).orderBy(F.desc("score"), record_id)
-    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return scored(held.select(query_id, record_id)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def top_records(queries: DataFrame, records: DataFrame, query_id: str, record_id: str, k: int) -> DataFrame:
+    """query id, record id, score and rank: each query's k best records by overlap, ties to the smaller id; records that share no token are none.
+
+    Both sides have an array column `tokens`, null tokens are none; records without an id are none.
+    """
+    return best_records(queries, known_tokens(queries, records, record_id), query_id, record_id, k)

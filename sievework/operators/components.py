@@ -3,22 +3,40 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Computes df once, in the folder that spark.checkpoint.dir names; in one of ours only where that is unset in a local session, as in tests."""
-    sc = df.sparkSession.sparkContext
+def _named_folder(spark: SparkSession) -> str:
+    """Sees to it that there is a checkpoint folder: the one that spark.checkpoint.dir names; one of ours only where that is unset in a local session, as in tests."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = sc.getConf().get("spark.checkpoint.dir")
         if not named and not sc.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="sievework-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Computes df once, in the checkpoint folder."""
+    _named_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df, computed once into a table in the checkpoint folder and read from there.
+
+    For loops: a checkpoint keeps the estimates of its plan, and those of a loop's joins multiply each other until the
+    optimizer is busy with nothing else; a table is as large as it is. It stays until the folder is emptied.
+    """
+    path = f"{_named_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def join_bounded(left: DataFrame, right: DataFrame, on: str | list[str], how: str, most: int = 100_000) -> DataFrame:
     """Joins with right broadcast if it is counted to have `most` rows at most, else by an exchange of both sides."""
     few = right.limit(most + 1).count() <= most

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sievework.functions import text as X
 from sievework.functions import vocabulary as V
-from sievework.operators import alignment, answers, classify, dedupe, evidence, matches, paragraphs, ranking, reports, retrieval
+from sievework.operators import alignment, answers, classify, dedupe, evidence, frontier, matches, paragraphs, ranking, reports, retrieval
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -181,10 +181,37 @@ select item_id, doc_id, score, rank from r where rank <= 6
 @query(_ALIGN_SQL)
 def alignment_topk(spark, sf_dir):
     """Each benchmark item's six best documents: the flagship."""
-    own = lambda name: table(spark, sf_dir, name).withColumn("tokens", X.tokens(X.normalize_query(F.col("text"))))
+    own = lambda name: table(spark, sf_dir, name).withColumn("tokens", X.tokens_of(F.col("text")))
     return alignment.top_records(own("benchmark").select("item_id", "tokens"), own("documents").select("doc_id", "tokens"), "item_id", "doc_id", 6)
 
 
+_FRONTIER_SQL = f"""
+with recursive q as (select item_id, list_distinct(regexp_extract_all({_normal_sql('text')}, '[a-z0-9]+')) as tokens from benchmark),
+d as (select doc_id, list_distinct(regexp_extract_all({_normal_sql('text')}, '[a-z0-9]+')) as tokens from documents),
+rounds as (
+  select item_id, 0 as round, null::bigint as doc_id, 0::bigint as gain, tokens from q where len(tokens) > 0
+  union all
+  select item_id, round + 1, best[2], best[1], list_filter(tokens, lambda t: not list_contains(found, t))
+  from (
+    select top.item_id, top.round, top.tokens, top.best, d.tokens as found from (
+      select item_id, round, any_value(tokens) as tokens, [max(gain), -max((gain, -doc_id))[2]] as best from (
+        select r.item_id, r.round, r.tokens, d.doc_id, list_sum(list_transform(list_intersect(r.tokens, d.tokens), lambda t: case when regexp_matches(t, '^[0-9]{{4}}$') then 4 when length(t) >= 4 then 2 else 1 end))::bigint as gain
+        from rounds r, d where len(r.tokens) > 0
+      ) where gain > 0 group by item_id, round
+    ) as top join d on d.doc_id = best[2]
+  )
+)
+select item_id, round, doc_id, gain, len(tokens)::int as "left" from rounds where round > 0
+"""
+
+
+@query(_FRONTIER_SQL)
+def coverage_frontier(spark, sf_dir):
+    """Each benchmark item takes documents, one a round, until none of them covers more of its tokens."""
+    own = lambda name, key: table(spark, sf_dir, name).select(key, X.tokens_of(F.col("text")).alias("tokens"))
+    return frontier.greedy_cover(own("benchmark", "item_id"), own("documents", "doc_id"), "item_id", "doc_id")
+
+
 _ROLE = "case when quality = 1 then 'primary' when toxic = 1 then 'supplemental' else 'other' end"
 _HITS_SQL = f"h as (select d.doc_id, source, lang, n_chars, {_ROLE} as role, doc_id as pos from documents d join labels using (doc_id))"
 
