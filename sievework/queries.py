@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sievework.functions import text as X
 from sievework.functions import vocabulary as V
-from sievework.operators import alignment, answers, classify, dedupe, evidence, frontier, matches, paragraphs, ranking, reports, retrieval
+from sievework.operators import alignment, answers, classify, dedupe, evidence, excerpts, frontier, matches, paragraphs, ranking, reports, retrieval
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -212,6 +212,46 @@ def coverage_frontier(spark, sf_dir):
     return frontier.greedy_cover(own("benchmark", "item_id"), own("documents", "doc_id"), "item_id", "doc_id")
 
 
+_CLEAN = r"trim(regexp_replace(coalesce({}, ''), '\s+', ' ', 'g'))"
+_WORDS_IN = "list_distinct(regexp_extract_all(lower({}), '[a-z0-9]+'))"
+_TAIL_SQL = rf"""t as (select doc_id, {_CLEAN.format("text")} as x, list_filter(list_distinct(regexp_extract_all({_normal_sql("array_to_string(list_slice(string_split(" + _CLEAN.format("text") + ", ' '), -12, -1), ' ')")}, '[a-z0-9]+|[一-鿿]')), lambda w: length(w) >= 4 or regexp_matches(w, '^[一-鿿]')) as terms from documents)"""
+
+
+@query(rf"""with {_TAIL_SQL},
+s as (select doc_id, unnest(list_filter(string_split_regex(regexp_replace(x, '([.!?。！？；;]) ', '\1' || chr(1), 'g'), chr(1)), lambda v: v <> '')) as sentence, unnest(range(0, len(string_split_regex(regexp_replace(x, '([.!?。！？；;]) ', '\1' || chr(1), 'g'), chr(1))))) as pos, x, terms from t where length(x) > 320),
+b as (select doc_id, arg_max(sentence, (hits, -abs(length(sentence) - 320), -pos)) as sentence, max(hits) as hits, any_value(x) as x, any_value(terms) as terms from (select *, len(list_intersect(terms, {_WORDS_IN.format("sentence")})) as hits from s) group by doc_id),
+c as (select doc_id, terms, case when hits > 0 then sentence else x end as y from b),
+w as (select doc_id, y, terms, unnest(string_split(y, ' ')) as word, generate_subscripts(string_split(y, ' '), 1) as i from c where length(y) > 320 and contains(y, ' ')),
+e as (select *, sum(length(word) + 1) over (partition by doc_id order by i) as until from w), z as (select *, until - length(word) - 1 as start from e),
+v as (select a.doc_id, a.i, any_value(a.terms) as terms, string_agg(b.word, ' ' order by b.i) as win, count(*) as n from z a join z b on a.doc_id = b.doc_id and b.i >= a.i and b.i <= a.i + 320 and (b.i = a.i or b.until - 1 - a.start <= 320) where (a.i - 1) % 12 = 0 group by a.doc_id, a.i),
+r as (select doc_id, arg_max(win, (len(list_intersect(terms, {_WORDS_IN.format("win")})), n, -abs(length(win) - 320), -i)) as win from v group by doc_id)
+select t.doc_id, md5(case when length(t.x) <= 320 then t.x when length(c.y) <= 320 then c.y when not contains(c.y, ' ') then left(c.y, 320) else r.win end) as excerpt
+from t left join c using (doc_id) left join r using (doc_id)""")
+def page_excerpts(spark, sf_dir):
+    """Each document's excerpt for a query of its own last twelve words."""
+    x = table(spark, sf_dir, "documents").select("doc_id", "text", _closing_terms())
+    return x.select("doc_id", F.md5(excerpts.page_excerpt(F.col("text"), F.col("terms"), 320)).alias("excerpt"))
+
+
+def _closing_terms():
+    return excerpts.query_terms(F.array_join(F.slice(F.split(excerpts.clean(F.col("text")), " "), -12, 12), " ")).alias("terms")
+
+
+@query()
+def chosen_snippets(spark, sf_dir):
+    """Each document's snippet for its last twelve words: its first line, its best sentence or its densest paragraph."""
+    x = table(spark, sf_dir, "documents").select("doc_id", "text", F.split("text", "\n", 2)[0].alias("candidate"), _closing_terms())
+    return excerpts.snippets(x, "doc_id")
+
+
+@query()
+def aligned_page_excerpts(spark, sf_dir):
+    """What each page says of the last words of its address and of its title, from its first 20,000 characters or from all."""
+    x = table(spark, sf_dir, "pages").select("page_id", "html", excerpts.query_terms(F.concat_ws(" ", F.element_at(F.split("url", "/"), -1), X.page_title(F.col("html")))).alias("terms"))
+    x = x.withColumn("focus", F.col("terms"))
+    return excerpts.two_depths(x, "page_id", "html", "terms", "focus", first=20_000)
+
+
 _ROLE = "case when quality = 1 then 'primary' when toxic = 1 then 'supplemental' else 'other' end"
 _HITS_SQL = f"h as (select d.doc_id, source, lang, n_chars, {_ROLE} as role, doc_id as pos from documents d join labels using (doc_id))"
 
