@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sievework.functions import text as X
 from sievework.functions import vocabulary as V
 from sievework.operators import classify, evidence, intents, live, local_answers, reports
+from sievework.plans import answering
 from sievework.queries import CROSS, MARKS, _any_sql, _normal_sql, _user_turns, query, table
 
 _T = "regexp_extract_all(n, '[a-z0-9]+|[一-鿿]')"
@@ -355,3 +356,13 @@ def trimmed_snippets(spark, sf_dir):
     d = table(spark, sf_dir, "documents").where("text is not null")
     terms = F.array(F.lit("that"), F.lit("with"), F.lit("this"))
     return d.select("doc_id", F.md5(live.trimmed(F.col("text"), terms, of=lambda c: live.focus_terms(c, _STOPPED))).alias("snippet"))
+
+
+@query()
+def answers_end_to_end(spark, sf_dir):
+    """Benchmark items as queries and all documents as records, from classification to checked answers."""
+    own = answering.Words(MARKS, CROSS, ("this", "dem"), ("that", "als"), ("was", "sich"), ("for", "para"), CROSS, _ACADEMIC, _POLICY, _INDUSTRY, _EFFECT, _LIST, {"policy": ("the", "der"), "industry": ("in", "die"), "academic": ("and", "und")})
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("record_id"), "source", "text")
+    a = answering.answer_batch(b, d, words=own)
+    return a.select(F.col("qid").alias("item_id"), "route_label", "primary_route", "supplemental_route", "kind", "outcome", "decision", "answer_status", "conclusion", "grounded", "points", "n_evidence", F.transform("sources", lambda s: s["evidence_id"].cast("long")).alias("doc_ids"))

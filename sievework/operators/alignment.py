@@ -41,14 +41,15 @@ def alignment(route: Column, query_tokens: Column, record_tokens: Column, record
     return overlap_score(query_tokens, record_tokens) + bonus + points(t("is_cross_domain_impact") & contains_any(record_text, V.RECORD_IMPACT_MARKERS), 2)
 
 
-def known_tokens(queries: DataFrame, records: DataFrame, record_id: str) -> DataFrame:
-    """(record id, tokens): of each record the distinct tokens that any query has, computed once; records without such tokens are absent."""
-    asked = queries.select(F.explode("tokens").alias("token")).where("token is not null").distinct()
-    held = records.where(F.col(record_id).isNotNull()).select(record_id, F.explode(F.array_distinct("tokens")).alias("token"))
-    return written(join_bounded(held, asked, "token", "left_semi").groupBy(record_id).agg(F.collect_list("token").alias("tokens")))
+def known_tokens(queries: DataFrame, records: DataFrame, record_id: str, within: str | None = None) -> DataFrame:
+    """(record id, tokens): of each record the distinct tokens that any query has, computed once; records without such tokens are absent. within: see best_records."""
+    key = [within] if within else []
+    asked = queries.select(*key, F.explode("tokens").alias("token")).where("token is not null").distinct()
+    held = records.where(F.col(record_id).isNotNull()).select(record_id, *key, F.explode(F.array_distinct("tokens")).alias("token"))
+    return written(join_bounded(held, asked, ["token", *key], "left_semi").groupBy(record_id, *key).agg(F.collect_list("token").alias("tokens")))
 
 
-def best_records(queries: DataFrame, known: DataFrame, query_id: str, record_id: str, k: int, score=overlap_score) -> DataFrame:
+def best_records(queries: DataFrame, known: DataFrame, query_id: str, record_id: str, k: int, score=overlap_score, within: str | None = None) -> DataFrame:
     """query id, record id, score and rank: each query's k best of the known records by a score of shared tokens, ties to the smaller id.
 
     Exact, and without meeting all pairs. Of each token the record with most tokens besides is looked at first; the k-th
@@ -56,30 +57,32 @@ def best_records(queries: DataFrame, known: DataFrame, query_id: str, record_id:
     together, can't lift any record to it by themselves: only records that hold one of the other, rarer tokens are
     looked at, and of these only those that can reach the bound with what they have of the rare tokens and all the
     common ones. score (of the query's and a record's tokens) must be no more than the sum of the shared tokens' weights.
+    within: a column of both sides; only records that have the query's value in it are its records. Query and record ids are unique.
     """
-    asked = queries.select(query_id, F.array_distinct(F.filter("tokens", lambda t: t.isNotNull())).alias("asked")).where(F.size("asked") > 0)
-    terms = asked.select(query_id, F.explode("asked").alias("token")).withColumn("w", token_weight(F.col("token")))
-    postings = known.select(record_id, F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    often = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.max_by(record_id, F.struct("n", record_id)).alias("_big"))
-    met = written(terms.join(often, "token"))
+    key = ["token", *([within] if within else [])]
+    asked = queries.select(query_id, *key[1:], F.array_distinct(F.filter("tokens", lambda t: t.isNotNull())).alias("asked")).where(F.size("asked") > 0)
+    terms = asked.select(query_id, *key[1:], F.explode("asked").alias("token")).withColumn("w", token_weight(F.col("token")))
+    postings = known.select(record_id, *key[1:], F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    often = postings.groupBy(*key).agg(F.count(F.lit(1)).alias("df"), F.max_by(record_id, F.struct("n", record_id)).alias("_big"))
+    met = written(terms.join(often, key))
 
     def scored(pairs: DataFrame) -> DataFrame:
-        return pairs.join(asked, query_id).join(known, record_id).select(query_id, record_id, score(F.col("asked"), F.col("tokens")).cast("long").alias("score"))
+        return pairs.join(asked.drop(*key[1:]), query_id).join(known.drop(*key[1:]), record_id).select(query_id, record_id, score(F.col("asked"), F.col("tokens")).cast("long").alias("score"))
 
     first = scored(met.select(query_id, F.col("_big").alias(record_id)).distinct())
     bound = first.withColumn("turn", F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc("score")))).where(F.col("turn") == k).select(query_id, F.col("score").alias("bound"))
     x = met.join(bound, query_id, "left").fillna(0, ["bound"])
     x = x.withColumn("reach", F.sum("w").over(Window.partitionBy(query_id).orderBy(F.desc("df"), "token")))
     x = x.withColumn("rare", F.col("reach") >= F.col("bound")).withColumn("common", F.sum(F.when(F.col("rare"), 0).otherwise(F.col("w"))).over(Window.partitionBy(query_id)))
-    held = x.where("rare").select(query_id, "token", "w", "bound", "common").join(postings, "token")
+    held = x.where("rare").select(query_id, *key, "w", "bound", "common").join(postings, key)
     held = held.groupBy(query_id, record_id, "bound", "common").agg(F.sum("w").alias("w")).where("w + common >= bound")
     order = Window.partitionBy(query_id).orderBy(F.desc("score"), record_id)
     return scored(held.select(query_id, record_id)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def top_records(queries: DataFrame, records: DataFrame, query_id: str, record_id: str, k: int) -> DataFrame:
+def top_records(queries: DataFrame, records: DataFrame, query_id: str, record_id: str, k: int, within: str | None = None) -> DataFrame:
     """query id, record id, score and rank: each query's k best records by overlap, ties to the smaller id; records that share no token are none.
 
     Both sides have an array column `tokens`, null tokens are none; records without an id are none.
     """
-    return best_records(queries, known_tokens(queries, records, record_id), query_id, record_id, k)
+    return best_records(queries, known_tokens(queries, records, record_id, within), query_id, record_id, k, within=within)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _named_folder(spark: SparkSession) -> str:
+def checkpoint_folder(spark: SparkSession) -> str:
     """Sees to it that there is a checkpoint folder: the one that spark.checkpoint.dir names; one of ours only where that is unset in a local session, as in tests."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
@@ -22,7 +22,7 @@ def _named_folder(spark: SparkSession) -> str:
 
 def checkpoint(df: DataFrame) -> DataFrame:
     """Computes df once, in the checkpoint folder."""
-    _named_folder(df.sparkSession)
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -32,7 +32,7 @@ def written(df: DataFrame) -> DataFrame:
     For loops: a checkpoint keeps the estimates of its plan, and those of a loop's joins multiply each other until the
     optimizer is busy with nothing else; a table is as large as it is. It stays until the folder is emptied.
     """
-    path = f"{_named_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    path = f"{checkpoint_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
