@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from sievework.functions import vocabulary as V
 from sievework.functions.markers import contains_any
+from sievework.functions.text import tokens
+from sievework.operators.classify import trait_columns
 from sievework.operators.components import join_bounded, written
+from sievework.plans.variants import gloss
 
 YEAR = r"^[0-9]{4}$"
 
@@ -41,6 +44,19 @@ def alignment(route: Column, query_tokens: Column, record_tokens: Column, record
     return overlap_score(query_tokens, record_tokens) + bonus + points(t("is_cross_domain_impact") & contains_any(record_text, V.RECORD_IMPACT_MARKERS), 2)
 
 
+def glossed(df: DataFrame, normal: str = "normal", prefix: str = "gloss_", glossary=V.GLOSSARY, **markers) -> DataFrame:
+    """df with gloss_normal, the English words for a CJK query (null without enough of them), gloss_tokens and, with the same prefix, its own traits. markers: as in classify.traits."""
+    x = df.withColumn(prefix + "normal", gloss(F.col(normal), glossary))
+    return x.withColumn(prefix + "tokens", tokens(F.coalesce(prefix + "normal", F.lit("")))).withColumns({prefix + t: c for t, c in trait_columns(F.coalesce(prefix + "normal", F.lit("")), **markers).items()})
+
+
+def whole_alignment(route: Column, query_tokens: Column, record_tokens: Column, record_text: Column, version: Column | None = None, effective_date: Column | None = None, gloss: str = "gloss_") -> Column:
+    """alignment(); on the industry route with twice that of the query's gloss, where it has one. df has the columns of glossed()."""
+    once = lambda ts, trait: alignment(route, ts, record_tokens, record_text, version, effective_date, trait)
+    more = F.when((route == "industry") & F.col(gloss + "normal").isNotNull(), once(F.col(gloss + "tokens"), gloss) * 2).otherwise(0)
+    return once(query_tokens, "") + more
+
+
 def known_tokens(queries: DataFrame, records: DataFrame, record_id: str, within: str | None = None) -> DataFrame:
     """(record id, tokens): of each record the distinct tokens that any query has, computed once; records without such tokens are absent. within: see best_records."""
     key = [within] if within else []

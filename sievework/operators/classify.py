@@ -53,18 +53,22 @@ def classify(queries: DataFrame, query: str = "query", unicode: bool = True, mar
     return label(ranked_routes(route_scores(x, markers=markers)), cross_domain=cross_domain).drop("first", "second", "first_score", "second_score")
 
 
-def traits(df: DataFrame, normal: str = "normal", markers: dict[str, tuple[str, ...]] = V.ROUTE_MARKERS, change: tuple[str, ...] = V.CHANGE_MARKERS, version: tuple[str, ...] = V.VERSION_MARKERS, effective: tuple[str, ...] = V.EFFECTIVE_MARKERS, trend: tuple[str, ...] = V.TREND_MARKERS, impact: tuple[str, ...] = V.IMPACT_QUERY_MARKERS) -> DataFrame:
-    """df with the six traits of a query."""
-    n = F.col(normal)
+def trait_columns(n: Column, markers: dict[str, tuple[str, ...]] = V.ROUTE_MARKERS, change: tuple[str, ...] = V.CHANGE_MARKERS, version: tuple[str, ...] = V.VERSION_MARKERS, effective: tuple[str, ...] = V.EFFECTIVE_MARKERS, trend: tuple[str, ...] = V.TREND_MARKERS, impact: tuple[str, ...] = V.IMPACT_QUERY_MARKERS) -> dict[str, Column]:
+    """The six traits of a normal query."""
     signals = sum((has_any(n, markers[r]).cast("int") for r in V.ROUTES), F.lit(0))
-    return df.withColumns({
+    return {
         "has_year": n.rlike("(?<![0-9])20[0-9]{2}(?![0-9])"),
         "has_version_intent": has_any(n, version),
         "has_effective_date_intent": has_any(n, effective),
         "has_trend_intent": has_any(n, trend),
         "is_policy_change": has_any(n, change),
         "is_cross_domain_impact": has_any(n, impact) | (n.contains("与") & (signals >= 2)),
-    })
+    }
+
+
+def traits(df: DataFrame, normal: str = "normal", **markers) -> DataFrame:
+    """df with the six traits of a query. markers: as in trait_columns."""
+    return df.withColumns(trait_columns(F.col(normal), **markers))
 
 
 def source_families(primary: Column, supplemental: Column) -> Column:

@@ -58,6 +58,7 @@ def asked(queries: DataFrame, words: Words) -> DataFrame:
     x = classify.classify(queries.select("qid", F.coalesce("query", F.lit("")).alias("query")), markers=words.markers, cross_domain=words.cross_domain)
     x = classify.traits(x, markers=words.markers, change=words.change, version=words.version, effective=words.effective, trend=words.trend, impact=words.impact)
     x = intents.lookups(x.withColumn("words", tokens(F.col("normal"))), academic=words.academic, policy=words.policy, industry=words.industry, effect=words.effect, many=words.many)
+    x = alignment.glossed(x, markers=words.markers, change=words.change, version=words.version, effective=words.effective, trend=words.trend, impact=words.impact)
     terms = content_terms(F.col("words"), V.RELEVANCE_STOPWORDS, short=V.SHORT_CONTENT)
     return x.withColumn("terms", terms).withColumn("n_terms", F.size("terms")).withColumn("han", F.col("query").rlike(intents.HAN))
 
@@ -85,10 +86,10 @@ def _first_asks(queries: DataFrame) -> DataFrame:
 
 def scored(hits: DataFrame, queries: DataFrame) -> DataFrame:
     """hits as evidence: the slices with most of the query's terms, the alignment with all its bonuses, and the record's score."""
-    x = hits.join(queries.select("qid", "terms", "words", *(c for c in queries.columns if c.startswith(("has_", "is_")))), "qid")
+    x = hits.join(queries.select("qid", "terms", "words", *(c for c in queries.columns if c.startswith(("has_", "is_", "gloss_")))), "qid")
     policy, meta, none = F.col("route") == "policy", policy_metadata(F.col("text"), F.col("source")), F.lit(None).cast("string")
     x = x.withColumn("normal", normalize_query(F.concat_ws(" ", "title", "text"))).withColumn("own", tokens(F.col("normal")))
-    x = x.withColumn("alignment", alignment.alignment(F.col("route"), F.col("words"), F.col("own"), F.col("normal"), *(F.when(policy, m) for m in (meta["version"], meta["effective_date"]))))
+    x = x.withColumn("alignment", alignment.whole_alignment(F.col("route"), F.col("words"), F.col("own"), F.col("normal"), *(F.when(policy, m) for m in (meta["version"], meta["effective_date"]))))
     cut = matches.whole_slices(F.col("text"), F.col("record_id"))
     ranked = F.transform(cut, lambda s, i: F.struct((-matches.overlap(F.col("terms"), s["text"])).alias("o"), (-s["score"]).alias("s"), i.alias("i"), s.alias("slice")))
     x = x.withColumn("slices", F.transform(F.slice(F.array_sort(ranked), 1, SLICES), lambda r: r["slice"])).withColumn("clipped", F.size(cut) > SLICES)

@@ -62,9 +62,9 @@ def topic_focus(normal: Column, keep_hint: bool = False) -> Column:
     return compact(x)
 
 
-def gloss(normal: Column) -> Column:
+def gloss(normal: Column, glossary: tuple[tuple[str, str], ...] = V.GLOSSARY) -> Column:
     """English words for a CJK query, by the glossary in its order; null with fewer than three."""
-    x = reduce(lambda t, pair: F.replace(t, F.lit(pair[0]), F.lit(f" {pair[1]} ")), V.GLOSSARY, normal)
+    x = reduce(lambda t, pair: F.replace(t, F.lit(pair[0]), F.lit(f" {pair[1]} ")), glossary, normal)
     own = F.array_distinct(F.filter(F.split(compact(x), " "), lambda w: w.rlike(r"^[\x00-\x7f]*[a-z0-9][\x00-\x7f]*$")))
     return F.when(normal.rlike(CJK) & (F.size(own) >= 3), _if_new(F.array_join(own, " "), normal))
 

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from sievework.functions import text as X
 from sievework.operators import live
-from sievework.queries import _normal_sql, query, table
-from sievework.sources import registries
+from sievework.queries import _normal_sql, _user_turns, query, table
+from sievework.sources import files, registries
 
 _LONG = "list_filter(list_distinct(regexp_extract_all(" + _normal_sql("title") + ", '[a-z0-9]+|[一-鿿]')), lambda t: (length(t) >= 8 or regexp_matches(t, '[一-鿿]')) and not regexp_matches(t, '^[0-9]+$'))"
 
@@ -111,3 +111,15 @@ def event_stream(spark, sf_dir):
     """Properties as server-sent events, and read from their data lines."""
     e = table(spark, sf_dir, "events").select("event_id", registries.event_stream_data(F.concat(F.lit("event: message\nid: 1\ndata: "), "props", F.lit("\n\n"))).alias("j"))
     return e.select("event_id", F.get_json_object("j", "$.k").cast("int").alias("k"))
+
+
+@query(f"""with q as (select conv_id, turn, {_normal_sql('text')} as n from conversations where role = 'user'),
+a as (select alias, max(doc_id) as doc_id from (select doc_id, array_to_string(list_slice(string_split({_normal_sql('text')}, ' '), 1, 2), ' ') as alias from documents) where regexp_matches(alias, '[a-z0-9]') group by alias),
+m as (select conv_id, turn, alias, doc_id, row_number() over (partition by conv_id, turn order by length(alias) desc, doc_id desc) as k from q join a on contains(n, alias) and regexp_matches(n, '(^|[^a-z0-9])' || regexp_escape(alias) || '([^a-z0-9]|$)'))
+select conv_id, turn, doc_id, alias from m where k = 1""")
+def named_openings(spark, sf_dir):
+    """The longest opening (two words) of any document that a user's turn names: documents' openings as aliases."""
+    q = _user_turns(spark, sf_dir).withColumn("qid", F.struct("conv_id", "turn"))
+    words = F.split(X.normalize_query(F.col("text")), " ")
+    a = table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.slice(words, 1, 2), " ").alias("alias"))
+    return files.named_alias(q, a, "qid", "doc_id").select("qid.conv_id", "qid.turn", "doc_id", "alias")

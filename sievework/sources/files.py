@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievework.functions.text import tokens
+from sievework.operators.components import join_bounded
+
 CASE = "case_id string, query string, expected_route string"
 SCORE = "case_id string, dimension string, score double, rationale string, positives array<string>, negatives array<string>"
 
@@ -69,3 +72,21 @@ def detect_company(queries: DataFrame, aliases: DataFrame, query_id: str, normal
     grams = F.when(F.size("w") >= F.col("n"), F.transform(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1), lambda i: F.array_join(F.slice("w", i, F.col("n")), " ")))
     x = x.select(query_id, F.explode(grams).alias("alias")).distinct().join(aliases, "alias")
     return x.groupBy(query_id).agg(F.max(F.struct("priority", "tokens", F.length("alias").alias("n"), "cik")).alias("b")).select(query_id, "b.cik")
+
+
+def named_alias(queries: DataFrame, aliases: DataFrame, query_id: str, target: str, normal: str = "normal", most: int = 100_000) -> DataFrame:
+    """(query id, target, alias): the target of the longest alias that stands in a query by itself; of equally long ones the largest target.
+
+    An alias stands by itself where neither an ASCII letter nor a digit touches it. Aliases (alias, target) may be millions: each
+    is looked for under that of its tokens which fewest queries have, by equality, in a broadcast if they are counted to be
+    few. An alias without any token, or with one that no query has, is found nowhere; nulls are none. Repeated aliases count once.
+    """
+    own = aliases.where(F.col("alias").isNotNull() & F.col(target).isNotNull()).groupBy("alias").agg(F.max(target).alias(target))
+    asked = queries.select(query_id, F.col(normal).alias("_normal"), F.explode(F.array_distinct(tokens(F.col(normal)))).alias("_token"))
+    often = asked.groupBy("_token").agg(F.count(F.lit(1)).alias("_df"))
+    parts = own.withColumn("_token", F.explode(F.array_distinct(tokens(F.col("alias"))))).join(often, "_token", "left")
+    own = parts.groupBy("alias", target).agg(F.min(F.struct(F.coalesce("_df", F.lit(0)), F.col("_token").alias("t"))).alias("_rare")).select("alias", target, F.col("_rare.t").alias("_token"))
+    met = join_bounded(asked, own, "_token", "inner", most).where(F.contains(F.col("_normal"), F.col("alias")))
+    apart = F.regexp_like(F.col("_normal"), F.concat(F.lit(r"(?<![a-z0-9])\Q"), F.col("alias"), F.lit(r"\E(?![a-z0-9])")))
+    best = met.where(apart).groupBy(query_id).agg(F.max(F.struct(F.length("alias").alias("n"), target, "alias")).alias("b"))
+    return best.select(query_id, f"b.{target}", "b.alias")
