@@ -9,6 +9,7 @@ from sievework.functions import vocabulary as V
 from sievework.operators import classify, evidence, intents, live, local_answers, reports
 from sievework.plans import answering
 from sievework.queries import CROSS, MARKS, _any_sql, _normal_sql, _user_turns, query, table
+from sievework.streaming import cache
 
 _T = "regexp_extract_all(n, '[a-z0-9]+|[一-鿿]')"
 _ASKED = f"q as (select conv_id, turn, text, {_normal_sql('text')} as n from conversations where role = 'user'), a as (select *, {_T} as ws from q)"
@@ -366,3 +367,13 @@ def answers_end_to_end(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("record_id"), "source", "text")
     a = answering.answer_batch(b, d, words=own)
     return a.select(F.col("qid").alias("item_id"), "route_label", "primary_route", "supplemental_route", "kind", "outcome", "decision", "answer_status", "conclusion", "grounded", "points", "n_evidence", F.transform("sources", lambda s: s["evidence_id"].cast("long")).alias("doc_ids"))
+
+
+@query("""with recursive ev as (select user_id, event_id, ts, event_type <> 'view' as keep from events), k as (select * from ev where keep),
+c as (select user_id, min((ts, event_id)) as e from k group by user_id union all select c.user_id, min((k.ts, k.event_id)) as e from c join k on k.user_id = c.user_id and k.ts >= c.e[1] + interval '6 hours' group by c.user_id),
+s as (select ev.event_id, ev.user_id, max((c.e[1], c.e[2])) as last, any_value(ev.ts) as ts from ev left join c on c.user_id = ev.user_id and (c.e[1] < ev.ts or (c.e[1] = ev.ts and c.e[2] <= ev.event_id)) group by ev.event_id, ev.user_id)
+select event_id, user_id, case when ts < last[1] + interval '6 hours' then last[2] end as served_by from s""")
+def cached_requests(spark, sf_dir):
+    """Events as requests of their users: which earlier one serves each, for six hours; views may not be kept."""
+    x = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", (F.col("event_type") != "view").alias("keep"))
+    return cache.cached(x, "user_id", "ts", "event_id", 6 * 3600, "keep").select("event_id", "user_id", "served_by")
