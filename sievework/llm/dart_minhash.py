@@ -309,7 +309,11 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, rows: int = R
 
 
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that near_duplicates keeps, with the same columns. docs must be scanned in the same way twice (read from files)."""
+    """The rows of docs that near_duplicates keeps, with the same columns. docs must be scanned in the same way twice (read from files).
+
+    Of each class the row with the smallest doc_id stays, nulls last, of equal ones the first scanned. Null and empty texts, and texts without words, all
+    stay. Texts of any length are compared whole. An empty table stays empty; other columns, of whatever name, come along as they are.
+    """
     kept = near_duplicates(docs, **options).where("keep").select("rid")
     name = "_sievework_rid"
     return docs.withColumn(name, F.monotonically_increasing_id()).join(kept.withColumnRenamed("rid", name), name, "left_semi").drop(name)

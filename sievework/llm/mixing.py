@@ -131,7 +131,11 @@ def mix(docs: DataFrame, domain: Column, weights: dict[str, dict[str, int]], bud
 
 
 def select_documents(docs: DataFrame, domain: Column, weights: dict[str, dict[str, int]], budget: float, seed: int = 7, text: str = "text", lang: str = "lang", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
-    """The documents that one epoch at most takes, whole, with the columns of docs; the leaf's last one is kept if any of it is taken."""
+    """The documents that one epoch at most takes, whole, with the columns of docs; the leaf's last one is kept if any of it is taken.
+
+    Null names are empty ones, null texts have no tokens; a null doc_id is ordered as an empty one. Leaves without tokens are left out.
+    Of rows that are alike at a prefix's end, as many stay as the prefix needs. An empty table stays empty; other columns, of whatever name, come along as they are.
+    """
     rows = cut(leaf_rows(docs, domain, text, lang, source, doc_id))
     plan = leaf_plan(rows, weights, budget, 1, seed)
     own = docs.columns

@@ -161,14 +161,22 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 
 def classify(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """doc_id, held_out, score and predicted for each row of docs, repeated ones too; an empty table gives none."""
+    """doc_id, held_out, score and predicted for each row of docs.
+
+    Null texts are scored as empty ones; texts of any length are read whole; equal texts have equal scores. Repeated rows count each
+    time. A null doc_id stays null and is not held out. An empty table gives none; other columns, of whatever name, are ignored.
+    """
     model = train(docs, labels, **options)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
     return score(base, model).select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5, **options) -> DataFrame:
-    """The rows of docs that reach a score, with the columns of docs."""
+    """The rows of docs that reach a score, with the columns of docs, one named score among them as it was.
+
+    A null text is scored as an empty one. Rows are judged one by one: repeated rows and rows of equal score go or stay
+    together, whatever their doc_id, null or not. Without labels of both classes every row has one and the same score. An empty table stays empty.
+    """
     name = "_sievework_score"
     scored = score(docs.withColumnRenamed("score", name) if "score" in docs.columns else docs, train(docs, labels, **options))
     out = scored.where(F.col("score") >= least).drop("score")

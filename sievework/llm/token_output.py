@@ -163,7 +163,11 @@ def read_rows(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_and_read(docs: DataFrame, name: str = "packed", **options) -> DataFrame:
-    """Writes to a new path in the shared folder and reads back."""
+    """Writes to a new path in the shared folder and reads back.
+
+    A null text is an empty one, which has its end mark alone; a null doc_id stays null. Documents of any length are split, none is cut short. Repeated
+    rows are packed each time; which of equally long ones comes first follows the scan. An empty table gives no rows; other columns are ignored.
+    """
     spark = docs.sparkSession
     path = scratch_path(spark, name)
     write_matrices(docs, path, **options)

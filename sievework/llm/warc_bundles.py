@@ -186,7 +186,11 @@ def read_bundles(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_and_read(pages: DataFrame, name: str = "warc") -> DataFrame:
-    """Writes bundles to a new path in the shared folder and reads them back."""
+    """Writes bundles to a new path in the shared folder and reads them back.
+
+    A null html is an empty payload; payloads of any length are one record. Of rows that repeat a page_id, each has a record, and a row with a null
+    page_id gives way to any other. An empty table gives no rows; other columns are ignored.
+    """
     spark = pages.sparkSession
     path = scratch_path(spark, name)
     bundles(pages).write.option("compression", "none").parquet(path)

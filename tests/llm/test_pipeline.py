@@ -4,7 +4,7 @@ import sys
 from pathlib import Path
 
 import corpus_pipeline as cp
-from sievework.llm import mixing, quality, queries
+from sievework.llm import dart_minhash, mixing, quality, queries
 
 sys.path.insert(0, str(Path(__file__).parent))
 from test_dart_minhash import brute_classes
@@ -57,3 +57,22 @@ def test_columns_and_odd_rows(spark, tmp_path, sf_dir):
                 assert out.columns == docs.columns
             out.write.parquet(str(tmp_path / f"{name}{i}"))
             docs = spark.read.parquet(str(tmp_path / f"{name}{i}"))
+
+
+def test_what_stages_make_of_odd_rows(spark, tmp_path, sf_dir):
+    """Nulls, empty and very long texts, repeated rows, an empty table, and columns that are named like the operators' own."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score int, class_id int, rid int, taken int"
+    odd = [(1, None, None, None, None), (1, "", "en", "src0", 0), (2, "word " * 40000, "en", "src1", 200000), (None, "This is some text.", "xx", "src2", 18), (None, "This is some text.", "xx", "src2", 18), (3, "THIS is  some text.", "xx", "src2", 19)]
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    spark.createDataFrame([(*r, 1, 2, 3, 4) for r in odd], schema).write.parquet(str(tmp_path / "odd"))
+    docs = spark.read.parquet(str(tmp_path / "odd"))
+    assert rows(quality.keep_good(docs, labels, least=0.0)) == rows(docs)
+    assert quality.keep_good(docs, labels.limit(0), least=0.6).count() == 0
+    assert rows(dart_minhash.deduplicate(docs)) == rows(docs.where("doc_id is not null"))
+    some = mixing.select_documents(docs, mixing.F.expr(queries.DOMAIN_SQL), queries.MIX_WEIGHTS, 1.0)
+    assert rows(some) == rows(docs.where("trim(text) <> ''"))
+    none = docs.limit(0)
+    none.write.parquet(str(tmp_path / "none"))
+    none = spark.read.parquet(str(tmp_path / "none"))
+    for out in (quality.keep_good(none, labels), dart_minhash.deduplicate(none), mixing.select_documents(none, mixing.F.expr(queries.DOMAIN_SQL), queries.MIX_WEIGHTS, 1.0)):
+        assert out.columns == docs.columns and out.count() == 0
