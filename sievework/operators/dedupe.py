@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from difflib import SequenceMatcher
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -11,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievework.functions.text import academic_title, industry_title, policy_title
-from sievework.operators.components import checkpoint, connected_components
+from sievework.operators.components import checkpoint, connected_components, written
+from sievework.operators.leaders import first_leaders
 
 
 def first_wins(df: DataFrame, keys: list[Column], pos: str = "pos") -> DataFrame:
@@ -63,27 +63,20 @@ def academic_aliases(title: str = "title", author: str = "first_author", year: s
 def policy_groups(df: DataFrame) -> DataFrame:
     """(pos, group_pos) of policy records that have an authority and a date: equal authority and title, and an equal version or date as the group's first record.
 
-    Only records of one (authority, title) block can match, so that blocks are folded apart, in order of pos: a record
-    joins the first group whose first record it matches, or starts one. Records with the same version and dates join the
-    same group, so that a block holds one of each: the versions of one document.
+    In order of pos, a record joins the first group whose first record it matches, or starts one (`first_leaders`).
+    What can match is a version or a date within one (authority, title) block; no block is gathered. Records with the
+    same version and dates join the same group, so that each distinct one is settled once and its copies follow it.
     """
     filled = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
     dates = ["version", "publication_date", "effective_date"]
     x = df.where(filled("authority") & (filled("publication_date") | filled("effective_date")))
-    x = x.select("pos", F.lower(F.trim("authority")).alias("a"), policy_title(F.trim("title")).alias("t"), *(F.coalesce(F.col(c), F.lit("")).alias(c) for c in dates))
-    heads = x.groupBy("a", "t", *dates).agg(F.min("pos").alias("pos"))
-    blocks = heads.groupBy("a", "t").agg(F.array_sort(F.collect_list(F.struct("pos", *dates))).alias("xs"))
-    none = F.filter("xs", lambda r: F.lit(False))
-    row = lambda r, g: F.struct(r["pos"].alias("head"), g.alias("group_pos"))
-
-    def fold(state, r):
-        match = F.get(F.filter(state["firsts"], lambda h: reduce(lambda p, q: p | q, ((r[c] != "") & (r[c] == h[c]) for c in dates))), F.lit(0))
-        firsts = F.when(match.isNull(), F.array_append(state["firsts"], r)).otherwise(state["firsts"])
-        return F.struct(firsts.alias("firsts"), F.array_append(state["rows"], row(r, F.coalesce(match["pos"], r["pos"]))).alias("rows"))
-
-    start = F.struct(none.alias("firsts"), F.transform(none, lambda r: row(r, r["pos"])).alias("rows"))
-    found = blocks.select(F.explode(F.aggregate("xs", start, fold, lambda state: state["rows"])).alias("r")).select("r.head", "r.group_pos")
-    return x.join(heads.withColumnRenamed("pos", "head"), ["a", "t", *dates]).join(found, "head").select("pos", "group_pos")
+    x = x.select("pos", F.lower(F.trim("authority")).alias("a"), F.coalesce(policy_title(F.trim("title")), F.lit("")).alias("t"), *(F.coalesce(F.col(c), F.lit("")).alias(c) for c in dates))
+    heads = written(x.groupBy("a", "t", *dates).agg(F.min("pos").alias("head")))
+    marks = F.explode(F.array(*(F.struct(F.lit(c).alias("k"), F.col(c).alias("v")) for c in dates))).alias("m")
+    ties = heads.select(F.col("head").alias("pos"), "a", "t", marks).select("pos", "a", "t", "m.k", "m.v").where("v <> ''")
+    found = first_leaders(ties, ["a", "t", "k", "v"])
+    groups = heads.join(found.withColumnRenamed("pos", "head"), "head").drop("head")
+    return x.join(groups, ["a", "t", *dates]).select("pos", "group_pos")
 
 
 def similarity(left: str, right: str, least: float) -> bool:
