@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.functions.text import tokens
-from sievework.operators.components import join_bounded
+from sievework.operators.components import join_bounded, written
 
 CASE = "case_id string, query string, expected_route string"
 SCORE = "case_id string, dimension string, score double, rationale string, positives array<string>, negatives array<string>"
@@ -74,19 +74,38 @@ def detect_company(queries: DataFrame, aliases: DataFrame, query_id: str, normal
     return x.groupBy(query_id).agg(F.max(F.struct("priority", "tokens", F.length("alias").alias("n"), "cik")).alias("b")).select(query_id, "b.cik")
 
 
+def _runs(text: Column) -> Column:
+    """Runs of ASCII letters and digits, in order."""
+    return F.regexp_extract_all(text, F.lit("[a-z0-9]+"), F.lit(0))
+
+
+def _pairs(runs: Column) -> Column:
+    """Each run with the one behind it."""
+    return F.zip_with(F.slice(runs, 1, F.greatest(F.size(runs) - 1, F.lit(0))), F.slice(runs, 2, F.size(runs)), lambda a, b: F.concat_ws(" ", a, b))
+
+
 def named_alias(queries: DataFrame, aliases: DataFrame, query_id: str, target: str, normal: str = "normal", most: int = 100_000) -> DataFrame:
     """(query id, target, alias): the target of the longest alias that stands in a query by itself; of equally long ones the largest target.
 
-    An alias stands by itself where neither an ASCII letter nor a digit touches it. Aliases (alias, target) may be millions: each
-    is looked for under that of its tokens which fewest queries have, by equality, in a broadcast if they are counted to be
-    few. An alias without any token, or with one that no query has, is found nowhere; nulls are none. Repeated aliases count once.
+    An alias stands by itself where neither an ASCII letter nor a digit touches it, so that its runs of these are
+    consecutive runs of the query. Aliases (alias, target) may be millions: each is looked for, by equality, under that
+    of its pairs of adjacent runs which fewest queries have; under its run, if it has one alone; under its rarest token,
+    if it has none. They are broadcast if counted to be few. An alias without any token, or with a key that no query
+    has, is found nowhere; nulls are none. Repeated aliases count once.
     """
     own = aliases.where(F.col("alias").isNotNull() & F.col(target).isNotNull()).groupBy("alias").agg(F.max(target).alias(target))
-    asked = queries.select(query_id, F.col(normal).alias("_normal"), F.explode(F.array_distinct(tokens(F.col(normal)))).alias("_token"))
-    often = asked.groupBy("_token").agg(F.count(F.lit(1)).alias("_df"))
-    parts = own.withColumn("_token", F.explode(F.array_distinct(tokens(F.col("alias"))))).join(often, "_token", "left")
-    own = parts.groupBy("alias", target).agg(F.min(F.struct(F.coalesce("_df", F.lit(0)), F.col("_token").alias("t"))).alias("_rare")).select("alias", target, F.col("_rare.t").alias("_token"))
-    met = join_bounded(asked, own, "_token", "inner", most).where(F.contains(F.col("_normal"), F.col("alias")))
+    asked = queries.select(query_id, F.col(normal).alias("_normal")).withColumn("_w", _runs(F.col("_normal")))
+    asked = asked.select(query_id, F.explode(F.array_distinct(F.concat("_w", _pairs(F.col("_w")), tokens(F.col("_normal"))))).alias("_key"))
+    often = asked.groupBy("_key").agg(F.count(F.lit(1)).alias("_df"))
+    runs = own.withColumn("_w", _runs(F.col("alias")))
+    keys = F.when(F.size("_w") > 1, _pairs(F.col("_w"))).when(F.size("_w") == 1, F.col("_w")).otherwise(tokens(F.col("alias")))
+    parts = runs.select("alias", target, F.explode(F.array_distinct(keys)).alias("_key")).join(often, "_key", "left")
+    rarest = parts.groupBy("alias", target).agg(F.min(F.struct(F.coalesce("_df", F.lit(0)).alias("df"), F.col("_key").alias("k"))).alias("_rare"))
+    # written, since they are counted and joined
+    own = written(rarest.where("_rare.df > 0").select("alias", target, F.col("_rare.k").alias("_key")))
+    met = join_bounded(asked, own, "_key", "inner", most).select(F.col(query_id).alias("_q"), "alias", target)
+    # a query's text follows its candidates, not each of its keys
+    met = met.join(queries.select(query_id, F.col(normal).alias("_normal")), F.col("_q").eqNullSafe(F.col(query_id))).where(F.contains(F.col("_normal"), F.col("alias")))
     apart = F.regexp_like(F.col("_normal"), F.concat(F.lit(r"(?<![a-z0-9])\Q"), F.col("alias"), F.lit(r"\E(?![a-z0-9])")))
     best = met.where(apart).groupBy(query_id).agg(F.max(F.struct(F.length("alias").alias("n"), target, "alias")).alias("b"))
     return best.select(query_id, f"b.{target}", "b.alias")
