@@ -84,21 +84,26 @@ def _pairs(runs: Column) -> Column:
     return F.zip_with(F.slice(runs, 1, F.greatest(F.size(runs) - 1, F.lit(0))), F.slice(runs, 2, F.size(runs)), lambda a, b: F.concat_ws(" ", a, b))
 
 
+def _edges(text: Column) -> Column:
+    """Runs with the two characters behind or before them, where neither is of a run."""
+    return F.concat(*(F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in ("[a-z0-9]+[^a-z0-9]{2}", "[^a-z0-9]{2}[a-z0-9]+")))
+
+
 def named_alias(queries: DataFrame, aliases: DataFrame, query_id: str, target: str, normal: str = "normal", most: int = 100_000) -> DataFrame:
     """(query id, target, alias): the target of the longest alias that stands in a query by itself; of equally long ones the largest target.
 
     An alias stands by itself where neither an ASCII letter nor a digit touches it, so that its runs of these are
     consecutive runs of the query. Aliases (alias, target) may be millions: each is looked for, by equality, under that
-    of its pairs of adjacent runs which fewest queries have; under its run, if it has one alone; under its rarest token,
-    if it has none. They are broadcast if counted to be few. An alias without any token, or with a key that no query
+    of its pairs of adjacent runs which fewest queries have; under its run and what stands next to it, if it has one
+    alone; under its rarest token, if it has none. They are broadcast if counted to be few. An alias without any token, or with a key that no query
     has, is found nowhere; nulls are none. Repeated aliases count once.
     """
     own = aliases.where(F.col("alias").isNotNull() & F.col(target).isNotNull()).groupBy("alias").agg(F.max(target).alias(target))
     asked = queries.select(query_id, F.col(normal).alias("_normal")).withColumn("_w", _runs(F.col("_normal")))
-    asked = asked.select(query_id, F.explode(F.array_distinct(F.concat("_w", _pairs(F.col("_w")), tokens(F.col("_normal"))))).alias("_key"))
+    asked = asked.select(query_id, F.explode(F.array_distinct(F.concat(_pairs(F.col("_w")), _edges(F.col("_normal")), tokens(F.col("_normal"))))).alias("_key"))
     often = asked.groupBy("_key").agg(F.count(F.lit(1)).alias("_df"))
     runs = own.withColumn("_w", _runs(F.col("alias")))
-    keys = F.when(F.size("_w") > 1, _pairs(F.col("_w"))).when(F.size("_w") == 1, F.col("_w")).otherwise(tokens(F.col("alias")))
+    keys = F.when(F.size("_w") > 1, _pairs(F.col("_w"))).when((F.size("_w") == 1) & (F.size(_edges(F.col("alias"))) > 0), _edges(F.col("alias"))).when(F.size("_w") == 1, F.col("_w")).otherwise(tokens(F.col("alias")))
     parts = runs.select("alias", target, F.explode(F.array_distinct(keys)).alias("_key")).join(often, "_key", "left")
     rarest = parts.groupBy("alias", target).agg(F.min(F.struct(F.coalesce("_df", F.lit(0)).alias("df"), F.col("_key").alias("k"))).alias("_rare"))
     # written, since they are counted and joined

@@ -27,7 +27,7 @@ def test_alignment_with_gloss(spark):
 def test_aliases_against_all_pairs(spark, most):
     """In a broadcast and in an exchange."""
     r = random.Random(most)
-    word = lambda: r.choice(["acme", "ac", "me.x", "group", "b2", "电池", "a+b", "global"])
+    word = lambda: r.choice(["acme", "ac", "me.x", "group", "b2", "电池", "a+b", "global", "é", "èü", "++"])
     aliases = [(" ".join(word() for _ in range(r.randrange(1, 4))), f"c{r.randrange(9)}") for _ in range(80)] + [(None, "c1"), ("acme", None), ("++", "c2"), ("", "c3")]
     queries = [(i, r.choice([" ", "", "-"]).join(word() for _ in range(r.randrange(9)))) for i in range(60)] + [(99, None)]
     got = named_alias(spark.createDataFrame(queries, "q int, normal string"), spark.createDataFrame(aliases * 2, "alias string, cik string"), "q", "cik", most=most)
