@@ -1,15 +1,21 @@
 """Excerpts of whole texts: the window of words that says most about a query, chosen among several candidates.
 
-All native and linear in a text: windows begin at every stride-th word and are cut from that many words and those that
+Linear in a text, and native but for fitting_window: windows begin at every stride-th word and are cut from that many words and those that
 follow, so that no text is laid out word by word, and no text is cut before it is read.
 """
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sievework.functions.text import let, tokens_of
+from sievework.functions.text import TOKEN, let, tokens_of
+from sievework.functions.vocabulary import PUNCTUATION
 from sievework.operators.paragraphs import fact_density, rank_paragraphs, split_paragraphs
 
 # Words that say nothing about what a page is asked for, short ones that do, and where a sentence ends.
@@ -19,6 +25,8 @@ FOCUS_STOPWORDS = (
 SHORT_FOCUS = ("rfc", "cet1")
 SENTENCE_END = r"(?<=[.!?。！？；;]) "
 BEFORE, AFTER = 8, 17  # chunks of a page around one that is hit
+_TOKEN = re.compile(TOKEN)
+_FOLDED = str.maketrans({k: v if v != " " else "," for k, v in PUNCTUATION.items()})  # without new spaces, so that words keep their places
 
 
 def clean(text: Column) -> Column:
@@ -131,24 +139,86 @@ def text_nodes(html: Column) -> Column:
     return let(x, nodes)
 
 
+def _held(terms: list[np.ndarray], starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """How many of the terms, given by the places of words that hold them, occur from starts to ends."""
+    n = np.zeros(len(starts), np.int64)
+    for places in terms:
+        n += np.append(places, np.iinfo(np.int64).max)[np.searchsorted(places, starts)] < ends
+    return n
+
+
+def fitting_window(chunks: list[str], terms: set[str], focus: set[str], most: int, stride: int = 4) -> str | None:
+    """The window of aligned_excerpts(); None where no chunk is hit.
+
+    A window is known by its first word, unless the end of the chunks around a hit cuts it. So each word's window is
+    ranked once, a hit takes the best one that ends within its chunks, and the first of those that are cut there, which
+    holds what the later ones hold and more.
+    """
+    text = " ".join(chunks)
+    low = text.translate(_FOLDED).lower()
+    begins = lambda x: np.concatenate(([0], np.flatnonzero(np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32) == 32) + 1, [len(x) + 1]))
+    places: dict[str, list[int]] = {}
+    for m in _TOKEN.finditer(low):
+        if (t := m[0]) in terms or t in focus:
+            places.setdefault(t, []).append(m.start())
+    if not places:
+        return None
+    of = begins(low)
+    places = {t: np.searchsorted(of, p, "right") - 1 for t, p in places.items()}
+    asked, own = ([places[t] for t in names if t in places] for names in (terms, focus))
+    char = begins(text)
+    first = np.concatenate(([0], np.cumsum([c.count(" ") + 1 for c in chunks])))
+    mine = _held(own, first[:-1], first[1:])
+    hit = np.flatnonzero((mine > 0) | (_held(asked, first[:-1], first[1:]) > 0))
+    los, his = first[np.maximum(hit - BEFORE, 0)], first[np.minimum(hit + AFTER + 1, len(chunks))]
+
+    size = lambda s, e: char[e] - 1 - char[s]
+    start = np.arange(len(char) - 1)
+    end = np.maximum(np.searchsorted(char, char[:-1] + most + 1, "right") - 1, start + 1)
+    held, near = _held(own, start, end), np.abs(size(start, end) - most)
+    rank = np.empty(len(start), np.int64)
+    rank[np.lexsort((-start, -near, end - start, held))] = start
+    cut = los + -(-np.maximum(np.searchsorted(end, his, "right") - los, 0) // stride) * stride
+    found = np.array([lo + stride * int(rank[lo:c:stride].argmax()) if c > lo else lo for lo, c in zip(los, cut, strict=True)])
+    worth = lambda s, e: np.stack((_held(own, s, e), e - s, -np.abs(size(s, e) - most)))
+    ends, clipped = np.minimum(end[found], his), np.minimum(cut, his - 1)
+    a, b = worth(found, ends), worth(clipped, his)
+    more = (b[0] > a[0]) | ((b[0] == a[0]) & ((b[1] > a[1]) | ((b[1] == a[1]) & (b[2] > a[2]))))
+    other = (cut < his) & more
+    fits = size(los, his) <= most
+    s, e = np.where(fits, los, np.where(other, clipped, found)), np.where(fits | other, his, ends)
+    near = np.abs(np.where(his - los == 1, np.minimum(size(s, e), most), size(s, e)) - most)
+    best = np.lexsort((-hit, -near, mine[hit], _held(asked, s, e), _held(own, s, e)))[-1]
+    window = text[char[s[best]] : char[e[best]] - 1]
+    return window[:most] if his[best] - los[best] == 1 else window
+
+
+def _fitting(most: int):
+    """fitting_window as a function of (chunks, one a line, terms, focus); null chunks give null."""
+
+    @F.pandas_udf(T.StringType())
+    def fitting(chunks: pd.Series, terms: pd.Series, focus: pd.Series) -> pd.Series:
+        own = lambda x: set() if x is None else set(x)
+        return pd.Series([fitting_window(c.split("\n"), own(t), own(f), most) if c else None for c, t, f in zip(chunks, terms, focus, strict=True)], dtype=object)
+
+    return fitting.asNondeterministic()  # so that it is no part of a later expression, which would compute it again
+
+
+def _aligned(pages: DataFrame, name: str, html: Column, terms: str, focus: str, most: int) -> DataFrame:
+    """pages with an excerpt under a name; null where html is null."""
+    x = pages.withColumn("_nodes", text_nodes(html))
+    x = x.withColumn("_found", _fitting(most)(F.array_join("_nodes", "\n"), F.col(terms), F.col(focus)))
+    whole = F.when(F.col("_found") != "", F.col("_found")).otherwise(page_excerpt(F.array_join("_nodes", " "), F.col(terms), most))
+    return x.withColumn(name, F.when(F.col("_nodes").isNotNull(), whole)).drop("_nodes", "_found")
+
+
 def aligned_excerpts(pages: DataFrame, key: str, html: Column, terms: str, focus: str, most: int = 260) -> DataFrame:
     """(key, excerpt): the window that fits a query best around the texts of a page that are hit; without hits, page_excerpt() of the page.
 
-    terms and focus: the query's terms, and those that the hit's title and snippet lack. Chunks are rows, so that a page of any length is
-    read whole; around a hit, eight chunks before it and 17 behind it count. Best: focus terms, terms, focus terms of the hit itself, nearness to the limit, the first.
+    terms and focus: the query's terms, and those that the hit's title and snippet lack. Pages are read whole, in one pass and without
+    an exchange; around a hit, eight chunks before it and 17 behind it count. Best: focus terms, terms, focus terms of the hit itself, nearness to the limit, the first.
     """
-    from pyspark.sql import Window
-
-    parts = pages.select(key, terms, focus, text_nodes(html).alias("_nodes"))
-    chunks = parts.select(key, terms, focus, F.posexplode("_nodes").alias("at", "chunk"))
-    around = Window.partitionBy(key).orderBy("at").rowsBetween(-BEFORE, AFTER)
-    x = chunks.withColumn("_own", hits(F.col("chunk"), F.col(focus))).withColumn("_any", hits(F.col("chunk"), F.col(terms)))
-    x = x.withColumn("_around", F.collect_list("chunk").over(around)).where("_own > 0 or _any > 0")
-    x = x.withColumn("_window", best_words(F.array_join("_around", " "), F.col(focus), most, 4))
-    best = F.struct(hits(F.col("_window"), F.col(focus)).alias("f"), hits(F.col("_window"), F.col(terms)).alias("t"), F.col("_own"), (-F.abs(F.length("_window") - most)).alias("near"), (-F.col("at")).alias("at"), F.col("_window").alias("window"))
-    found = x.groupBy(key).agg(F.max(best)["window"].alias("_found"))
-    whole = parts.join(found, key, "left")
-    return whole.select(key, F.coalesce(F.nullif("_found", F.lit("")), page_excerpt(F.array_join("_nodes", " "), F.col(terms), most)).alias("excerpt"))
+    return _aligned(pages, "excerpt", F.coalesce(html, F.lit("")), terms, focus, most).select(key, "excerpt")
 
 
 def two_depths(pages: DataFrame, key: str, html: str, terms: str, focus: str, first: int = 650_000, deep: int | None = None, most: int = 260, enough: int = 2) -> DataFrame:
@@ -156,11 +226,9 @@ def two_depths(pages: DataFrame, key: str, html: str, terms: str, focus: str, fi
 
     The second depth is read only for pages that the first doesn't settle and that go on behind it.
     """
-    html_ = F.coalesce(F.col(html), F.lit(""))
-    a = aligned_excerpts(pages, key, F.substring(html_, 1, first), terms, focus, most).withColumnRenamed("excerpt", "_a")
-    a = pages.select(key, focus, F.length(html_).alias("_n")).join(a, key).withColumn("_ha", hits(F.col("_a"), F.col(focus)))
-    open_ = a.where((F.col("_ha") < enough) & (F.col("_n") > first)).select(key)
-    again = pages.join(open_, key, "left_semi")
-    b = aligned_excerpts(again, key, html_ if deep is None else F.substring(html_, 1, deep), terms, focus, most).withColumnRenamed("excerpt", "_b")
-    x = a.join(b, key, "left").withColumn("_deeper", F.coalesce((F.col("_b") != "") & (hits(F.col("_b"), F.col(focus)) >= F.col("_ha")), F.lit(False)) | (F.col("_b").isNotNull() & (F.col("_a") == "")))
+    x = pages.select(key, terms, *([focus] if focus != terms else []), F.coalesce(F.col(html), F.lit("")).alias("_html"))
+    x = _aligned(x, "_a", F.substring("_html", 1, first), terms, focus, most).withColumn("_ha", hits(F.col("_a"), F.col(focus)))
+    again = F.when((F.col("_ha") < enough) & (F.length("_html") > first), F.col("_html") if deep is None else F.substring("_html", 1, deep))
+    x = _aligned(x, "_b", again, terms, focus, most)
+    x = x.withColumn("_deeper", F.coalesce((F.col("_b") != "") & (hits(F.col("_b"), F.col(focus)) >= F.col("_ha")), F.lit(False)) | (F.col("_b").isNotNull() & (F.col("_a") == "")))
     return x.select(key, F.when(F.col("_deeper"), F.col("_b")).otherwise(F.col("_a")).alias("excerpt"), F.when(F.col("_deeper"), 2).otherwise(1).alias("depth"))
