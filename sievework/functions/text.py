@@ -147,6 +147,18 @@ def json_object(text: Column) -> Column:
     return F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit(""))
 
 
+def inverted_index(texts: Column) -> Column:
+    """A map of the words of an array of texts, arrays of words, to their places, in order. One sort and no exchange of words."""
+    at = F.array_sort(F.flatten(F.transform(texts, lambda ws: F.transform(ws, lambda w, i: F.struct(w.alias("word"), i.alias("at"))))))
+
+    def entries(at: Column) -> Column:
+        begins = F.filter(F.transform(at, lambda x, i: F.when((i == 0) | (F.get(at, i - 1)["word"] != x["word"]), i)), lambda i: i.isNotNull())
+        ends = lambda b, k: F.coalesce(F.get(b, k + 1), F.size(at))
+        return let(begins, lambda b: F.transform(b, lambda i, k: F.struct(F.get(at, i)["word"].alias("word"), F.transform(F.slice(at, i + 1, ends(b, k) - i), lambda x: x["at"]).alias("places"))))
+
+    return F.map_from_entries(let(at, entries))
+
+
 def abstract_text(index: Column) -> Column:
     """A text from its inverted index, a map of words to their places."""
     places = F.flatten(F.transform(F.map_entries(index), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("at"), e["key"].alias("word")))))

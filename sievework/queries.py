@@ -607,9 +607,8 @@ def titles_and_ids(spark, sf_dir):
 @query("""with w as (select doc_id, unnest(string_split(text, ' ')) as word, generate_subscripts(string_split(text, ' '), 1) as i from documents) select doc_id, md5(string_agg(word, ' ' order by i, word)) as abstract from w group by doc_id""")
 def abstract_from_inverted_index(spark, sf_dir):
     """Texts rebuilt from maps of their words to places."""
-    w = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("at", "word"))
-    index = w.groupBy("doc_id", "word").agg(F.collect_list("at").alias("places")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "places"))).alias("index"))
-    return index.select("doc_id", F.md5(X.abstract_text(F.col("index"))).alias("abstract"))
+    texts = table(spark, sf_dir, "documents").where("text is not null").groupBy("doc_id").agg(F.collect_list("text").alias("texts"))
+    return texts.select("doc_id", F.md5(X.abstract_text(X.inverted_index(F.transform("texts", lambda t: F.split(t, " "))))).alias("abstract"))
 
 
 @query(rf"""with d as (select doc_id, string_split_regex(trim(text), '[ \t\n\x0b\f\r]+') as ws, regexp_extract_all({_normal_sql('text')}, '[a-z0-9]+') as ts from documents)
