@@ -50,17 +50,23 @@ def shortcut_allowed(alignment: Column, query: Column, record: Column, least: in
 def trimmed(snippet: Column, terms: Column, width: int = 40, of=focus_terms) -> Column:
     """At most `width` words of a text: the window that holds most of the terms, the first of equals, with dots where it was cut.
 
-    Words' terms are taken once; a window's are the union of its words'.
+    Words' terms are taken once, of words that have one within; a window's are the union of its words'. The first of the
+    best windows is the text's first one, or ends with a word that has a term, so only those are counted.
     """
     words = F.split(F.trim(F.regexp_replace(snippet, r"(?U)\s+", " ")), " ")
 
+    def held(w: Column) -> Column:
+        none = F.slice(terms, 1, 0)
+        return let(F.lower(w), lambda low: F.when(F.exists(terms, lambda t: low.contains(t)), F.array_intersect(of(w), terms)).otherwise(none))
+
     def best_start(own: Column) -> Column:
-        starts = F.sequence(F.lit(0), F.greatest(F.size(own) - width, F.lit(0)))
-        held = F.transform(starts, lambda s: F.struct(F.size(F.array_distinct(F.flatten(F.slice(own, s + 1, width)))).alias("hits"), (-s).alias("back")))
-        return -F.array_max(held)["back"]
+        ends = F.filter(F.transform(own, lambda t, i: F.when((F.size(t) > 0) & (i >= width), i)), lambda i: i.isNotNull())
+        starts = F.concat(F.array(F.lit(0)), F.transform(ends, lambda i: i - (width - 1)))
+        counted = F.transform(starts, lambda s: F.struct(F.size(F.array_distinct(F.flatten(F.slice(own, s + 1, width)))).alias("hits"), (-s).alias("back")))
+        return -F.array_max(counted)["back"]
 
     def cut(ws: Column) -> Column:
-        start = F.when(F.size(terms) > 0, let(F.transform(ws, lambda w: F.array_intersect(of(w), terms)), best_start)).otherwise(0)
+        start = F.when(F.size(terms) > 0, let(F.transform(ws, held), best_start)).otherwise(0)
         return let(start, lambda at: F.concat(F.when(at > 0, "...").otherwise(""), F.array_join(F.slice(ws, at + 1, width), " "), F.when((at + width < F.size(ws)) & (F.size(terms) > 0), "...").otherwise("")))
 
     return let(words, lambda ws: F.when(F.size(ws) <= width, snippet).otherwise(cut(ws)))
