@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sievework.functions.text import TOKEN, normalize_query, tokens
+from sievework.operators.paragraphs import pieces
 
 Terms = Callable[[Column], Column]
 SLICE = r"(?s).{1,200}(?!\S)|\S+"
@@ -77,7 +78,7 @@ def _best_of_all(block: list[tuple], limit: int, schema: pa.Schema):
             yield held
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             out: dict[str, list] = {f.name: [] for f in schema}
             for docs in parts(batch.to_pylist()):
                 found = [[words[t] for t in {*token.findall(s)} if t in words] for d in docs for s in d["normal"]]
