@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sievework.functions import vocabulary as V
 from sievework.functions.markers import contains_any
-from sievework.functions.text import normalize_query
+from sievework.functions.text import let, normalize_query
 from sievework.operators.classify import classify
 
 CJK = "[一-鿿]"
@@ -141,8 +141,8 @@ def candidates(target: str, mixed: Column) -> list[tuple[str, Column]]:
 def first_distinct(options: Column, limit: int) -> Column:
     """Of (reason, query, key) structs: those whose key is not empty and did not occur before, up to limit."""
     held = F.filter(options, lambda o: F.coalesce(o["key"], F.lit("")) != "")
-    keys = F.transform(held, lambda o: o["key"])
-    first = F.filter(held, lambda o, i: F.array_position(keys, o["key"]) == i + 1)
+    new = lambda held, keys: F.filter(held, lambda o, i: F.array_position(keys, o["key"]) == i + 1)
+    first = let(held, lambda h: let(F.transform(h, lambda o: o["key"]), lambda keys: new(h, keys)))
     return F.transform(F.slice(first, 1, limit), lambda o: F.struct(o["reason"].alias("reason"), o["query"].alias("query")))
 
 
@@ -179,12 +179,15 @@ def phrase_locked(topic: Column) -> Column:
 
     A phrase is a word with a hyphen and the next one, and a third where that ends a term.
     """
-    w = F.split(topic, " ")
-    places = F.filter(F.sequence(F.lit(0), F.greatest(F.size(w) - 2, F.lit(0))), lambda i: F.get(w, i).contains("-") & ~F.coalesce(F.get(w, i + 1), F.lit("2000")).rlike("^20[0-9]{2}$"))
-    tail = lambda i: F.when(F.get(w, i + 2).isin(*V.PHRASE_TAILS), F.get(w, i + 2))
-    phrase = lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), tail(i))
-    found = F.transform(places, lambda i: F.struct((-F.regexp_count(F.get(w, i), F.lit("-"))).alias("hyphens"), i.alias("i"), phrase(i).alias("phrase")))
-    once = F.filter(found, lambda x, i: F.array_position(F.transform(found, lambda y: y["phrase"]), x["phrase"]) == i + 1)
+
+    def found(w: Column) -> Column:
+        places = F.filter(F.sequence(F.lit(0), F.greatest(F.size(w) - 2, F.lit(0))), lambda i: F.get(w, i).contains("-") & ~F.coalesce(F.get(w, i + 1), F.lit("2000")).rlike("^20[0-9]{2}$"))
+        tail = lambda i: F.when(F.get(w, i + 2).isin(*V.PHRASE_TAILS), F.get(w, i + 2))
+        phrase = lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), tail(i))
+        return F.transform(places, lambda i: F.struct((-F.regexp_count(F.get(w, i), F.lit("-"))).alias("hyphens"), i.alias("i"), phrase(i).alias("phrase")))
+
+    first = lambda f: let(F.transform(f, lambda y: y["phrase"]), lambda ps: F.filter(f, lambda x, i: F.array_position(ps, x["phrase"]) == i + 1))
+    once = let(let(F.split(topic, " "), found), first)
     best = F.transform(F.slice(F.array_sort(once), 1, 2), lambda x: x["phrase"])
     at = lambda text, p: F.position(p, text)
     mark = lambda text, p: F.concat(F.substring(text, F.lit(1), at(text, p) - 1), F.lit('"'), p, F.lit('"'), F.substring(text, at(text, p) + F.length(p), F.length(text)))
