@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections import Counter
+from collections.abc import Callable, Iterable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -35,5 +36,17 @@ def marker_score(normal: Column, markers: Iterable[str], each: int = 2) -> Colum
     return reduce(lambda a, b: a + b, (F.when(has_marker(normal, m), each).otherwise(0) for m in markers), F.lit(0))
 
 
+def marker_points(markers: Iterable[str], each: int = 2) -> Callable[[set[str], Callable[[], str]], int]:
+    """marker_score() in Python, of a text's tokens and its normal form, which is asked for only where a marker is no token."""
+    times = Counter(markers)
+    whole = {m: n * each for m, n in times.items() if re.fullmatch("[a-z0-9]+", m)}
+    others = [(re.compile(rf"(?<![a-z0-9]){re.escape(m)}(?![a-z0-9])" if m.isascii() else re.escape(m)), n * each) for m, n in times.items() if m not in whole]
+
+    def points(held: set[str], normal: Callable[[], str]) -> int:
+        return sum(whole[m] for m in whole.keys() & held) + sum(n for m, n in others if m.search(normal()))
+
+    return points
+
+
 def marker_count(text: Column, markers: Iterable[str]) -> Column:
     return reduce(lambda a, b: a + b, (text.contains(m).cast("int") for m in markers), F.lit(0))

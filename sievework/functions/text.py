@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -12,6 +13,10 @@ from pyspark.sql import types as T
 from sievework.functions.vocabulary import PUNCTUATION
 
 TOKEN = r"[a-z0-9]+|[一-鿿]"
+_HAN = re.compile("[一-鿿]")
+_ASCII = bytes(c if chr(c) in "abcdefghijklmnopqrstuvwxyz0123456789" else 32 for c in range(256))  # other bytes part tokens
+_FOLD = str.maketrans(PUNCTUATION)
+_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")  # what (?U)\s is in Java
 
 
 @F.pandas_udf(T.StringType())
@@ -36,6 +41,17 @@ def tokens_of(text: Column) -> Column:
     return tokens(F.lower(F.translate(text, "".join(PUNCTUATION), "".join(PUNCTUATION.values()))))
 
 
+def token_set(low: str) -> set[str]:
+    """The distinct tokens_of() a text in lower case, in Python."""
+    said = {*low.encode().translate(_ASCII).decode("ascii").split()}
+    return said if low.isascii() else said.union(_HAN.findall(low))
+
+
+def normalized(low: str) -> str:
+    """normalize_query() of a text in lower case, in Python."""
+    return _SPACE.sub(" ", low.translate(_FOLD)).strip(" ")
+
+
 def let(value: Column, f) -> Column:
     """f(value), with value computed once: lambdas within f would compute an expression again for each element."""
     return F.get(F.transform(F.array(value), lambda v: f(v)), F.lit(0))

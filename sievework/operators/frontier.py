@@ -14,18 +14,13 @@ from pyspark.sql import functions as F
 
 from sievework.functions.text import normalize_query
 from sievework.operators import evidence, ranking
-from sievework.operators.alignment import best_records, known_tokens, token_weight
+from sievework.operators.alignment import best_records, known_tokens
 from sievework.operators.components import written
 
 LEAST_ALIGNMENT = 6
 MAX_PROBES = 2
 
 
-def weight_of_shared(asked: Column, tokens: Column) -> Column:
-    """The weights of the shared tokens, years among them."""
-    return F.aggregate(F.array_intersect(asked, tokens), F.lit(0), lambda a, t: a + token_weight(t))
-
-
 def greedy_cover(queries: DataFrame, records: DataFrame, query_id: str, record_id: str, held: DataFrame | None = None, max_rounds: int | None = None) -> DataFrame:
     """(query id, round, record id, gain, left): the records that each query takes, one a round, until none of them covers more.
 
@@ -42,7 +37,7 @@ def greedy_cover(queries: DataFrame, records: DataFrame, query_id: str, record_i
     known, taken, turn = known_tokens(state, records, record_id), [], 0
     while not state.isEmpty() and (max_rounds is None or turn < max_rounds):
         turn += 1
-        best = best_records(state, known, query_id, record_id, 1, weight_of_shared).where("score > 0")
+        best = best_records(state, known, query_id, record_id, 1, years_alone=True)
         step = best.join(state.withColumnRenamed("tokens", "asked"), query_id).join(known, record_id)
         step = written(step.select(query_id, F.lit(turn).alias("round"), record_id, F.col("score").alias("gain"), F.array_except("asked", "tokens").alias("tokens")))
         taken.append(step.withColumn("left", F.size("tokens")).drop("tokens"))
